@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .chat_format import OP10_SQL, op10_chat_format
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .topk_search import OP4_SQL, op4_topk_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_topk_search": op4_topk_search,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op4_topk_search": OP4_SQL,
+    "op10_chat_format": OP10_SQL,
 }
