@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .packing import op2_packing
 from .simhash import op3_simhash
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .topk_search import OP4_SQL, op4_topk_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_topk_search": op4_topk_search,
     "op10_chat_format": op10_chat_format,
