@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .language_id import op5_language_id
 from .packing import op2_packing
 from .simhash import op3_simhash
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -13,11 +14,13 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_topk_search": op4_topk_search,
+    "op5_language_id": op5_language_id,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op4_topk_search": OP4_SQL,
+    "op5_language_id": op5_language_id,
     "op10_chat_format": OP10_SQL,
 }
