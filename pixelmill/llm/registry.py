@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .hmm_lm import op6_lm_score
 from .language_id import op5_language_id
 from .packing import op2_packing
 from .simhash import op3_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_topk_search": op4_topk_search,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -22,5 +24,6 @@ ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op4_topk_search": OP4_SQL,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op10_chat_format": OP10_SQL,
 }
