@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .decontaminate import op8_decontaminate
 from .hmm_lm import op6_lm_score
 from .language_id import op5_language_id
+from .line_dedup import op9_line_dedup
 from .packing import op2_packing
 from .simhash import op3_simhash
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_topk_search": op4_topk_search,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -25,5 +29,7 @@ ORACLE_SQL = {
     "op4_topk_search": OP4_SQL,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": OP10_SQL,
 }
