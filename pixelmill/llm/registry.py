@@ -10,6 +10,7 @@ from .line_dedup import op9_line_dedup
 from .packing import op2_packing
 from .simhash import op3_simhash
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .topk_search import OP4_SQL, op4_topk_search
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_topk_search": op4_topk_search,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
@@ -29,6 +31,7 @@ ORACLE_SQL = {
     "op4_topk_search": OP4_SQL,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": OP10_SQL,
