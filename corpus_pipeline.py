@@ -1,5 +1,72 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus in five stages: language, lines, near copies, benchmark, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on what the stage before it
+kept, which is written as Parquet and read again. All but the last return the
+columns of ``documents``. SQL cannot express the first and third stage, so there
+is no ORACLE_SQL; the tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelmill.llm.decontaminate import leaked_items
+from pixelmill.llm.language_id import identify
+from pixelmill.llm.line_dedup import dedup_lines
+from pixelmill.llm.packing import best_fit_packing
+from pixelmill.llm.shared import written
+from pixelmill.llm.simhash import near_duplicates
+
+#: A document goes where its first language holds a smaller share of its words.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters and a main language; learned from the labelled ones among them.
+
+    Documents without any letter (null and empty ones too) go, and those whose
+    first language has less than half of the words. Where no row is labelled,
+    only the first rule holds.
+    """
+    found = identify(docs, docs, keep_rows=True)
+    clear = (F.col("lang_pred") == "und") | (F.col("score") >= LEAST_SHARE)
+    return found.where(F.col("doc.text").rlike(r"\p{L}") & clear).select("doc.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each class of similar lines stays; documents that lose all of their lines go."""
+    found = dedup_lines(docs)
+    left = found.where(~((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) == "")))
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return left.select(*((changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`").alias(c)) for c in docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each SimHash group; null ids stay."""
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    leaked = leaked_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in sequences of 2048 tokens."""
+    return best_fit_packing(docs, ids=False)
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textarrays
 from .shared import columns
@@ -151,8 +152,8 @@ def mixtures(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.ndar
     return out
 
 
-def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang_pred, score, languages`` for every document.
+def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_rows: bool = False) -> DataFrame:
+    """``doc_id, lang_pred, score, languages`` for every document, and its whole row as ``doc`` if asked for.
 
     The model is learned from ``training`` rows with text and language.
     ``languages`` lists the chosen set with its proportions, largest first;
@@ -170,6 +171,7 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
         model = shared.value
         for batch in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
+            rest = [batch.column("doc")] if keep_rows else []
             for at, end in _slices(batch):
                 texts = _lowered(batch, at, end)
                 encoded = [t.encode() for t in texts]
@@ -182,9 +184,14 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
                     rows[2].append(min(1.0, float(share[order[0]])) if order else 0.0)
                     rows[3].append([{"lang": langs[i], "share": float(share[i])} for i in order])
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "lang_pred", "score", "languages"])
-
-    return columns(docs, id_col, text_col).toDF("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, kinds, strict=True)), *rest], ["doc_id", "lang_pred", "score", "languages", *["doc"] * keep_rows])
+
+    schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    texts = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
+    if keep_rows:
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+        schema, texts = schema.add("doc", docs.schema), [*texts, whole]
+    return docs.select(*texts).mapInArrow(run, schema)
 
 
 def _has_letter(text: str) -> bool:
