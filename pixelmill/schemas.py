@@ -1,0 +1,13 @@
+"""Explicit schemas of the tables that the operators take and return."""
+
+from __future__ import annotations
+
+from pyspark.sql.types import StructType
+
+RASTERS = StructType.fromDDL("image_id string, width int, height int, data binary")
+PIXELS = StructType.fromDDL("image_id long, width int, height int, x int, y int, r int, g int, b int, a int")
+OUTCOMES = StructType.fromDDL("id long, batch_id long, name string, format string, original_size long, compressed_size long, raw_status string")
+JOBS = StructType.fromDDL("id long, name string, mime string, width long, height long, quality long, preset_id string, format string, target_kb long, original_size long")
+ACTIONS = StructType.fromDDL("seq long, ts timestamp, library_id long, image_id long, type string, status string")
+TELEMETRY = StructType.fromDDL("event_id long, ts timestamp, user_id long, name string, props string")
+CHUNKS = StructType.fromDDL("seq int, name string, length int, is_metadata boolean")
