@@ -496,7 +496,7 @@ _LIB = """lib AS (SELECT library_id, coalesce(max(seq) FILTER (WHERE type = 'CLE
  own AS (SELECT a.*, l.clr, l.wide, l.wide_type FROM actions a JOIN lib l USING (library_id) WHERE type NOT IN ('CLEAR_ALL','SELECT_ALL','DESELECT_ALL')),
  img AS (SELECT library_id, image_id, clr, wide, wide_type, coalesce(max(seq) FILTER (WHERE type = 'ADD_FILES'), -1) AS added, coalesce(max(seq) FILTER (WHERE type = 'REMOVE_IMAGE'), -1) AS removed,
    coalesce(max(seq) FILTER (WHERE type = 'ADD_FILES' AND seq < wide), -1) AS added_b, coalesce(max(seq) FILTER (WHERE type = 'REMOVE_IMAGE' AND seq < wide), -1) AS removed_b,
-   greatest(wide, coalesce(max(seq) FILTER (WHERE type IN ('SELECT_IMAGE','DESELECT_IMAGE','REMOVE_IMAGE')), -1)) AS setter FROM own GROUP BY ALL)"""
+   greatest(wide, coalesce(max(seq) FILTER (WHERE type IN ('SELECT_IMAGE','DESELECT_IMAGE','REMOVE_IMAGE')), -1)) AS setter FROM own GROUP BY library_id, image_id, clr, wide, wide_type)"""
 _STATE = f"""{_LIB}, st AS (SELECT i.library_id, i.image_id, i.added, coalesce((SELECT arg_max(o.status, o.seq) FROM own o WHERE o.library_id = i.library_id AND o.image_id = i.image_id AND o.type = 'UPDATE_STATUS' AND o.status IS NOT NULL AND o.seq > i.added), 'queued') AS status
   FROM img i WHERE i.added > i.removed AND i.added > i.clr)"""
 
