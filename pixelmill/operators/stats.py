@@ -105,13 +105,45 @@ def edge_stats(pixels: DataFrame) -> DataFrame:
     return found.select("image_id", hard.alias("edge_ratio"), smooth.alias("smooth_ratio"), (hard > 0.05).alias("has_hard_edges"), (smooth > 0.6).alias("has_smooth_gradients"))
 
 
+def texture_stats(pixels: DataFrame) -> DataFrame:
+    """A6, A7 and A8 in one pass: one row per image.
+
+    Pixels are shuffled once, by image and row of blocks, which serves the
+    neighbours along a row and the 4x4 blocks alike and splits a large image over
+    many tasks; only block sums go on to the image.
+    """
+    n = F.col("width") * F.col("height")
+    step = F.greatest(F.lit(1), F.floor(n / F.least(F.lit(SAMPLE), n)))
+    edge_step = F.greatest(F.lit(1), F.floor(F.col("height") / 100))
+    p = pixels.withColumn("by", F.floor(F.col("y") / 4).cast("int")).withColumn("bx", F.floor(F.col("x") / 4).cast("int")).repartition("image_id", "by")
+    row = Window.partitionBy("image_id", "by", "y").orderBy("x")
+    near = lambda f: sum((F.abs(F.col(c) - f(c).over(row)) for c in ("g", "b")), F.abs(F.col("r") - f("r").over(row)))
+    inner = (F.col("x") >= 1) & (F.col("x") < F.col("width") - 1) & (F.col("y") % edge_step == 0)
+    p = p.withColumn("d", F.when(inner, F.greatest(near(F.lag), near(F.lead))))
+    clear, read = F.col("a") < 255, (F.col("y") * F.col("width") + F.col("x")) % step == 0
+    spread = sum((F.max(c) - F.min(c) for c in ("g", "b")), F.max("r") - F.min("r"))
+    blocks = p.groupBy("image_id", "width", "height", "by", "bx").agg(
+        (spread < 5).alias("solid"), F.count_if(clear & read).alias("hits"), F.bool_or(clear).alias("any"),
+        F.count_if(F.col("d") > 100).alias("hard"), F.count_if((F.col("d") > 0) & (F.col("d") < 30)).alias("smooth"),
+    )
+    whole = (F.col("by") * 4 < F.col("height") - 4) & (F.col("bx") * 4 < F.col("width") - 4)
+    t = blocks.groupBy("image_id", "width", "height").agg(
+        F.avg(F.when(whole, F.col("solid").cast("double"))).alias("solid_ratio"), F.sum("hits").alias("hits"), F.bool_or("any").alias("any_transparent"), F.sum("hard").alias("hard"), F.sum("smooth").alias("smooth")
+    )
+    samples = F.greatest(F.lit(1), F.col("width") - 2) * F.greatest(F.lit(1), F.ceil(F.col("height") / edge_step))
+    ratio = F.col("hits") / F.ceil(n / step)
+    return t.select(
+        "image_id", F.coalesce("solid_ratio", F.lit(0.0)).alias("solid_ratio"), (ratio > 0.01).alias("has_transparency"), (ratio > 0.05).alias("has_significant_transparency"), "any_transparent",
+        (F.col("hard") / samples > 0.05).alias("has_hard_edges"), (F.col("smooth") / samples > 0.6).alias("has_smooth_gradients"),
+    )
+
+
 def classify_images(pixels: DataFrame, mode: str = "sample", graphic_below: int = GRAPHIC_BELOW, photo_above: int = PHOTO_ABOVE) -> DataFrame:
     """Graphic, photo or mixed, with the statistics behind it; one row per image.
 
-    The four statistics shuffle partial counts of each image only, but for the edge
-    rows, and meet on image_id.
+    Colours are one pass with sums before the shuffle, everything else another.
     """
-    all_ = unique_colors(pixels, mode).join(transparency(pixels), "image_id").join(solid_ratio(pixels), "image_id").join(edge_stats(pixels), "image_id")
+    all_ = unique_colors(pixels, mode).join(texture_stats(pixels), "image_id")
     graphic = (F.col("unique_colors") < graphic_below) | (F.col("has_hard_edges") & (F.col("solid_ratio") > 0.3))
     photo = (F.col("unique_colors") > photo_above) & F.col("has_smooth_gradients")
     kind = F.when(graphic, F.lit("graphic")).when(photo, F.lit("photo")).otherwise(F.lit("mixed"))
