@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
-from .decontaminate import op8_decontaminate
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .hmm_lm import op6_lm_score
 from .language_id import op5_language_id
 from .line_dedup import op9_line_dedup
@@ -34,5 +34,6 @@ ORACLE_SQL = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
+    "op8_decontaminate": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
