@@ -11,6 +11,8 @@ from ..functions.scalars import half_up
 from .stats import premultiplied
 
 CHANNELS = ["r", "g", "b", "a"]
+#: Rounds of a median cut between two checkpoints.
+CUT_EVERY = 8
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -43,31 +45,28 @@ def median_cut(hist: DataFrame, k: int = 16) -> DataFrame:
     A box never splits for an image that has no box of two colours left, or that
     has k colours or fewer to begin with (each colour is then a box).
     """
-    colors = hist.withColumn("colors", F.count("*").over(Window.partitionBy("image_id")))
-    few = Window.partitionBy("image_id").orderBy(*CHANNELS)
-    boxes = _cut(colors.withColumn("box", F.when(F.col("colors") <= k, F.row_number().over(few) - 1).otherwise(0)))
-    done = boxes.where(F.col("colors") <= k).drop("colors")
-    live = boxes.where(F.col("colors") > k).drop("colors")
+    image, box = Window.partitionBy("image_id"), Window.partitionBy("image_id", "box")
+    # one shuffle: every window below is within an image
+    colors = hist.select("image_id", *CHANNELS, "cnt").repartition("image_id").withColumn("small", F.count("*").over(image) <= k)
+    live = colors.withColumn("box", F.when(F.col("small"), F.row_number().over(image.orderBy(*CHANNELS)) - 1).otherwise(0))
     for made in range(1, k):
-        spans = [(F.max(c) - F.min(c)).alias(f"s{c}") for c in "rgb"]
-        stats = live.groupBy("image_id", "box").agg(F.count("*").alias("n"), F.sum("cnt").alias("pop"), *spans)
+        spans = {f"s{c}": F.max(c).over(box) - F.min(c).over(box) for c in "rgb"}
+        live = live.withColumns({"n": F.count("*").over(box), "pop": F.sum("cnt").over(box), **spans})
         volume = (F.col("sr") + 1) * (F.col("sg") + 1) * (F.col("sb") + 1)
-        score = F.col("pop") if made < k * 0.75 else volume * F.col("pop")
-        axis = F.when((F.col("sr") >= F.col("sg")) & (F.col("sr") >= F.col("sb")), F.lit("r")).when(F.col("sg") >= F.col("sb"), F.lit("g")).otherwise(F.lit("b"))
-        pick = stats.where("n > 1").groupBy("image_id").agg(F.max_by(F.struct(F.col("box"), F.col("n"), F.col("pop"), axis.alias("axis")), F.struct(score, -F.col("box"))).alias("p"))
-        pick = pick.select("image_id", F.col("p.box").alias("box"), F.col("p.n").alias("n"), F.col("p.pop").alias("pop"), F.col("p.axis").alias("axis"))
-        both = live.join(pick, ["image_id", "box"], "left")
-        key = F.when(F.col("axis") == "r", F.col("r")).when(F.col("axis") == "g", F.col("g")).otherwise(F.col("b"))
-        along = Window.partitionBy("image_id", "box").orderBy(key, *CHANNELS)
-        ranked = both.withColumn("at", F.row_number().over(along) - 1).withColumn("sum", F.sum("cnt").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        median = F.min(F.when(F.col("sum") * 2 >= F.col("pop"), F.col("at"))).over(Window.partitionBy("image_id", "box"))
-        split = F.least(F.greatest(median, F.lit(1)), F.col("n") - 2)
-        split = F.greatest(split, F.lit(0))
-        ranked = ranked.withColumn("split", split)
-        moved = F.when(F.col("axis").isNotNull() & (F.col("at") > F.col("split")), made).otherwise(F.col("box"))
-        live = _cut(ranked.select("image_id", *CHANNELS, "cnt", moved.cast("int").alias("box")))
+        score = F.when((F.col("n") > 1) & ~F.col("small"), F.col("pop") if made < k * 0.75 else volume * F.col("pop"))
+        best = F.max(F.when(score.isNotNull(), F.struct(score.alias("score"), (-F.col("box")).alias("order")))).over(image)
+        wide = F.when((F.col("sr") >= F.col("sg")) & (F.col("sr") >= F.col("sb")), F.col("r")).when(F.col("sg") >= F.col("sb"), F.col("g")).otherwise(F.col("b"))
+        live = live.withColumn("chosen", F.coalesce(best["order"] == -F.col("box"), F.lit(False))).withColumn("along", F.when(F.col("chosen"), wide))
+        order = box.orderBy("along", *CHANNELS)
+        live = live.withColumns({"at": F.row_number().over(order) - 1, "so_far": F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        median = F.min(F.when(F.col("so_far") * 2 >= F.col("pop"), F.col("at"))).over(box)
+        live = live.withColumn("split", F.greatest(F.least(F.greatest(median, F.lit(1)), F.col("n") - 2), F.lit(0)))
+        moved = F.when(F.col("chosen") & (F.col("at") > F.col("split")), made).otherwise(F.col("box"))
+        live = live.select("image_id", *CHANNELS, "cnt", "small", moved.cast("int").alias("box"))
+        if made % CUT_EVERY == 0 and made < k - 1:
+            live = _cut(live).repartition("image_id")
     mean = [half_up(F.sum(F.col(c) * F.col("cnt")) / F.sum("cnt")).cast("int").alias(c) for c in CHANNELS]
-    return done.unionByName(live).groupBy("image_id", F.col("box").alias("idx")).agg(*mean, F.sum("cnt").alias("cnt"))
+    return live.groupBy("image_id", F.col("box").alias("idx")).agg(*mean, F.sum("cnt").alias("cnt"))
 
 
 def kmeans_refine(hist: DataFrame, palette: DataFrame, rounds: int = 5) -> DataFrame:
