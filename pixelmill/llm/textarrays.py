@@ -125,12 +125,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered(marks: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of n positions a range of ``length`` starting at a position of ``marks`` covers."""
-    step = np.zeros(n + length + 1, np.int64)
-    np.add.at(step, marks, 1) if len(marks) < 64 else step.__setitem__(slice(0, n), np.bincount(marks, minlength=n)[:n])
-    out = np.cumsum(step[:n])
-    out[length:] -= np.cumsum(step[:n])[: max(0, n - length)]
+    begun = np.cumsum(np.bincount(marks, minlength=n)[:n])
+    out = begun.copy()
+    out[length:] -= begun[: max(0, n - length)]
     return out > 0
-
-
-def binary_column(parts: list) -> pa.Array:
-    return pa.array(parts, pa.binary())
