@@ -49,16 +49,6 @@ def _lowered(batch: pa.RecordBatch, at: int, end: int) -> list[str]:
     return [(t or "").lower() for t in batch.column("text").slice(at, end - at).to_pylist()]
 
 
-def _slices(batch: pa.RecordBatch):
-    """Row ranges of about BLOCK bytes."""
-    _, offsets = textarrays.buffers(batch.column("text"))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1)
-        yield at, min(end, batch.num_rows)
-        at = end
-
-
 def trigram_counts(labelled: DataFrame) -> DataFrame:
     """``lang, cell, n`` of a table of ``text, lang``; added up in each task, then in Spark."""
 
@@ -66,7 +56,7 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
-            for at, end in _slices(batch):
+            for at, end in textarrays.slices(batch.column("text"), BLOCK):
                 texts = _lowered(batch, at, end)
                 for lang in set(langs[at:end]):
                     raw = " ".join(t for t, own in zip(texts, langs[at:end], strict=True) if own == lang).encode()
@@ -172,7 +162,7 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
         for batch in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
             rest = [batch.column("doc")] if keep_rows else []
-            for at, end in _slices(batch):
+            for at, end in textarrays.slices(batch.column("text"), BLOCK):
                 texts = _lowered(batch, at, end)
                 encoded = [t.encode() for t in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)

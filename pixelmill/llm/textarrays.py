@@ -62,6 +62,16 @@ def buffers(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(column: pa.Array, size: int):
+    """Row ranges of about ``size`` bytes of text."""
+    _, offsets = buffers(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, min(end, len(column))
+        at = end
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the n + 1 word offsets of the texts."""
     n = len(raw)
