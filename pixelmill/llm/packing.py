@@ -24,7 +24,7 @@ from .shared import columns, shuffle_partitions, written
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers.
-REMEMBER = 1_200_000
+REMEMBER = 2_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -104,9 +104,8 @@ class _Words:
         for u in units:
             need.update(u)
         self._learn(need)
-        near = {u: self.ids[u] for u in need}  # a small table is read faster
         for i, u in zip(plain, units, strict=True):
-            out[i] = b"".join(map(near.__getitem__, u))
+            out[i] = b"".join(map(self.ids.__getitem__, u))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
         return out
