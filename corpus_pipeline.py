@@ -20,6 +20,8 @@ from pixelmill.llm.simhash import near_duplicates
 
 #: A document goes where its first language holds a smaller share of its words.
 LEAST_SHARE = 0.5
+#: Words whose ids a worker keeps: few, as the same workers run the other stages.
+REMEMBER = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences of 2048 tokens."""
-    return best_fit_packing(docs, ids=False)
+    return best_fit_packing(docs, ids=False, remember=REMEMBER)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]

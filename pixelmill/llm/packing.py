@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import columns, shuffle_partitions, written
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers; a million takes some 350 MB.
 REMEMBER = 2_000_000
 
 
@@ -49,7 +49,7 @@ class _Words:
     _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
     _BESIDE = ("  ", " \n", "\n ", "\n\n")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,6 +57,7 @@ class _Words:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(_byte_letters()))
         self.ids: dict[str, bytes] = {}
+        self.remember = remember
         probe = "One two, three.\nFour 5 six's \u00c0 c\u00f4t\u00e9! naïve; Ünder? a1b 'tis ... x"
         self.split = self._joined(self._units(probe)) == self._encode([probe])[0]
 
@@ -75,7 +76,7 @@ class _Words:
         return found
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.ids) > REMEMBER:
+        if len(self.ids) > self.remember:
             self.ids.clear()
         rest = []
         for u in [x for x in units if x not in self.ids]:
@@ -112,14 +113,14 @@ class _Words:
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str, remember: int) -> _Words:
+    return _Words(path, remember)
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0, ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0, ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (little-endian uint32 bytes).
 
     The end id closes each document. Longer ones are cut into pieces of the full
@@ -130,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches):
-        encode = _words(tokenizer)
+        encode = _words(tokenizer, remember)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -249,7 +250,7 @@ def _slots(found: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarr
     return {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in rows.items()}
 
 
-def best_fit_packing(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, ids: bool = True) -> DataFrame:
+def best_fit_packing(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32``, then
@@ -262,7 +263,7 @@ def best_fit_packing(docs: DataFrame, *, tokenizer: str | None = None, id_col: s
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
-    cut = written(pieces(columns(docs, id_col, text_col).toDF("doc_id", "text"), tokenizer, capacity=capacity, end_id=end_id, ids=ids))
+    cut = written(pieces(columns(docs, id_col, text_col).toDF("doc_id", "text"), tokenizer, capacity=capacity, end_id=end_id, ids=ids, remember=remember))
     # ranks within a length: the place in a group of hashed ids after all earlier groups' counts
     groups = max(64, 4 * shuffle_partitions(docs.sparkSession))
     keyed = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
