@@ -11,11 +11,11 @@ similarity over all shingles confirms the rest, and distributed union-find merge
 them. In each component the first line, by document and place, stays.
 
 Equal lines collapse before anything else. In a band's bucket each line is
-compared with the smallest and with its neighbours in the order of hashes, so
-pairs grow with the lines, not with the square of a bucket. Larger buckets are
-gone through once more with one line for each component that is left in them.
-Similar lines of one bucket that neither pass brings together stay apart, unless
-another band or a third line joins them.
+compared with the smallest and with its neighbours in the order of sketches, which
+links most of a class. Where a bucket still holds several components after that,
+all its lines of different components are compared if their sketches are alike,
+so no pair of a bucket is left out. Large buckets are dealt into blocks, and into
+pairs of blocks for the last comparison, so no bucket is one task.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from .shared import checkpointed
 
 SHINGLE, ANCHORED, BANDS, ROWS, SIMILARITY = 8, 10, 8, 4, 0.8
 NEIGHBOURS = 3
+#: Lines of a bucket that one block holds, about.
+BLOCK = 512
+#: One line in so many is counted to find the buckets that need several blocks.
+COUNTED = 16
 #: Masks, of BANDS * ROWS, on which the sketches of similar lines may differ.
 SKETCH_DIFFERS = 10
 #: Lines in candidate pairs up to this number are broadcast as hashes (8 bytes each) to fetch their texts.
@@ -85,30 +89,52 @@ def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     return both.where(common * (1 + similarity) >= (F.size("su") + F.size("sv")) * F.lit(similarity) - 1e-9).select("u", "v")
 
 
+def _dealt(bands: DataFrame, block: int) -> DataFrame:
+    """``band, h, sketch, salt``: rows of large buckets are dealt by their sketches; single rows of other buckets go."""
+    counted = bands.where(F.pmod("h", F.lit(COUNTED)) == 0).groupBy("band").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block)
+    large = F.broadcast(counted.select("band", F.ceil(F.col("n") / block).alias("blocks")))
+    salt = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("sketch"), F.col("blocks")))
+    rows = bands.join(large, "band", "left").select("band", "h", "sketch", F.coalesce(salt, F.lit(-1)).alias("salt"))
+    return rows.withColumn("size", F.count("*").over(Window.partitionBy("band", "salt"))).where("size > 1 or salt >= 0").drop("size")
+
+
 def _met(bands: DataFrame) -> DataFrame:
     """Distinct pairs ``u, v`` of a bucket's lines with its smallest and its neighbours, sketches alike."""
-    bucket = Window.partitionBy("band")
-    order, own = bucket.orderBy("h"), F.struct("h", "sketch")
+    bucket = Window.partitionBy("band", "salt")
+    turned = F.expr("shiftleft(sketch, cast(2 * pmod(band, 32) as int)) | shiftrightunsigned(sketch, cast(64 - 2 * pmod(band, 32) as int))")
+    order, own = bucket.orderBy(turned, "h"), F.struct("h", "sketch")
     partners = F.array_distinct(F.array_compact(F.array(F.min(own).over(bucket), *(F.lag(own, k).over(order) for k in range(1, NEIGHBOURS + 1)))))
     pairs = bands.select("h", "sketch", partners.alias("partners")).select("h", "sketch", F.explode("partners").alias("p")).where("h <> p.h")
     return pairs.where(_alike(F.col("sketch"), F.col("p.sketch"))).select(F.greatest("h", "p.h").alias("u"), F.least("h", "p.h").alias("v")).distinct()
 
 
-def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+def _across(bands: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Distinct pairs ``u, v`` of all lines of a bucket that lie in different components, sketches alike."""
+    named = checkpointed(bands.join(roots.withColumnRenamed("v", "h"), "h", "left").select("band", "h", "sketch", F.coalesce("root", "h").alias("root")))
+    split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    split = checkpointed(split.select("band", F.ceil(F.col("n") / block).alias("blocks")))
+    if split.count() <= BROADCAST_ROWS:
+        split = F.broadcast(split)
+    rest = named.join(split, "band").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    # a pair meets where its first line's block crosses its second line's
+    left = rest.select("band", F.col("own").alias("i"), others.alias("j"), F.struct("h", "sketch", "root").alias("a"))
+    right = rest.select("band", others.alias("i"), F.col("own").alias("j"), F.struct("h", "sketch", "root").alias("b"))
+    pairs = left.join(right.hint("merge"), ["band", "i", "j"]).where((F.col("a.root") < F.col("b.root")) & _alike(F.col("a.sketch"), F.col("b.sketch")))
+    return pairs.select(F.greatest("a.h", "b.h").alias("u"), F.least("a.h", "b.h").alias("v")).distinct()
+
+
+def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``h, root`` for each line hash of ``doc_id, text`` that is like another, but the roots."""
     lines = _lines(docs).select("h", "line")
-    sized = _bands(lines).groupBy("band", "h").agg(F.first("sketch").alias("sketch")).withColumn("size", F.count("*").over(Window.partitionBy("band")))
-    bands = checkpointed(sized.where("size > 1"))
+    bands = checkpointed(_dealt(_bands(lines), block))
     near = checkpointed(_met(bands))
     links = checkpointed(_similar(near, lines, similarity))
     roots = components(links)
-    # larger buckets once more, with one line for each component that is left in them
-    named = bands.where(f"size > {NEIGHBOURS + 1}").join(roots.withColumnRenamed("v", "h"), "h", "left").select("band", "h", "sketch", F.coalesce("root", "h").alias("root"))
-    one = named.groupBy("band", "root").agg(F.min(F.struct("h", "sketch")).alias("f")).select("band", "f.h", "f.sketch")
-    again = checkpointed(_met(one).join(near, ["u", "v"], "left_anti"))
-    if not again.limit(1).count():
+    across = checkpointed(_across(bands, roots, block).join(near, ["u", "v"], "left_anti"))
+    if not across.limit(1).count():
         return roots
-    more = checkpointed(_similar(again, lines, similarity))
+    more = checkpointed(_similar(across, lines, similarity))
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 

@@ -298,6 +298,26 @@ def test_line_dedup_against_all_pairs(spark):
     assert found[0].doc.keys == 1
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 16}])
+def test_line_classes_of_one_bucket_with_many_classes(spark, monkeypatch, options):
+    lines = [(k, f"class {k} line {n}") for k in range(20) for n in range(15)]
+    ids = spark.createDataFrame([(x, k) for k, x in lines], "line string, k int").selectExpr("xxhash64(line) h", "k").collect()
+    own = {r.h: r.k for r in ids}
+    # all lines in one bucket, all sketches alike; only pairs of one class are similar
+    monkeypatch.setattr(line_dedup, "_bands", lambda t: t.select("h").distinct().selectExpr("h", "0L sketch", "1L band"))
+
+    def similar(pairs, *_):
+        return spark.createDataFrame([(r.u, r.v) for r in pairs.collect() if own[r.u] == own[r.v]], "u long, v long")
+
+    monkeypatch.setattr(line_dedup, "_similar", similar)
+    docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(lines)], "doc_id long, text string")
+    roots = {r.v: r.root for r in line_dedup.line_classes(docs, **options).collect()}
+    found = {}
+    for h, k in own.items():
+        found.setdefault(k, set()).add(roots.get(h, h))
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == 20
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     labelled = spark.createDataFrame([], "doc_id long, text string, lang string")
