@@ -1,11 +1,10 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
 Every line that is not blank is a set of shingles of ``SHINGLE`` UTF-8 bytes (a
-shorter line is one shingle). Signatures take the ``ANCHORED`` characters that
-begin at each word, a sample of character shingles that does not depend on where
-a line is cut. One hash per shingle is compared under many masks: the smallest
-value of hash xor mask is the hash nearest to the mask, so two sets agree on it
-with a probability that is their similarity. Bands of masks give candidate pairs;
+shorter line is one shingle). Signatures take all of them. One hash per shingle
+is compared under many masks: the smallest value of hash xor mask is the hash
+nearest to the mask, so two sets agree on it with a probability that is their
+similarity. Bands of masks give candidate pairs;
 a sketch of two bits a mask drops most pairs that met by chance, an exact Jaccard
 similarity over all shingles confirms the rest, and distributed union-find merges
 them. In each component the first line, by document and place, stays.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import checkpointed
 
-SHINGLE, ANCHORED, BANDS, ROWS, SIMILARITY = 8, 10, 8, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 4, 0.8
 NEIGHBOURS = 3
 #: Lines of a bucket that one block holds, about.
 BLOCK = 512
@@ -57,9 +56,9 @@ def _shingles(data: Column) -> Column:
 
 def _bands(lines: DataFrame) -> DataFrame:
     """``band, h, sketch``: a key for each band of each distinct line."""
-    rows = lines.select("h", F.split("line", " ").alias("w")).select("h", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    anchored = F.substring(F.concat_ws(" ", F.get("w", F.col("i")), F.get("w", F.col("i") + 1), F.get("w", F.col("i") + 2)), 1, ANCHORED)
-    rows = rows.select("h", F.hash(anchored).alias("s"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("data") - (SHINGLE - 1)))
+    rows = lines.select("h", F.encode("line", "UTF-8").alias("data")).select("h", "data", F.explode(places).alias("i"))
+    rows = rows.select("h", F.hash(F.substring(F.col("data"), F.col("i"), F.lit(SHINGLE))).alias("s"))
     least = rows.groupBy("h").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(m - (1 << 31)))).alias(f"m{k}") for k, m in enumerate(MASKS)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     sketch = F.lit(0).cast("long")

@@ -298,6 +298,29 @@ def test_line_dedup_against_all_pairs(spark):
     assert found[0].doc.keys == 1
 
 
+def test_line_dedup_recall_without_spaces(spark):
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = "".join(chr(0x4E00 + i) for i in range(3000))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {
+        "cjk": lambda: draw(han, 60), "url": lambda: f"https://{draw(small, 30)}/{draw(small, 60)}?q={draw(small, 20)}",
+        "tabs": lambda: "\t".join(draw(small, 9) for _ in range(15)), "long words": lambda: " ".join(draw(small, 35) for _ in range(4)),
+        "short words": lambda: " ".join(draw(small, 4) for _ in range(24)),
+    }
+    rows, pairs = [], []
+    for kind, make in kinds.items():
+        for _ in range(20):
+            x = make()
+            y = "Z" + x[1:]  # the first character differs
+            assert len(_shingles(x) & _shingles(y)) >= 0.8 * len(_shingles(x) | _shingles(y))
+            pairs.append((kind, len(rows) + 1))
+            rows += [(len(rows), x), (len(rows) + 1, y)]
+    removed = {r.doc_id for r in line_dedup.dedup_lines(_docs(spark, rows)).collect() if r.n_removed}
+    caught = Counter(kind for kind, i in pairs if i in removed)
+    assert removed <= {i for _, i in pairs} and all(caught[kind] >= 18 for kind in kinds), caught
+
+
 @pytest.mark.parametrize("options", [{}, {"block": 16}])
 def test_line_classes_of_one_bucket_with_many_classes(spark, monkeypatch, options):
     lines = [(k, f"class {k} line {n}") for k in range(20) for n in range(15)]
