@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.decontaminate import leaked_items
 from pixelmill.llm.language_id import identify
-from pixelmill.llm.line_dedup import dedup_lines
+from pixelmill.llm.line_dedup import WORDS, classes, dedup_lines
 from pixelmill.llm.packing import best_fit_packing
 from pixelmill.llm.shared import written
-from pixelmill.llm.simhash import near_duplicates
 
 #: A document goes where its first language holds a smaller share of its words.
 LEAST_SHARE = 0.5
@@ -45,8 +44,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group; null ids stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The document with the smallest id of each class of near copies; null ids stay.
+
+    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words,
+    or are linked by such; MinHash bands find them, exact sets confirm them.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
+    texts = texts.select("doc_id", "line", F.xxhash64(WORDS.data(F.col("line"))).alias("h"))
+    roots = classes(texts.select("h", "line"), unit=WORDS)
+    member = texts.select("doc_id", "h").join(roots.withColumnRenamed("v", "h"), "h", "left").select("doc_id", F.coalesce("root", "h").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = member.join(smallest, "root").where("doc_id <> least").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -20,6 +20,8 @@ pairs of blocks for the last comparison, so no bucket is one task.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,23 +44,41 @@ _random = random.Random(11)
 MASKS = [(i << 27) | _random.getrandbits(27) for i in range(BANDS * ROWS)]
 
 
+class Unit(NamedTuple):
+    """What a text's shingles are made of: its units, their number, a stretch of them, the stretch's size."""
+
+    data: Callable[[Column], Column]
+    length: Callable[[Column], Column]
+    cut: Callable[[Column, Column, Column], Column]
+    size: int
+
+    def places(self, data: Column) -> Column:
+        return F.sequence(F.lit(1), F.greatest(F.lit(1), self.length(data) - (self.size - 1)))
+
+    def piece(self, data: Column, i: Column) -> Column:
+        return self.cut(data, i, F.lit(self.size))
+
+
+BYTES = Unit(lambda t: F.encode(t, "UTF-8"), F.octet_length, F.substring, SHINGLE)
+#: Five words in lower case, for whole documents.
+WORDS = Unit(lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""), F.size, F.slice, 5)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n, line, h`` of every line that is not blank."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.length(F.trim("line")) > 0)
     return lines.select("doc_id", "n", "line", F.xxhash64("line").alias("h"))
 
 
-def _shingles(data: Column) -> Column:
-    """The distinct shingles of a line's bytes; ``data`` has to be a column as it stands, not computed."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - (SHINGLE - 1)))
-    return F.array_distinct(F.transform(places, lambda i: F.hash(F.substring(data, i, F.lit(SHINGLE)), F.lit(7))))
+def _shingles(data: Column, unit: Unit = BYTES) -> Column:
+    """The distinct shingles of a line's units; ``data`` has to be a column as it stands, not computed."""
+    return F.array_distinct(F.transform(unit.places(data), lambda i: F.hash(unit.piece(data, i), F.lit(7))))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
+def _bands(lines: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """``band, h, sketch``: a key for each band of each distinct line."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("data") - (SHINGLE - 1)))
-    rows = lines.select("h", F.encode("line", "UTF-8").alias("data")).select("h", "data", F.explode(places).alias("i"))
-    rows = rows.select("h", F.hash(F.substring(F.col("data"), F.col("i"), F.lit(SHINGLE))).alias("s"))
+    rows = lines.select("h", unit.data(F.col("line")).alias("data")).select("h", "data", F.explode(unit.places(F.col("data"))).alias("i"))
+    rows = rows.select("h", F.hash(unit.piece(F.col("data"), F.col("i"))).alias("s"))
     least = rows.groupBy("h").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(m - (1 << 31)))).alias(f"m{k}") for k, m in enumerate(MASKS)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     sketch = F.lit(0).cast("long")
@@ -74,13 +94,13 @@ def _alike(a: Column, b: Column) -> Column:
     return F.bit_count(cells) <= SKETCH_DIFFERS
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, lines: DataFrame, similarity: float, unit: Unit = BYTES) -> DataFrame:
     """Those of the distinct pairs ``u, v`` whose lines have the Jaccard similarity."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     # the aggregate keeps the encoding out of the loop over places
-    sets = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first(F.encode("line", "UTF-8")).alias("data")).select("h", _shingles(F.col("data")).alias("s"))
+    sets = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first(unit.data(F.col("line"))).alias("data")).select("h", _shingles(F.col("data"), unit).alias("s"))
     left, right = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
     both = pairs.join(left, "u").join(right, "v")
     common = F.size(F.array_intersect("su", "sv"))
@@ -125,15 +145,19 @@ def _across(bands: DataFrame, roots: DataFrame, block: int) -> DataFrame:
 
 def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``h, root`` for each line hash of ``doc_id, text`` that is like another, but the roots."""
-    lines = _lines(docs).select("h", "line")
-    bands = checkpointed(_dealt(_bands(lines), block))
+    return classes(_lines(docs).select("h", "line"), similarity=similarity, block=block)
+
+
+def classes(lines: DataFrame, *, unit: Unit = BYTES, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``h, root`` for each hash of ``h, line`` (a line or a whole text) that is like another, but the roots."""
+    bands = checkpointed(_dealt(_bands(lines, unit), block))
     near = checkpointed(_met(bands))
-    links = checkpointed(_similar(near, lines, similarity))
+    links = checkpointed(_similar(near, lines, similarity, unit))
     roots = components(links)
     across = checkpointed(_across(bands, roots, block).join(near, ["u", "v"], "left_anti"))
     if not across.limit(1).count():
         return roots
-    more = checkpointed(_similar(across, lines, similarity))
+    more = checkpointed(_similar(across, lines, similarity, unit))
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 

@@ -104,6 +104,22 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == kept["benchmark"]
 
 
+def test_near_copies_stage_finds_edited_documents(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        edited = words[:]
+        for k in range(1 + i % 5):
+            edited[30 + 60 * k] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    rows += [(90, None), (91, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert {2 * i for i in range(40)} | {90, None} <= set(kept)
+    assert len(kept) <= 42 + 2, sorted(x for x in kept if x is not None and x % 2)
+
+
 def test_registry_has_each_operator_once():
     import __spark_entry__ as entry
 
