@@ -2,8 +2,8 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders,
 other words lose case and outer punctuation. Benchmark templates are indexed at
-every window of ``window`` tokens, documents at every ``stride``-th, so each
-shared run of ``window + stride - 1`` tokens meets in a hash join. Matches on one
+every window of ``window`` tokens, documents at every ``stride``-th (each one
+unless the caller says otherwise), so each shared run of ``window + stride - 1`` tokens meets in a hash join. Matches on one
 diagonal (document place minus item place) must fill the placeholders
 consistently: each value of the item stands for one value of the document and
 the other way round. An item counts as leaked where consistent windows cover
@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, COVERAGE = 8, 4, 0.5
+WINDOW, STRIDE, COVERAGE = 8, 1, 0.5
+#: OP8_SQL still starts document windows at every fourth token.
+SQL_STRIDE = 4
 #: Benchmark windows up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 UNITS = ["km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "litres", "liters", "l", "ml", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees", "meters", "metres"]
@@ -37,14 +39,14 @@ def _template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def _windows(df: DataFrame, id_name: str, window: int, stride: int) -> DataFrame:
-    """``id, n, at, key, raw, form`` for each window; ``at`` counts from 0."""
+def _windows(df: DataFrame, id_name: str, window: int, stride: int, cut: bool = True) -> DataFrame:
+    """``id, n, at, key, raw, form`` for each window; ``at`` counts from 0. Without ``cut``, raw and form are whole texts."""
     tokens = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
     rows = df.select(id_name, tokens.alias("raw")).where(F.size("raw") >= window).select(id_name, "raw", _template(F.col("raw")).alias("form"))
     places = F.sequence(F.lit(1), F.size("raw") - (window - 1), F.lit(stride))
     rows = rows.select(id_name, "raw", "form", F.size("raw").alias("n"), F.explode(places).alias("i"))
     form = F.slice("form", F.col("i"), window)
-    return rows.select(id_name, "n", (F.col("i") - 1).alias("at"), F.xxhash64(form).alias("key"), F.slice("raw", F.col("i"), window).alias("raw"), form.alias("form"))
+    return rows.select(id_name, "n", (F.col("i") - 1).alias("at"), F.xxhash64(form).alias("key"), *((F.slice("raw", F.col("i"), window).alias("raw"), form.alias("form")) if cut else ("raw", "form")))
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE) -> DataFrame:
@@ -58,9 +60,12 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     get = lambda name: F.col(f"`{name}`")
     items = _windows(benchmark.select(get(item_col).alias("item_id"), get(item_text_col).alias("text")), "item_id", window, 1)
     items = items.select("item_id", F.col("n").alias("item_n"), F.col("at").alias("item_at"), "key", F.col("raw").alias("item_raw"), F.col("form").alias("item_form"))
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    found = _windows(docs.select(get(id_col).alias("doc_id"), get(text_col).alias("text")), "doc_id", window, stride).join(items, "key")
+    few = items.count() <= BROADCAST_ROWS
+    texts = docs.select(get(id_col).alias("doc_id"), get(text_col).alias("text"))
+    # where nothing is shuffled, only the windows that meet an item are cut out
+    found = _windows(texts, "doc_id", window, stride, cut=not few).join(F.broadcast(items) if few else items, "key")
+    if few:
+        found = found.withColumns({c: F.slice(c, F.col("at") + 1, window) for c in ("raw", "form")})
     slots = F.transform(
         F.filter(F.arrays_zip("form", "raw", "item_raw"), lambda z: z.form.isin("<num>", "<unit>", "<name>")),
         lambda z: F.struct(z.form.alias("kind"), z.item_raw.alias("item"), z.raw.alias("doc")),
@@ -85,7 +90,7 @@ _FORM = rf"""list_transform(raw, lambda t, i: CASE WHEN regexp_matches(t, '^[^\p
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, raw, {_FORM} AS form FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw FROM documents) WHERE len(raw) >= {WINDOW}),
 b AS (SELECT item_id, raw, {_FORM} AS form FROM (SELECT item_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS raw FROM benchmark) WHERE len(raw) >= {WINDOW}),
-dw AS (SELECT doc_id, i - 1 AS at, raw[i:i + {WINDOW - 1}] AS raw, form[i:i + {WINDOW - 1}] AS form FROM (SELECT *, unnest(range(1, len(raw) - {WINDOW - 2}, {STRIDE})) AS i FROM d)),
+dw AS (SELECT doc_id, i - 1 AS at, raw[i:i + {WINDOW - 1}] AS raw, form[i:i + {WINDOW - 1}] AS form FROM (SELECT *, unnest(range(1, len(raw) - {WINDOW - 2}, {SQL_STRIDE})) AS i FROM d)),
 bw AS (SELECT item_id, n, i - 1 AS at, raw[i:i + {WINDOW - 1}] AS raw, form[i:i + {WINDOW - 1}] AS form FROM (SELECT *, len(raw) AS n, unnest(range(1, len(raw) - {WINDOW - 2})) AS i FROM b)),
 found AS (SELECT doc_id, item_id, n, bw.at AS item_at, dw.at - bw.at AS diagonal, list_filter(list_zip(dw.form, dw.raw, bw.raw), lambda z: z[1] IN ('<num>', '<unit>', '<name>')) AS slots FROM dw JOIN bw ON dw.form = bw.form),
 bad AS (SELECT doc_id, item_id, diagonal FROM (SELECT DISTINCT doc_id, item_id, diagonal, unnest(slots) AS s FROM found)

@@ -266,6 +266,16 @@ def test_decontamination_wants_consistent_slots(spark):
     assert [r.doc_id for r in decontaminate.leaked_items(_docs(spark, rows), bench).collect()] == [1]
 
 
+def test_decontamination_at_every_alignment(spark):
+    short = "seven quiet otters swim past the broken mill"
+    long = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    edited = " ".join("other" if i % 10 == 9 else w for i, w in enumerate(long))
+    rows = [(10 * k + n, f"{'pad ' * k}{t}{' tail' * 9}") for k in range(4) for n, t in ((1, short), (2, edited))]
+    bench = spark.createDataFrame([(1, short), (2, " ".join(long))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.leaked_items(_docs(spark, rows), bench).collect()}
+    assert found == {(10 * k + n, n): c for k in range(4) for n, c in ((1, 1.0), (2, 0.9))}
+
+
 def _shingles(line: str) -> frozenset:
     b = line.encode()
     return frozenset(b[i : i + line_dedup.SHINGLE] for i in range(max(1, len(b) - line_dedup.SHINGLE + 1)))
