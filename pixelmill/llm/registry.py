@@ -29,11 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op4_topk_search": OP4_SQL,
-    "op5_language_id": op5_language_id,
-    "op6_lm_score": op6_lm_score,
-    "op7_suffix_dedup": op7_suffix_dedup,
-    "op8_decontaminate": op8_decontaminate,
-    "op9_line_dedup": op9_line_dedup,
     "op8_decontaminate": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }

@@ -126,3 +126,9 @@ def test_registry_has_each_operator_once():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_oracle_sql_holds_text_only():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
