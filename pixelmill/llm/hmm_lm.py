@@ -4,8 +4,7 @@ A state emits a word's cell (its last bytes, hashed to a fixed number of cells),
 and the cell emits the word by its corpus count, plus one, with one unseen word
 for each cell. Word counts are exact and come from all training documents; the
 states' tables have a fixed size. Each Baum-Welch round adds up expected counts
-in every partition, then in Spark. The first rounds take a fixed share of the
-training documents, the last round takes all. Scaled forward recursion gives the
+in every partition, then in Spark; each takes all training documents. Scaled forward recursion gives the
 exact likelihood of whole texts; long texts are cut into segments whose transfer
 from each state is computed side by side and then chained, which is the same sum.
 """
@@ -25,9 +24,9 @@ from .shared import columns
 
 STATES = 6
 CELLS = 1 << 13
-#: Each round takes one in so many of the training documents.
-ROUNDS = (16, 16, 16, 8, 4, 1)
-#: Training sequences are cut after so many tokens; scoring cuts exactly.
+#: Each round takes one in so many of the training documents: all of them.
+ROUNDS = (1, 1, 1, 1, 1, 1)
+#: Tokens of a segment; segments of a text are chained exactly, in training as in scoring.
 TRAIN_LENGTH, SCORE_LENGTH = 256, 1024
 #: Tokens that a training block or a slice of texts holds, about.
 BLOCK_TOKENS, SLICE_BYTES = 1 << 17, 2 << 20
@@ -111,18 +110,59 @@ def corpus_counts(training: DataFrame, n_buckets: int) -> Corpus:
     return out
 
 
+def _entries(cells: np.ndarray, begin: np.ndarray, size: np.ndarray, inner: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The state ahead of each segment, and what follows after each (up to a factor).
+
+    ``inner`` tells the segments that go on with a text; these are in order.
+    """
+    k = len(model.start)
+    emit = np.ascontiguousarray(model.emit.T)
+    ahead, out = np.tile(model.start, (len(begin), 1)), np.ones((len(begin), k))
+    owners = np.flatnonzero(inner | np.append(inner[1:], False))
+    if not len(owners):
+        return ahead, out
+    rows, longest = np.repeat(owners, k), int(size[owners].max())
+    order = np.argsort(-size[rows], kind="stable")
+    live = np.searchsorted(-size[rows][order], -np.arange(longest), side="left")
+    first, cur = begin[rows][order], np.tile(np.eye(k), (len(owners), 1))[order]
+    last, logs = np.zeros((len(rows), k)), np.zeros(len(rows))
+    for t in range(longest):
+        m = live[t]
+        a = cur[:m] * emit[cells[first[:m] + t]]
+        s = a.sum(axis=1)
+        a /= s[:, None]
+        logs[:m] += np.log(s)
+        last[:m] = a
+        cur = a @ model.move
+    back = np.argsort(order)
+    last, logs = last[back].reshape(-1, k, k), logs[back].reshape(-1, k)
+    transfer = last * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
+    state = None
+    for n, i in enumerate(owners.tolist()):
+        if inner[i]:
+            ahead[i] = state @ model.move
+        state = ahead[i] @ transfer[n]
+        state = state / state.sum()
+    for n, i in reversed(list(enumerate(owners.tolist()))):
+        if inner[i]:
+            before = model.move @ (transfer[n] @ out[i])
+            out[i - 1] = before / before.sum()
+    return ahead, out
+
+
 def _expected(cells: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions over one block of texts."""
     k = len(model.start)
     begin = np.concatenate([np.arange(a, b, TRAIN_LENGTH) for a, b in zip(at[:-1], at[1:], strict=True)])
     stop = np.minimum(begin + TRAIN_LENGTH, np.repeat(at[1:], -(-np.diff(at) // TRAIN_LENGTH)))
+    inner = ~np.isin(begin, at[:-1])
+    ahead, out = _entries(cells, begin, stop - begin, inner, model)
     order = np.argsort(begin - stop, kind="stable")  # the longest first
-    begin, size = begin[order], (stop - begin)[order]
+    begin, size, inner, ahead, out = begin[order], (stop - begin)[order], inner[order], ahead[order], out[order]
     live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # sequences that reach step t
     emit = np.ascontiguousarray(model.emit.T)
     alpha = np.zeros((len(cells), k))
     scale = np.ones(len(cells))
-    ahead = np.tile(model.start, (len(begin), 1))
     for t in range(size[0]):
         i = begin[: live[t]] + t
         a = ahead[: live[t]] * emit[cells[i]]
@@ -132,15 +172,19 @@ def _expected(cells: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarr
         ahead = a @ model.move
     later = np.zeros((len(cells), k))  # beta times emission over scale, of the next token
     beta = np.ones((len(cells), k))
+    end = begin + size - 1
+    beta[end] = out / (alpha[end] * out).sum(axis=1, keepdims=True)
     for t in range(size[0] - 1, 0, -1):
         i = begin[: live[t]] + t
         w = beta[i] * emit[cells[i]] / scale[i][:, None]
         later[i - 1] = w
         beta[i - 1] = w @ model.move.T
+    i = begin[inner]  # the moves over cuts
+    later[i - 1] = beta[i] * emit[cells[i]] / scale[i][:, None]
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True)
     emitted = np.stack([np.bincount(cells, weights=gamma[:, j], minlength=CELLS) for j in range(k)])
-    return gamma[begin].sum(axis=0), model.move * (alpha.T @ later), emitted
+    return gamma[at[:-1]].sum(axis=0), model.move * (alpha.T @ later), emitted
 
 
 def _round(training: DataFrame, model: Model, corpus: Corpus) -> Model:

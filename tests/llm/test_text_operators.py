@@ -226,6 +226,37 @@ def test_forward_recursion_is_exact_over_segments():
         assert abs(total - got[i]) < 1e-9
 
 
+def test_expected_counts_are_exact_over_cuts(monkeypatch):
+    rng = np.random.default_rng(1)
+    k = 3
+    model = hmm_lm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm_lm.CELLS), k))
+    cells, at = rng.integers(0, hmm_lm.CELLS, 90), np.array([0, 9, 10, 60, 74, 90])
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, hmm_lm.CELLS))
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        e = model.emit[:, cells[a:b]].T
+        n = b - a
+        alpha, beta = np.zeros((n, k)), np.ones((n, k))
+        for t in range(n):
+            alpha[t] = (alpha[t - 1] @ model.move if t else model.start) * e[t]
+            alpha[t] /= alpha[t].sum()
+        for t in range(n - 2, -1, -1):
+            beta[t] = model.move @ (e[t + 1] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+            x = alpha[t][:, None] * model.move * (e[t + 1] * beta[t + 1])[None]
+            move += x / x.sum()
+        gamma = alpha * beta / (alpha * beta).sum(axis=1, keepdims=True)
+        start += gamma[0]
+        np.add.at(emit.T, cells[a:b], gamma)
+    for length in (7, 256):
+        monkeypatch.setattr(hmm_lm, "TRAIN_LENGTH", length)
+        for got, want in zip(hmm_lm._expected(cells, at, model), (start, move, emit), strict=True):
+            assert np.allclose(got, want, atol=1e-9)
+
+
+def test_every_round_takes_all_training_documents():
+    assert set(hmm_lm.ROUNDS) == {1}
+
+
 def test_lm_score(spark):
     import math
 
