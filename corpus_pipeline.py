@@ -65,8 +65,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of 2048 tokens."""
-    return best_fit_packing(docs, ids=False, remember=REMEMBER)
+    """Pieces with their token ids and their places in sequences of 2048 tokens."""
+    return best_fit_packing(docs, ids=True, remember=REMEMBER)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]

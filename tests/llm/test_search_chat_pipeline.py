@@ -104,6 +104,15 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == kept["benchmark"]
 
 
+def test_packing_stage_returns_token_ids(spark):
+    import zlib
+
+    docs = spark.createDataFrame([(1, "some words to pack"), (2, "more of them")], "doc_id long, text string")
+    found = corpus_pipeline.packing(spark, docs, "").collect()
+    assert {r.doc_id for r in found} == {1, 2}
+    assert all(len(bytes(r.ids)) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in found)
+
+
 def test_near_copies_stage_finds_edited_documents(spark):
     rng = random.Random(6)
     rows = []
