@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, released
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: no vertex hangs on two others, none that hangs is hung on."""
+    roles = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    roles = roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not roles.where("up > 1 or (up = 1 and down = 1)").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,8 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")
     edges = checkpointed(edges.where("u <> v").select(high, low).distinct())  # u > v
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         # large-star: each vertex hangs its larger neighbours on its smallest
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,6 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
-        if mark == (mark := _mark(edges)):
-            break
+        released(edges)
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))

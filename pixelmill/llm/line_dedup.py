@@ -1,164 +1,67 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
 Every line that is not blank is a set of shingles of ``SHINGLE`` UTF-8 bytes (a
-shorter line is one shingle). Signatures take all of them. One hash per shingle
-is compared under many masks: the smallest value of hash xor mask is the hash
-nearest to the mask, so two sets agree on it with a probability that is their
-similarity. Bands of masks give candidate pairs;
-a sketch of two bits a mask drops most pairs that met by chance, an exact Jaccard
-similarity over all shingles confirms the rest, and distributed union-find merges
-them. In each component the first line, by document and place, stays.
-
-Equal lines collapse before anything else. In a band's bucket each line is
-compared with the smallest and with its neighbours in the order of sketches, which
-links most of a class. Where a bucket still holds several components after that,
-all its lines of different components are compared if their sketches are alike,
-so no pair of a bucket is left out. Large buckets are dealt into blocks, and into
-pairs of blocks for the last comparison, so no bucket is one task.
+shorter line is one shingle). Signatures take all of them: one hash per shingle
+falls into one of 32 cells by its first bits, and the smallest hash of each cell is
+one MinHash row. A cell without shingles takes the nearest other cell of its eighth
+of the hashes. Before they are grouped, hashes that are too large to be the smallest
+of their cell (128 shingles leave four to a cell) go. Four rows from different
+eighths make a band; bands give candidate pairs, a sketch of two bits a row drops
+most pairs that met by chance, and an exact Jaccard similarity over all shingles
+confirms the rest (``linking``); distributed union-find merges them. In each
+component the first line, by document and place, stays.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import checkpointed
-
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 8, 4, 0.8
-NEIGHBOURS = 3
-#: Lines of a bucket that one block holds, about.
-BLOCK = 512
-#: One line in so many is counted to find the buckets that need several blocks.
-COUNTED = 16
-#: Masks, of BANDS * ROWS, on which the sketches of similar lines may differ.
-SKETCH_DIFFERS = 10
-#: Lines in candidate pairs up to this number are broadcast as hashes (8 bytes each) to fetch their texts.
-BROADCAST_ROWS = 500_000
-_random = random.Random(11)
-#: The masks differ in their first bits, so each looks at another part of the hashes.
-MASKS = [(i << 27) | _random.getrandbits(27) for i in range(BANDS * ROWS)]
-
-
-class Unit(NamedTuple):
-    """What a text's shingles are made of: its units, their number, a stretch of them, the stretch's size."""
-
-    data: Callable[[Column], Column]
-    length: Callable[[Column], Column]
-    cut: Callable[[Column, Column, Column], Column]
-    size: int
-
-    def places(self, data: Column) -> Column:
-        return F.sequence(F.lit(1), F.greatest(F.lit(1), self.length(data) - (self.size - 1)))
-
-    def piece(self, data: Column, i: Column) -> Column:
-        return self.cut(data, i, F.lit(self.size))
+from .linking import SIMILARITY, Unit, linked
+from .shared import dropped, released, written
 
+SHINGLE, BANDS, ROWS = 8, 8, 4
+#: Shingles of a line, about, whose hashes are grouped for its minima; the others cannot be among them.
+GROUPED = 128
 
 BYTES = Unit(lambda t: F.encode(t, "UTF-8"), F.octet_length, F.substring, SHINGLE)
-#: Five words in lower case, for whole documents.
-WORDS = Unit(lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""), F.size, F.slice, 5)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, line, h`` of every line that is not blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.length(F.trim("line")) > 0)
-    return lines.select("doc_id", "n", "line", F.xxhash64("line").alias("h"))
-
-
-def _shingles(data: Column, unit: Unit = BYTES) -> Column:
-    """The distinct shingles of a line's units; ``data`` has to be a column as it stands, not computed."""
-    return F.array_distinct(F.transform(unit.places(data), lambda i: F.hash(unit.piece(data, i), F.lit(7))))
+    """``doc_id, own, n, line, h`` of every line that is not blank; ``own`` tells texts of one id apart."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("own"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.length(F.trim("line")) > 0)
+    return lines.select("doc_id", "own", "n", "line", F.xxhash64("line").alias("h"))
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """``h, sketch, bands``: the keys of the bands of each distinct line of ``h, line``."""
+    rest = (1 << 27) - 1
+    data = lines.groupBy("h").agg(F.first("line").alias("line")).select("h", BYTES.data(F.col("line")).alias("data"))
+    data = data.select("h", "data", F.greatest(F.lit(1), BYTES.length(F.col("data")) - (SHINGLE - 1)).alias("size"))
+    least = (F.lit(float(rest)) * F.least(F.lit(1.0), F.lit(GROUPED) / F.col("size"))).cast("int")
+    rows = data.select("h", "data", least.alias("least"), F.explode(BYTES.places(F.col("data"))).alias("i"))
+    rows = rows.select("h", "least", F.hash(BYTES.piece(F.col("data"), F.col("i"))).alias("s")).where(F.col("s").bitwiseAND(rest) <= F.col("least"))
+    eighths = rows.select("h", F.shiftrightunsigned("s", 29).alias("e"), F.col("s").bitwiseAND((1 << 29) - 1).alias("s"))
+    eighths = eighths.groupBy("h", "e").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(k << 27))).alias(f"m{k}") for k in range(ROWS)))
+    cells = eighths.groupBy("h").agg(*(F.max(F.when(F.col("e") == e, F.col(f"m{k}"))).alias(f"m{e}_{k}") for e in range(BANDS) for k in range(ROWS)))
+    row = lambda b, k: f"m{(b + 2 * k) % BANDS}_{k}"  # noqa: E731  each band takes its rows from different eighths
+    keys = F.array(*(F.xxhash64(F.lit(b), *(row(b, k) for k in range(ROWS))) for b in range(BANDS)))
+    sketch = F.lit(0).cast("long")
+    for i in range(BANDS * ROWS):
+        minimum = F.col(f"m{i // ROWS}_{i % ROWS}")
+        cell = F.when(minimum.isNull(), 0).otherwise(F.pmod(F.hash(minimum), F.lit(3)) + 1).cast("long")
+        sketch = sketch.bitwiseOR(F.shiftleft(cell, 2 * i))
+    return cells.select("h", sketch.alias("sketch"), keys.alias("bands"))
 
 
-def _bands(lines: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """``band, h, sketch``: a key for each band of each distinct line."""
-    rows = lines.select("h", unit.data(F.col("line")).alias("data")).select("h", "data", F.explode(unit.places(F.col("data"))).alias("i"))
-    rows = rows.select("h", F.hash(unit.piece(F.col("data"), F.col("i"))).alias("s"))
-    least = rows.groupBy("h").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(m - (1 << 31)))).alias(f"m{k}") for k, m in enumerate(MASKS)))
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    sketch = F.lit(0).cast("long")
-    for k in range(len(MASKS)):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(3).cast("long"), 2 * k))
-    return least.select("h", sketch.alias("sketch"), F.explode(keys).alias("band"))
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two sketches agree on enough masks."""
-    x = a.bitwiseXOR(b)
-    cells = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return F.bit_count(cells) <= SKETCH_DIFFERS
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, similarity: float, unit: Unit = BYTES) -> DataFrame:
-    """Those of the distinct pairs ``u, v`` whose lines have the Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    # the aggregate keeps the encoding out of the loop over places
-    sets = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first(unit.data(F.col("line"))).alias("data")).select("h", _shingles(F.col("data"), unit).alias("s"))
-    left, right = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
-    both = pairs.join(left, "u").join(right, "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    # common / (su + sv - common) >= similarity
-    return both.where(common * (1 + similarity) >= (F.size("su") + F.size("sv")) * F.lit(similarity) - 1e-9).select("u", "v")
-
-
-def _dealt(bands: DataFrame, block: int) -> DataFrame:
-    """``band, h, sketch, salt``: rows of large buckets are dealt by their sketches; single rows of other buckets go."""
-    counted = bands.where(F.pmod("h", F.lit(COUNTED)) == 0).groupBy("band").agg((F.count("*") * COUNTED).alias("n")).where(F.col("n") > block)
-    large = F.broadcast(counted.select("band", F.ceil(F.col("n") / block).alias("blocks")))
-    salt = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("sketch"), F.col("blocks")))
-    rows = bands.join(large, "band", "left").select("band", "h", "sketch", F.coalesce(salt, F.lit(-1)).alias("salt"))
-    return rows.withColumn("size", F.count("*").over(Window.partitionBy("band", "salt"))).where("size > 1 or salt >= 0").drop("size")
-
-
-def _met(bands: DataFrame) -> DataFrame:
-    """Distinct pairs ``u, v`` of a bucket's lines with its smallest and its neighbours, sketches alike."""
-    bucket = Window.partitionBy("band", "salt")
-    turned = F.expr("shiftleft(sketch, cast(2 * pmod(band, 32) as int)) | shiftrightunsigned(sketch, cast(64 - 2 * pmod(band, 32) as int))")
-    order, own = bucket.orderBy(turned, "h"), F.struct("h", "sketch")
-    partners = F.array_distinct(F.array_compact(F.array(F.min(own).over(bucket), *(F.lag(own, k).over(order) for k in range(1, NEIGHBOURS + 1)))))
-    pairs = bands.select("h", "sketch", partners.alias("partners")).select("h", "sketch", F.explode("partners").alias("p")).where("h <> p.h")
-    return pairs.where(_alike(F.col("sketch"), F.col("p.sketch"))).select(F.greatest("h", "p.h").alias("u"), F.least("h", "p.h").alias("v")).distinct()
-
-
-def _across(bands: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs ``u, v`` of all lines of a bucket that lie in different components, sketches alike."""
-    named = checkpointed(bands.join(roots.withColumnRenamed("v", "h"), "h", "left").select("band", "h", "sketch", F.coalesce("root", "h").alias("root")))
-    split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    split = checkpointed(split.select("band", F.ceil(F.col("n") / block).alias("blocks")))
-    if split.count() <= BROADCAST_ROWS:
-        split = F.broadcast(split)
-    rest = named.join(split, "band").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    # a pair meets where its first line's block crosses its second line's
-    left = rest.select("band", F.col("own").alias("i"), others.alias("j"), F.struct("h", "sketch", "root").alias("a"))
-    right = rest.select("band", others.alias("i"), F.col("own").alias("j"), F.struct("h", "sketch", "root").alias("b"))
-    pairs = left.join(right.hint("merge"), ["band", "i", "j"]).where((F.col("a.root") < F.col("b.root")) & _alike(F.col("a.sketch"), F.col("b.sketch")))
-    return pairs.select(F.greatest("a.h", "b.h").alias("u"), F.least("a.h", "b.h").alias("v")).distinct()
-
-
-def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``h, root`` for each line hash of ``doc_id, text`` that is like another, but the roots."""
-    return classes(_lines(docs).select("h", "line"), similarity=similarity, block=block)
-
-
-def classes(lines: DataFrame, *, unit: Unit = BYTES, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``h, root`` for each hash of ``h, line`` (a line or a whole text) that is like another, but the roots."""
-    bands = checkpointed(_dealt(_bands(lines, unit), block))
-    near = checkpointed(_met(bands))
-    links = checkpointed(_similar(near, lines, similarity, unit))
-    roots = components(links)
-    across = checkpointed(_across(bands, roots, block).join(near, ["u", "v"], "left_anti"))
-    if not across.limit(1).count():
-        return roots
-    more = checkpointed(_similar(across, lines, similarity, unit))
-    return components(links.unionByName(more)) if more.limit(1).count() else roots
+def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """``v, root`` for each line hash of ``doc_id, text`` that is like another, but the roots."""
+    lines = _lines(docs).select("h", "line")
+    table = written(_signatures(lines), compression="lz4")
+    released(table)
+    roots = linked(table.select("h", "sketch", F.explode("bands").alias("band")), lines, BYTES, similarity=similarity, **options)
+    dropped(table)
+    return roots
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -166,26 +69,36 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Returns ``doc`` (the whole input row), ``doc_id, n_lines, n_removed, kept_text``.
     Lines are parted by line feeds; blank lines stay and are compared with
-    nothing. The first line by document id, then place, stays. A null or empty text
-    stays as it is. Repeated rows of an id are one document: their lines stand at
-    the same places and stay or go together. Rows with a null id are left alone
+    nothing. The first line by document id, then text hash, then place, stays. A null
+    or empty text stays as it is. Rows of one id and one text are one document: their
+    lines stay or go together. Rows of one id with different texts are documents of
+    their own, so none loses a line for another's. Rows with a null id are left alone
     and make no other line go. An empty table gives an empty result. The input's
     columns may have any names, as they come back in ``doc``.
     """
     get = lambda name: F.col(f"`{name}`")
     known = docs.select(get(id_col).alias("doc_id"), get(text_col).alias("text")).where("doc_id is not null")
-    roots = line_classes(known, similarity=similarity)
-    placed = _lines(known).select("doc_id", "n", "h").join(roots.withColumnRenamed("v", "h"), "h", "left").select("doc_id", "n", F.coalesce("root", "h").alias("root"))
-    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1").select("root", "first")
-    gone = placed.join(first, "root").where(F.struct("doc_id", "n") != F.col("first")).groupBy("doc_id").agg(F.collect_set("n").alias("gone"))
+    roots = line_classes(known, similarity=similarity).withColumnRenamed("v", "h")
+    place = F.struct("doc_id", "own", "n")
+    lines = _lines(known).select("doc_id", "own", "n", "h")
+    # the classes of several lines, each with the place that stays; equal lines collapse before they are shuffled
+    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("size")).join(roots, "h", "left")
+    firsts = written(firsts.select("h", "first", "size", F.coalesce("root", "h").alias("root")).where("root <> h or size > 1").unionByName(
+        firsts.where("root is null and size = 1").join(roots.select(F.col("root").alias("h")).distinct(), "h", "left_semi").select("h", "first", "size", F.col("h").alias("root"))
+    ))
+    released(firsts)
+    stays = firsts.groupBy("root").agg(F.min("first").alias("stays"))
+    several = firsts.join(stays, "root").select("h", "stays")
+    gone = lines.join(several, "h").where(place != F.col("stays")).groupBy("doc_id", "own").agg(F.collect_set("n").alias("gone"))
     rows = docs.select(F.struct(*(get(c) for c in docs.columns)).alias("doc"), get(id_col).alias("doc_id"), get(text_col).alias("text"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    return rows.join(gone, "doc_id", "left").select(
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    texts = F.split("text", "\n")
+    kept = F.filter(texts, lambda _, i: ~F.array_contains("gone", i))
+    return rows.join(gone, ["doc_id", "own"], "left").select(
         "doc",
         "doc_id",
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("gone").isNotNull(), F.size(lines) - F.size(kept)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(texts), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 

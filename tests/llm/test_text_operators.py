@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pixelmill.llm import decontaminate, hmm_lm, language_id, line_dedup, packing, simhash, substring_dedup, suffix_dedup
+from pixelmill.llm import decontaminate, hmm_lm, language_id, line_dedup, linking, packing, simhash, substring_dedup, suffix_dedup
 
 DOCS = "doc_id long, text string, chunk string, keys int"
 SPACE = b" \t\n\r\x0b\x0c"
@@ -339,6 +339,15 @@ def test_line_dedup_against_all_pairs(spark):
     assert found[0].doc.keys == 1
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [(5, "a line that stands in two documents\nfirst own line of words"), (5, "another line that stands alone\na line that stands in two documents"), (6, "x y z")]
+    found = sorted((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup.dedup_lines(_docs(spark, rows + rows[:1])).collect())
+    kept = {t for i, _, t in found if i == 5}
+    lines = [x for t in kept for x in t.split("\n")]
+    assert len(found) == 4 and sorted(set(lines)) == sorted({x for i, t in rows if i == 5 for x in t.split("\n")})
+    assert lines.count("a line that stands in two documents") == 1
+
+
 def test_line_dedup_recall_without_spaces(spark):
     rng = random.Random(8)
     draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
@@ -368,12 +377,12 @@ def test_line_classes_of_one_bucket_with_many_classes(spark, monkeypatch, option
     ids = spark.createDataFrame([(x, k) for k, x in lines], "line string, k int").selectExpr("xxhash64(line) h", "k").collect()
     own = {r.h: r.k for r in ids}
     # all lines in one bucket, all sketches alike; only pairs of one class are similar
-    monkeypatch.setattr(line_dedup, "_bands", lambda t, *_: t.select("h").distinct().selectExpr("h", "0L sketch", "1L band"))
+    monkeypatch.setattr(line_dedup, "_signatures", lambda t, *_: t.select("h").distinct().selectExpr("h", "0L sketch", "array(1L) bands"))
 
     def similar(pairs, *_):
         return spark.createDataFrame([(r.u, r.v) for r in pairs.collect() if own[r.u] == own[r.v]], "u long, v long")
 
-    monkeypatch.setattr(line_dedup, "_similar", similar)
+    monkeypatch.setattr(linking, "similar", similar)
     docs = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(lines)], "doc_id long, text string")
     roots = {r.v: r.root for r in line_dedup.line_classes(docs, **options).collect()}
     found = {}
