@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.decontaminate import leaked_items
 from pixelmill.llm.language_id import identify
-from pixelmill.llm.line_dedup import WORDS, classes, dedup_lines
+from pixelmill.llm.line_dedup import dedup_lines
 from pixelmill.llm.packing import best_fit_packing
 from pixelmill.llm.shared import written
+from pixelmill.llm.simhash import near_copies as similar_texts
 
 #: A document goes where its first language holds a smaller share of its words.
 LEAST_SHARE = 0.5
@@ -44,24 +45,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; null ids stay.
+    """One document of each class of near copies stays: the first text of the smallest id.
 
     Near copies have a Jaccard similarity of 0.8 or more over shingles of five words,
-    or are linked by such; MinHash bands find them, exact sets confirm them.
+    or are linked by such; tries over SimHash fingerprints find them, exact sets
+    confirm them. Rows without id stay. Of rows that share an id, those with the
+    smallest text of the class stay.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
-    texts = texts.select("doc_id", "line", F.xxhash64(WORDS.data(F.col("line"))).alias("h"))
-    roots = classes(texts.select("h", "line"), unit=WORDS)
-    member = texts.select("doc_id", "h").join(roots.withColumnRenamed("v", "h"), "h", "left").select("doc_id", F.coalesce("root", "h").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = member.join(smallest, "root").where("doc_id <> least").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("text_hash")
+    classes = similar_texts(docs)
+    rows = docs.where("doc_id is not null").select("doc_id", "text", key).join(classes.where("component_id is not null"), "text_hash")
+    stays = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("stays"))
+    stays = stays.select("component_id", F.xxhash64("stays.text").alias("stays"))
+    exact = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = rows.join(stays, "component_id").where((F.col("doc_id") != F.col("component_id")) | (exact != F.col("stays"))).select("doc_id", exact.alias("exact")).distinct()
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "exact": "gone_text"})
+    here = (F.col("doc_id") == F.col("gone_id")) & (F.col("__exact") == F.col("gone_text"))
+    return docs.withColumn("__exact", exact).join(gone, here, "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    leaked = leaked_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that leak no benchmark item.
+
+    A text's leaks are its own: rows that share an id, and rows without id, are judged
+    by their texts. Null and empty texts leak nothing.
+    """
+    own = F.xxhash64("text")
+    texts = docs.select(own.alias("doc_id"), "text").where("text is not null")
+    leaked = leaked_items(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaked_text")).distinct()
+    return docs.withColumn("__own", own).join(leaked, F.col("__own") == F.col("leaked_text"), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
