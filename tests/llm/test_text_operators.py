@@ -297,14 +297,45 @@ def test_decontamination_wants_consistent_slots(spark):
     assert [r.doc_id for r in decontaminate.leaked_items(_docs(spark, rows), bench).collect()] == [1]
 
 
+def test_decontamination_of_slots_with_marks_and_names_at_sentence_starts(spark):
+    question = "{n} has {a} red apples{m} and {b} pears. Then {n} sells {a} of them at the market for {b} coins each"
+    item = question.format(n="Tom", a=3, b=5, m="")
+    rows = [(1, question.format(n="Bertha", a=8, b=2, m="")), (2, question.format(n="Tom", a=3, b=5, m=" --,")), (3, question.format(n="Ida", a="8,", b="(2)", m="!"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.coverage for r in decontaminate.leaked_items(_docs(spark, rows), bench).collect()}
+    assert found == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
+def test_decontamination_equals_its_sql(spark):
+    import duckdb
+
+    rng = random.Random(12)
+    words = ["Tom", "Ann", "km", "miles", "3", "4,", "(7)", "red", "big", "the", "--", "Über", "x1", "5.", "why?"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 30)))) for i in range(20)] + [(30, None), (31, "")]
+    swap = {"Tom": "Ida", "3": "8", "4,": "9", "km": "m"}
+    rows = []
+    for i in range(40):
+        own = rng.choice(items[:20])[1].split()
+        own = [swap.get(w, w) if i % 2 and rng.random() < 0.9 else w for w in own]
+        rows.append((i, " ".join([rng.choice(words) for _ in range(i % 9)] + own + [rng.choice(words) for _ in range(5)])))
+    rows += [(50, None), (51, " "), (52, "\t".join(items[3][1].split()))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.covered, round(r.coverage, 9)) for r in decontaminate.leaked_items(_docs(spark, rows), bench).collect())
+    con = duckdb.connect()
+    for name, table, key in (("documents", rows, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
+    assert found and found == sorted((d, i, c, round(v, 9)) for d, i, c, v in con.execute(decontaminate.OP8_SQL).fetchall())
+
+
 def test_decontamination_at_every_alignment(spark):
     short = "seven quiet otters swim past the broken mill"
     long = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
     edited = " ".join("other" if i % 10 == 9 else w for i, w in enumerate(long))
-    rows = [(10 * k + n, f"{'pad ' * k}{t}{' tail' * 9}") for k in range(4) for n, t in ((1, short), (2, edited))]
+    rows = [(10 * k + n, f"{'pad ' * k}{t}{' tail' * 9}") for k in range(8) for n, t in ((1, short), (2, edited))]
     bench = spark.createDataFrame([(1, short), (2, " ".join(long))], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.leaked_items(_docs(spark, rows), bench).collect()}
-    assert found == {(10 * k + n, n): c for k in range(4) for n, c in ((1, 1.0), (2, 0.9))}
+    assert found == {(10 * k + n, n): c for k in range(8) for n, c in ((1, 1.0), (2, 0.9))}
 
 
 def _shingles(line: str) -> frozenset:
