@@ -5,8 +5,8 @@ shorter line is one shingle). Signatures take all of them: one hash per shingle
 falls into one of 32 cells by its first bits, and the smallest hash of each cell is
 one MinHash row. A cell without shingles takes the nearest other cell of its eighth
 of the hashes. Before they are grouped, hashes that are too large to be the smallest
-of their cell (128 shingles leave four to a cell) go. Four rows from different
-eighths make a band; bands give candidate pairs, a sketch of two bits a row drops
+of their cell (128 shingles leave four to a cell) go. The four rows of an eighth
+make a band; bands give candidate pairs, a sketch of two bits a row drops
 most pairs that met by chance, and an exact Jaccard similarity over all shingles
 confirms the rest (``linking``); distributed union-find merges them. In each
 component the first line, by document and place, stays.
@@ -34,32 +34,30 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """``h, sketch, bands``: the keys of the bands of each distinct line of ``h, line``."""
+    """``band, h, sketch``: a row for each band of each distinct line of ``h, line``."""
     rest = (1 << 27) - 1
     data = lines.groupBy("h").agg(F.first("line").alias("line")).select("h", BYTES.data(F.col("line")).alias("data"))
     data = data.select("h", "data", F.greatest(F.lit(1), BYTES.length(F.col("data")) - (SHINGLE - 1)).alias("size"))
     least = (F.lit(float(rest)) * F.least(F.lit(1.0), F.lit(GROUPED) / F.col("size"))).cast("int")
     rows = data.select("h", "data", least.alias("least"), F.explode(BYTES.places(F.col("data"))).alias("i"))
     rows = rows.select("h", "least", F.hash(BYTES.piece(F.col("data"), F.col("i"))).alias("s")).where(F.col("s").bitwiseAND(rest) <= F.col("least"))
-    eighths = rows.select("h", F.shiftrightunsigned("s", 29).alias("e"), F.col("s").bitwiseAND((1 << 29) - 1).alias("s"))
-    eighths = eighths.groupBy("h", "e").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(k << 27))).alias(f"m{k}") for k in range(ROWS)))
-    cells = eighths.groupBy("h").agg(*(F.max(F.when(F.col("e") == e, F.col(f"m{k}"))).alias(f"m{e}_{k}") for e in range(BANDS) for k in range(ROWS)))
-    row = lambda b, k: f"m{(b + 2 * k) % BANDS}_{k}"  # noqa: E731  each band takes its rows from different eighths
-    keys = F.array(*(F.xxhash64(F.lit(b), *(row(b, k) for k in range(ROWS))) for b in range(BANDS)))
-    sketch = F.lit(0).cast("long")
-    for i in range(BANDS * ROWS):
-        minimum = F.col(f"m{i // ROWS}_{i % ROWS}")
-        cell = F.when(minimum.isNull(), 0).otherwise(F.pmod(F.hash(minimum), F.lit(3)) + 1).cast("long")
-        sketch = sketch.bitwiseOR(F.shiftleft(cell, 2 * i))
-    return cells.select("h", sketch.alias("sketch"), keys.alias("bands"))
+    rows = rows.select("h", F.shiftrightunsigned("s", 29).alias("e"), F.col("s").bitwiseAND((1 << 29) - 1).alias("s"))
+    names = [f"m{k}" for k in range(ROWS)]
+    least = rows.groupBy("h", "e").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(k << 27))).alias(m) for k, m in enumerate(names)))
+    own = F.lit(0)
+    for k, m in enumerate(names):
+        own = own.bitwiseOR(F.shiftleft(F.pmod(F.hash(m), F.lit(3)) + 1, 2 * k))
+    turned = F.expr(f"shiftleft(cast(own as bigint), {2 * ROWS} * e)")
+    bands = least.select("h", F.xxhash64("e", *names).alias("band"), own.alias("own"), "e").select("h", "band", turned.alias("own"))
+    return bands.select("band", "h", F.expr("bit_or(own) over (partition by h)").alias("sketch"))
 
 
 def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, **options) -> DataFrame:
     """``v, root`` for each line hash of ``doc_id, text`` that is like another, but the roots."""
     lines = _lines(docs).select("h", "line")
-    table = written(_signatures(lines), compression="lz4")
+    table = written(_signatures(lines))
     released(table)
-    roots = linked(table.select("h", "sketch", F.explode("bands").alias("band")), lines, BYTES, similarity=similarity, **options)
+    roots = linked(table, lines, BYTES, similarity=similarity, **options)
     dropped(table)
     return roots
 

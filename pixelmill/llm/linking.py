@@ -25,7 +25,7 @@ BLOCK = 512
 #: One text in so many is counted to find the buckets that need several blocks.
 COUNTED = 16
 #: Of the sketch's rows that are filled, this share and so many more may differ between similar texts.
-DIFFERS, MORE = 0.28, 2
+DIFFERS, MORE = 0.2, 2
 #: Hashes (8 bytes each) that are broadcast to fetch their texts or rows; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 

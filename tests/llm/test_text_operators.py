@@ -408,7 +408,7 @@ def test_line_classes_of_one_bucket_with_many_classes(spark, monkeypatch, option
     ids = spark.createDataFrame([(x, k) for k, x in lines], "line string, k int").selectExpr("xxhash64(line) h", "k").collect()
     own = {r.h: r.k for r in ids}
     # all lines in one bucket, all sketches alike; only pairs of one class are similar
-    monkeypatch.setattr(line_dedup, "_signatures", lambda t, *_: t.select("h").distinct().selectExpr("h", "0L sketch", "array(1L) bands"))
+    monkeypatch.setattr(line_dedup, "_signatures", lambda t, *_: t.select("h").distinct().selectExpr("1L band", "h", "0L sketch"))
 
     def similar(pairs, *_):
         return spark.createDataFrame([(r.u, r.v) for r in pairs.collect() if own[r.u] == own[r.v]], "u long, v long")
