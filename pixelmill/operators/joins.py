@@ -36,12 +36,13 @@ def new_only(incoming: DataFrame, library: DataFrame) -> DataFrame:
     return incoming.join(library.select("hash"), "hash", "left_anti")
 
 
-def apply_preset(jobs: DataFrame, known: DataFrame) -> DataFrame:
-    """The preset's options; an unknown id takes the first preset. ``known`` holds a few rows."""
-    first = F.lit(PRESETS[0][0])
-    found = F.when(F.col("preset_id").isin([p[0] for p in PRESETS]), F.col("preset_id")).otherwise(first)
+def apply_preset(jobs: DataFrame, known: DataFrame, default: str | None = None) -> DataFrame:
+    """The preset's options; an unknown id takes the default, or else the first of ``known``. ``known`` holds a few rows."""
+    ids = [r["id"] for r in known.select("id").collect()]  # a table of presets is small by nature
+    first = F.lit(default if default in ids else ids[0] if ids else None)
     named = known.select(F.col("id").alias("preset"), F.col("format").alias("preset_format"), F.col("quality").alias("preset_quality"), "max_width", "max_height")
     graphic = F.col("preset") == "graphic"
+    found = F.when(F.col("preset_id").isin(ids), F.col("preset_id")).otherwise(first)
     return jobs.withColumn("preset", found).join(F.broadcast(named), "preset", "left").withColumn("dithering", F.when(graphic, 0).otherwise(1)).withColumn("lossless", graphic)
 
 
@@ -59,7 +60,8 @@ def estimate_size(jobs: DataFrame, ratios: DataFrame) -> DataFrame:
     curve with a range on quality, the curves broadcast.
     """
     fmt = F.col("format")
-    curve = F.when(fmt == "auto", F.lit("webp")).when(fmt.isin(list(SIZE_RATIOS)), fmt).otherwise(F.lit("jpeg"))
+    curves = [r["format"] for r in ratios.select("format").distinct().collect()]  # a few
+    curve = F.when(fmt == "auto", F.lit("webp")).when(fmt.isin(curves), fmt).otherwise(F.lit("jpeg"))
     seg = _segments(ratios).withColumnRenamed("quality", "seg_quality")
     j = jobs.withColumn("curve", curve).join(F.broadcast(seg), "curve").where((F.col("quality") >= F.col("low")) & (F.col("quality") < F.col("high")))
     q = F.col("quality")

@@ -16,10 +16,12 @@ CUT_EVERY = 8
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; one of our own only where none is set."""
+    """A reliable checkpoint in the session's shared folder; on a local master one of our own where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint(eager=True)
 

@@ -6,8 +6,13 @@ Every query runs over whole driver tables, or tables derived from them
 
 from __future__ import annotations
 
+import struct
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ from ..operators import stencil as W
 from ..operators import udx
 from ..sources import files
 from ..streaming import streams as ST
-from .derived import duck, rasters_of, table
+from .derived import duck, files_of, rasters_of, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,15 +248,24 @@ def _j8(t, spark):
 _MARK = "mark AS (SELECT x, y, r, g, b, a FROM pixels WHERE image_id = (SELECT min(image_id) FROM pixels WHERE image_id % 5 = 2) AND x < 8 AND y < 6)"
 
 
-@query("j9_overlay", f"""WITH {_MARK} SELECT image_id, p.x, p.y, CASE WHEN m.a IS NULL THEN p.r ELSE {_half('p.r * (1 - m.a / 255.0::DOUBLE * 0.5::DOUBLE) + m.r * (m.a / 255.0::DOUBLE * 0.5::DOUBLE)')} END AS r,
-  CASE WHEN m.a IS NULL THEN p.g ELSE {_half('p.g * (1 - m.a / 255.0::DOUBLE * 0.5::DOUBLE) + m.g * (m.a / 255.0::DOUBLE * 0.5::DOUBLE)')} END AS g,
-  CASE WHEN m.a IS NULL THEN p.b ELSE {_half('p.b * (1 - m.a / 255.0::DOUBLE * 0.5::DOUBLE) + m.b * (m.a / 255.0::DOUBLE * 0.5::DOUBLE)')} END AS b
- FROM pixels p LEFT JOIN mark m ON m.x = p.x - (width - 8 - 10) AND m.y = p.y - (height - 6 - 10)""", "pixels")
-def _j9(t, spark):
-    p = t("pixels")
-    first = p.where("image_id % 5 = 2").agg(F.min("image_id").alias("image_id"))
-    mark = p.join(first, "image_id").where("x < 8 AND y < 6").withColumn("width", F.lit(8)).withColumn("height", F.lit(6))
-    return J.overlay(p, mark).select("image_id", "x", "y", "r", "g", "b")
+_PLACES = {"bottom-right": ("width - 8 - 10", "height - 6 - 10"), "top-left": ("10", "10"), "top-right": ("width - 8 - 10", "10"), "bottom-left": ("10", "height - 6 - 10"), "center": ("(width - 8) // 2", "(height - 6) // 2")}
+
+
+def _overlay(position: str) -> None:
+    left, top = _PLACES[position]
+    mixed = lambda c: f"CASE WHEN m.a IS NULL THEN p.{c} ELSE {_half(f'p.{c} * (1 - m.a / 255.0::DOUBLE * 0.5::DOUBLE) + m.{c} * (m.a / 255.0::DOUBLE * 0.5::DOUBLE)')} END AS {c}"
+    sql = f"WITH {_MARK} SELECT image_id, p.x, p.y, {', '.join(map(mixed, 'rgb'))} FROM pixels p LEFT JOIN mark m ON m.x = p.x - ({left}) AND m.y = p.y - ({top})"
+
+    @query("j9_overlay" if position == "bottom-right" else f"j9_overlay_{position.replace('-', '_')}", sql, "pixels")
+    def _j9(t, spark):
+        p = t("pixels")
+        first = p.where("image_id % 5 = 2").agg(F.min("image_id").alias("image_id"))
+        mark = p.join(first, "image_id").where("x < 8 AND y < 6").withColumn("width", F.lit(8)).withColumn("height", F.lit(6))
+        return J.overlay(p, mark, position).select("image_id", "x", "y", "r", "g", "b")
+
+
+for _position in _PLACES:
+    _overlay(_position)
 
 
 # --- aggregations ----------------------------------------------------------------
@@ -301,6 +315,12 @@ def _a5x(t, spark):
     return A.unique_colors(t("rasters"), "exact")
 
 
+@query("a5_unique_colors_approx", "SELECT image_id, true AS is_close FROM rasters GROUP BY 1", "rasters")
+def _a5a(t, spark):
+    near, exact = A.unique_colors(t("rasters"), "approx"), A.unique_colors(t("rasters"), "exact").withColumnRenamed("unique_colors", "exact")
+    return near.join(exact, "image_id").select("image_id", (F.abs(F.col("unique_colors") - F.col("exact")) <= 0.25 * F.col("exact") + 1).alias("is_close"))
+
+
 @query("a6_transparency", f"WITH {_COLORS}, {_CLEAR} SELECT image_id, round(transparency, 6) AS transparency, transparency > 0.01 AS has_transparency, transparency > 0.05 AS has_significant_transparency, any_transparent FROM clear", "rasters", ("transparency",))
 def _a6(t, spark):
     return A.transparency(t("rasters"))
@@ -583,13 +603,22 @@ _TO = [(20, 24), (40, 16), (32, 48)]
 _PRE = ", ".join(_half(f"{c} * (a / CAST(255.0 AS DOUBLE))") + f" AS {c}" for c in "rgb")
 
 
-def _bilinear_sql(source: str) -> str:
-    """A resize by triangle weights in whole units, over x and then y."""
-    sizes = ", ".join(f"(32, {n})" for n in sorted({n for p in _TO for n in p}))
+_CUBIC = {"CatmullRom": (0.0, 0.5), "Mitchell": (1 / 3, 1 / 3)}
+
+
+def _resize_sql(source: str, name: str = "Bilinear", sources: tuple[int, ...] = (32,)) -> str:
+    """A resize by a kernel's weights in whole units, over x and then y."""
+    kernel = "greatest(0, 1 - d)"
+    if name in _CUBIC:
+        b, c = _CUBIC[name]
+        num = lambda v: f"CAST({v!r} AS DOUBLE)"
+        kernel = f"""CASE WHEN d < 1 THEN ({num(12 - 9 * b - 6 * c)} * d * d * d + {num(-18 + 12 * b + 6 * c)} * d * d + {num(6 - 2 * b)}) / 6 WHEN d < 2
+   THEN ({num(-b - 6 * c)} * d * d * d + {num(6 * b + 30 * c)} * d * d + {num(-12 * b - 48 * c)} * d + {num(8 * b + 24 * c)}) / 6 ELSE 0 END"""
+    sizes = ", ".join(f"({m}, {n})" for m in sources for n in sorted({n for p in _TO for n in p}))
     gain = lambda c: f"greatest(0, least(255, CAST(floor((sum({c} * weight) + 8192) / 16384) AS BIGINT))) AS {c}"
     back = lambda c: f"CASE WHEN a = 0 THEN 0 ELSE least(255, {_half(f'least({c}, a) / (a / CAST(255.0 AS DOUBLE))')}) END AS {c}"
-    return f"""sz(src, dst) AS (VALUES {sizes}), taps AS (SELECT src, dst, at_, f, greatest(0, 1 - abs((f + 0.5::DOUBLE - c) / greatest(1.0, src / CAST(dst AS DOUBLE)))) AS k FROM (SELECT src, dst, at_, (at_ + 0.5::DOUBLE) * (src / CAST(dst AS DOUBLE)) AS c FROM sz, range(64) t(at_) WHERE at_ < dst), range(32) s(f)),
- wt AS (SELECT src, dst, at_, f, {_half('k / sum(k) OVER (PARTITION BY src, dst, at_) * 16384')} AS weight FROM taps WHERE k > 0),
+    return f"""sz(src, dst) AS (VALUES {sizes}), taps AS (SELECT src, dst, at_, f, {kernel} AS k FROM (SELECT *, abs((f + 0.5::DOUBLE - c) / greatest(1.0, src / CAST(dst AS DOUBLE))) AS d FROM (SELECT src, dst, at_, (at_ + 0.5::DOUBLE) * (src / CAST(dst AS DOUBLE)) AS c FROM sz, range(64) t(at_) WHERE at_ < dst), range(32) s(f) WHERE f < src)),
+ wt AS (SELECT src, dst, at_, f, {_half('k / sum(k) OVER (PARTITION BY src, dst, at_) * 16384')} AS weight FROM taps WHERE k <> 0),
  pm AS (SELECT image_id, width, height, x, y, {_PRE}, a, CASE image_id % 3 WHEN 0 THEN {_TO[0][0]} WHEN 1 THEN {_TO[1][0]} ELSE {_TO[2][0]} END AS ow, CASE image_id % 3 WHEN 0 THEN {_TO[0][1]} WHEN 1 THEN {_TO[1][1]} ELSE {_TO[2][1]} END AS oh FROM {source}),
  px AS (SELECT image_id, height, ow, oh, y, at_ AS x, {', '.join(map(gain, 'rgba'))} FROM pm JOIN wt ON src = width AND dst = ow AND f = x GROUP BY ALL),
  py AS (SELECT image_id, ow, oh, x, at_ AS y, {', '.join(map(gain, 'rgba'))} FROM px JOIN wt ON src = height AND dst = oh AND f = px.y GROUP BY image_id, ow, oh, x, at_),
@@ -601,12 +630,24 @@ def _dims(p: DataFrame) -> DataFrame:
     return p.groupBy("image_id").agg(F.lit(1)).select("image_id", pick(0).alias("out_w"), pick(1).alias("out_h"))
 
 
-@query("g5_resize_bilinear", f"WITH {_bilinear_sql('pixels')} SELECT {_PX} FROM resized", "pixels")
+@query("g5_resize_bilinear", f"WITH {_resize_sql('pixels')} SELECT {_PX} FROM resized", "pixels")
 def _g5(t, spark):
     p = t("pixels")
     return G.resize(p, _dims(p), "Bilinear")
 
 
+@query("g5_resize_mitchell", f"WITH {_resize_sql('pixels', 'Mitchell')} SELECT {_PX} FROM resized", "pixels")
+def _g5m(t, spark):
+    p = t("pixels")
+    return G.resize(p, _dims(p), "Mitchell")
+
+
+@query("g5_resize_catmull_rom", f"WITH {_resize_sql('pixels', 'CatmullRom')} SELECT {_PX} FROM resized", "pixels")
+def _g5c(t, spark):
+    p = t("pixels")
+    return G.resize(p, _dims(p), "CatmullRom")
+
+
 @query("g5_resize_lanczos")
 def _g5l(t, spark):
     p = t("pixels")
@@ -630,17 +671,31 @@ def _g8(t, spark):
     return G.apply_edits(p, trim=25, ops=_ops(p), sharpen_amount=0.25, blur_radius=2)
 
 
+_CROPPED = "boxed AS (SELECT image_id, 24 AS width, 28 AS height, x - 4 AS x, y - 2 AS y, r, g, b, a FROM pixels WHERE x >= 4 AND y >= 2 AND x < 28 AND y < 30)"
+
+
+@query("g8_apply_edits_crop_resize", f"WITH {_CROPPED}, {_resize_sql('boxed', sources=(24, 28))}, {_turn_sql('resized')}, {_sharpen_sql('turned', 0.25)}, {_blur_sql('sharp', 2)} {_INT} blurred", "pixels")
+def _g8x(t, spark):
+    p = t("pixels")
+    boxes = p.select("image_id").distinct().select("image_id", F.lit(4).alias("x"), F.lit(2).alias("y"), F.lit(24).alias("w"), F.lit(28).alias("h"))
+    return G.apply_edits(p, boxes=boxes, dims=_dims(p), filter="Bilinear", ops=_ops(p), sharpen_amount=0.25, blur_radius=2)
+
+
 # --- sources and user functions --------------------------------------------------
 
-_MAGIC = {0: "89504E470D0A1A0A0000", 1: "FFD8FFE0000000000000", 2: "49492A00080000000000", 3: "0000001866747970686569630000", 4: "474946383961", 5: "424D0000", 6: "4D4D002A0000", 7: "00"}
+#: Leading bytes; two of them only begin like a known format.
+_MAGIC = ["89504E470D0A1A0A0000", "FFD8FFE0000000000000", "49492A00080000000000", "0000001866747970686569630000", "474946383961", "424D0000", "4D4D002A0000", "00", "4D4D00780000", "474946383061"]
+_HEX = "[" + ", ".join(f"'{m}'" for m in _MAGIC) + "][id % 10 + 1]"
 
 
-@query("s2_sniff_format", """SELECT id, coalesce(CASE mime WHEN 'image/png' THEN 'png' WHEN 'image/jpeg' THEN 'jpeg' WHEN 'image/webp' THEN 'webp' WHEN 'image/svg+xml' THEN 'svg' END,
+@query("s2_sniff_format", f"""SELECT id, coalesce(CASE mime WHEN 'image/png' THEN 'png' WHEN 'image/jpeg' THEN 'jpeg' WHEN 'image/webp' THEN 'webp' WHEN 'image/svg+xml' THEN 'svg' WHEN 'image/x-tiff' THEN 'tiff' END,
   CASE lower(regexp_extract(name, '[^.]*$')) WHEN 'png' THEN 'png' WHEN 'jpg' THEN 'jpeg' WHEN 'webp' THEN 'webp' WHEN 'tif' THEN 'tiff' WHEN 'heic' THEN 'heic' END,
-  CASE id % 8 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'tiff' WHEN 3 THEN 'heic' WHEN 4 THEN 'gif' WHEN 5 THEN 'bmp' WHEN 6 THEN 'tiff' END) AS sniffed FROM jobs""", "jobs")
+  CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'png' WHEN starts_with(h, 'FFD8FF') THEN 'jpeg' WHEN starts_with(h, '49492A00') OR starts_with(h, '4D4D002A') THEN 'tiff' WHEN h[9:16] = '66747970' AND h[17:24] IN ('68656963', '6D696631', '6D736631') THEN 'heic'
+   WHEN starts_with(h, '474946383761') OR starts_with(h, '474946383961') THEN 'gif' WHEN starts_with(h, '424D') THEN 'bmp' END) AS sniffed FROM (SELECT id, name, CASE WHEN id % 35 = 4 THEN 'image/x-tiff' ELSE mime END AS mime, {_HEX} AS h FROM jobs)""", "jobs")
 def _s2(t, spark):
-    content = F.unhex(F.element_at(F.create_map(*(F.lit(x) for kv in _MAGIC.items() for x in kv)), (F.col("id") % 8).cast("int")))
-    return t("jobs").select("id", files.sniff_format(content, F.col("name"), F.col("mime")).alias("sniffed"))
+    content = F.unhex(F.element_at(F.array(*map(F.lit, _MAGIC)), (F.col("id") % 10 + 1).cast("int")))
+    mime = F.when(F.col("id") % 35 == 4, F.lit("image/x-tiff")).otherwise(F.col("mime"))
+    return t("jobs").select("id", files.sniff_format(content, F.col("name"), mime).alias("sniffed"))
 
 
 def _packed(p: DataFrame) -> DataFrame:
@@ -702,23 +757,34 @@ def _f1(t, spark):
 # --- streams, in their batch form ------------------------------------------------
 
 
-@query("st3_parse_telemetry", "SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN 'other' ELSE name END AS name, CASE WHEN event_id % 5 <> 0 THEN stage END AS stage, CASE WHEN event_id % 5 <> 0 THEN round(value, 6) END AS value, event_id % 5 = 0 AS is_rejected FROM telemetry", "telemetry", ("value",))
+_TEXT = {"format": "format", "presetId": "presetId", "ctaName": "ctaName", "location": "location", "destination": "destination", "stage": "stage", "errorType": "errorType", "errorMessage": "errorMessage", "context": "context"}
+_NUMBERS = {"count": "BIGINT", "totalSizeKb": "DOUBLE", "originalSizeKb": "DOUBLE", "compressedSizeKb": "DOUBLE", "savingsPercent": "DOUBLE", "imageCount": "BIGINT", "totalOriginalKb": "DOUBLE", "totalCompressedKb": "DOUBLE", "avgSavingsPercent": "DOUBLE", "quality": "BIGINT", "timestamp": "BIGINT"}
+_PARSED = ", ".join([*(f"props->>'$.{k}' AS \"{k}\"" for k in _TEXT), *(f"CAST(props->>'$.{k}' AS {t}) AS \"{k}\"" for k, t in _NUMBERS.items())])
+_USED = f"used AS (SELECT event_id, ts, user_id, name, {_PARSED} FROM usage WHERE name <> 'mystery' UNION ALL SELECT event_id, ts, user_id, name, {', '.join(['NULL'] * (len(_TEXT) + len(_NUMBERS)))} FROM usage WHERE name = 'mystery')"
+
+
+@query("st3_parse_telemetry", f"WITH {_USED} SELECT event_id, user_id, name, {', '.join(f'\"{k}\"' for k in [*_TEXT, *_NUMBERS])}, name = 'mystery' AS is_rejected FROM used", "usage")
 def _st3(t, spark):
-    raw = t("telemetry").withColumn("props", F.to_json(F.struct("stage", "value"))).withColumn("name", F.when(F.col("event_id") % 5 == 0, F.lit("other")).otherwise(F.col("name")))
-    return ST.parse_telemetry(raw).select("event_id", "user_id", "name", "stage", "value", F.col("rejected").isNotNull().alias("is_rejected"))
+    return ST.parse_telemetry(t("usage")).select("event_id", "user_id", "name", *_TEXT, *_NUMBERS, F.col("rejected").isNotNull().alias("is_rejected"))
 
 
-_KPI = "count(*) AS events, count(*) FILTER (WHERE stage = 'upload') AS uploads, count(*) FILTER (WHERE stage = 'completed') AS completed, count(*) FILTER (WHERE stage = 'download') AS downloads, count(*) FILTER (WHERE name = 'error') AS errors, round(count(*) FILTER (WHERE name = 'error') / CAST(count(*) AS DOUBLE), 6) AS error_rate"
+_SUM = "CAST(coalesce(sum({c}) FILTER (WHERE name = '{n}'), 0) AS {t}) AS {a}"
+_KPI = ", ".join([
+    "count(*) AS events", _SUM.format(c="count", n="image_upload", t="BIGINT", a="uploads"), _SUM.format(c="totalSizeKb", n="image_upload", t="DOUBLE", a="upload_kb"), "count(*) FILTER (WHERE name = 'compression_complete') AS completed",
+    _SUM.format(c="originalSizeKb", n="compression_complete", t="DOUBLE", a="kb_in"), _SUM.format(c="compressedSizeKb", n="compression_complete", t="DOUBLE", a="kb_out"), _SUM.format(c="count", n="download", t="BIGINT", a="downloads"),
+    *(f"count(*) FILTER (WHERE name = 'download' AND format = '{f}') AS downloads_{f}" for f in ("png", "jpeg", "webp", "avif", "jxl", "svg")), *(f"count(*) FILTER (WHERE name = 'preset_select' AND presetId = '{p}') AS picks_{p}" for p in ("photo", "graphic", "social", "custom")),
+    "count(*) FILTER (WHERE name = 'error') AS errors", "round(count(*) FILTER (WHERE name = 'error') / CAST(count(*) AS DOUBLE), 6) AS error_rate",
+])
 
 
-@query("st4_tumbling_kpis", f"SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 hour' AS \"end\", {_KPI} FROM telemetry GROUP BY 1, 2", "telemetry", ("error_rate",))
+@query("st4_tumbling_kpis", f"WITH {_USED} SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 hour' AS \"end\", {_KPI} FROM used GROUP BY 1, 2", "usage", ("error_rate",))
 def _st4(t, spark):
-    return ST.windowed_kpis(t("telemetry"), "1 hour")
+    return ST.windowed_kpis(ST.parse_telemetry(t("usage")), "1 hour")
 
 
-@query("st4_sliding_kpis", f"WITH w AS (SELECT *, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL '1 hour' * k AS start FROM telemetry, range(2) r(k)) SELECT start, start + INTERVAL '2 hours' AS \"end\", {_KPI} FROM w GROUP BY 1, 2", "telemetry", ("error_rate",))
+@query("st4_sliding_kpis", f"WITH {_USED}, w AS (SELECT *, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - INTERVAL '1 hour' * k AS start FROM used, range(2) r(k)) SELECT start, start + INTERVAL '2 hours' AS \"end\", {_KPI} FROM w GROUP BY 1, 2", "usage", ("error_rate",))
 def _st4s(t, spark):
-    return ST.windowed_kpis(t("telemetry"), "2 hours", "1 hour")
+    return ST.windowed_kpis(ST.parse_telemetry(t("usage")), "2 hours", "1 hour")
 
 
 @query("st5_funnel", """WITH f AS (SELECT user_id, min(ts) FILTER (WHERE stage = 'landing') AS a, min(ts) FILTER (WHERE stage = 'upload') AS b, min(ts) FILTER (WHERE stage = 'completed') AS c, min(ts) FILTER (WHERE stage = 'download') AS d FROM telemetry GROUP BY 1),
@@ -728,8 +794,90 @@ def _st5(t, spark):
     return ST.funnel(t("telemetry"))
 
 
-@query("st6_session_batches", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM telemetry WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+_DONE = "FILTER (WHERE name = 'compression_complete')"
+
+
+@query("st6_session_batches", f"""WITH {_USED}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM used WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
- SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS events, count(*) FILTER (WHERE name = 'error') AS errors FROM s GROUP BY user_id, k""", "telemetry")
+ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS events, count(*) FILTER (WHERE name = 'error') AS errors, count(*) {_DONE} AS images,
+  {_half(f'coalesce(sum(originalSizeKb) {_DONE}, 0)')} AS original_kb, {_half(f'coalesce(sum(compressedSizeKb) {_DONE}, 0)')} AS compressed_kb, {_half(f'avg(savingsPercent) {_DONE}')} AS savings FROM s GROUP BY user_id, k""", "usage")
 def _st6(t, spark):
-    return ST.session_batches(t("telemetry"), "30 minutes")
+    return ST.session_batches(ST.parse_telemetry(t("usage")), "30 minutes")
+
+
+@query("st2_state_view", f"""WITH {_STATE}, sel AS (SELECT i.*, EXISTS (SELECT 1 FROM own o WHERE o.library_id = i.library_id AND o.image_id = i.image_id AND o.seq = i.setter AND o.type = 'SELECT_IMAGE') AS by_own,
+   (SELECT count(*) FROM own o WHERE o.library_id = i.library_id AND o.image_id = i.image_id AND o.type = 'TOGGLE_SELECT' AND o.seq > i.setter) AS toggles FROM img i)
+ SELECT library_id, image_id, status, ((by_own OR (setter = wide AND coalesce(wide_type, '') = 'SELECT_ALL' AND added_b > removed_b AND added_b > clr))::INT + toggles) % 2 = 1 AS selected FROM sel JOIN st USING (library_id, image_id)""", "actions")
+def _st2(t, spark):
+    return ST.state_view(t("actions"))
+
+
+# --- files ------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder where tasks can write files: the one that the session shares, or on a local master one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    base = named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="spark-files-")
+    path = f"{base}/files-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
+_ENDINGS = ["png", "JPG", "Jpeg", "webp", "txt", "tif"]
+_NAMED = "SELECT 'f' || doc_id || '.' || ['png', 'JPG', 'Jpeg', 'webp', 'txt', 'tif'][doc_id % 6 + 1] AS name, coalesce(text, '') AS content FROM documents"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return docs.select(F.concat(F.lit("f"), "doc_id", F.lit("."), ending).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+@_documents("s1_scan_catalog", f"SELECT name, strlen(content) AS length, sha256(content) AS hash FROM ({_NAMED}) WHERE NOT ends_with(name, 'txt')")
+def _s1(docs):
+    folder = _folder(docs.sparkSession)
+    files_of(_texts(docs), folder)
+    return files.scan_catalog(docs.sparkSession, folder).select("name", "length", "hash")
+
+
+@_documents("st1_ingest", f"SELECT DISTINCT sha256(content) AS hash, strlen(content) AS length FROM ({_NAMED}) WHERE NOT ends_with(name, 'txt')")
+def _st1(docs):
+    folder = _folder(docs.sparkSession)
+    files_of(_texts(docs), folder)
+    return ST.ingest(files.scan_catalog(docs.sparkSession, folder).drop("hash")).select("hash", "length")
+
+
+def _bitmaps(p: DataFrame) -> DataFrame:
+    """A 32-bit bitmap file of each raster, from its lowest line up."""
+    word = lambda n: struct.pack("<I", n)
+
+    def run(batches):
+        for batch in batches:
+            for name, w, h, data in zip(*(batch.column(c).to_pylist() for c in ("image_id", "width", "height", "data")), strict=True):
+                cells = np.frombuffer(data, np.uint8).reshape(h, w, 4)[::-1, :, 2::-1]
+                lines = np.zeros((h, (3 * w + 3) // 4 * 4), np.uint8)
+                lines[:, : 3 * w] = cells.reshape(h, -1)
+                head = b"BM" + word(54 + lines.size) + word(0) + word(54) + word(40) + word(w) + word(h) + struct.pack("<HH", 1, 24) + word(0) * 6
+                yield pa.RecordBatch.from_arrays([pa.array([f"i{name}.bmp"]), pa.array([head + lines.tobytes()], pa.binary())], ["name", "content"])
+
+    return _packed(p).mapInArrow(run, "name string, content binary")
+
+
+@query("s3_read_rasters", "SELECT 'i' || image_id || '.bmp' AS name, max(width) AS width, max(height) AS height, CAST(sum(r * (1 + x + 7 * y)) AS BIGINT) AS r, CAST(sum(g * (1 + x + 7 * y)) AS BIGINT) AS g, CAST(sum(b * (1 + x + 7 * y)) AS BIGINT) AS b, 255 AS a FROM pixels GROUP BY image_id", "pixels")
+def _s3(t, spark):
+    folder = _folder(spark)
+    files_of(_bitmaps(t("pixels")), folder)
+    found = files.explode_pixels(files.read_rasters(spark, folder))
+    place = 1 + F.col("x") + 7 * F.col("y")
+    return found.groupBy(F.element_at(F.split("image_id", "/"), -1).alias("name")).agg(F.max("width").alias("width"), F.max("height").alias("height"), *(F.sum(F.col(c) * place).alias(c) for c in "rgb"), F.min("a").alias("a"))
+
+
+@query("s6_write_outcomes", r"SELECT id, 'optimized-' || regexp_replace(name, '\.[^/.]+$', '') || '.' || CASE format WHEN 'jpeg' THEN 'jpg' ELSE format END AS file_name, format, CASE WHEN id % 4 = 0 THEN 'orig-' || id ELSE 'out-' || id END AS resolved_blob FROM outcomes WHERE raw_status <> 'error'", "outcomes")
+def _s6(t, spark):
+    path = _folder(spark) + "/outcomes"
+    out = t("outcomes").withColumn("output_blob", F.when(F.col("id") % 4 != 0, F.concat(F.lit("out-"), "id")))
+    files.write_outcomes(out, path, t("outcomes").select("id", F.concat(F.lit("orig-"), "id").alias("original_blob")))
+    return spark.read.parquet(path).select("id", "file_name", "format", "resolved_blob")

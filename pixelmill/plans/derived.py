@@ -68,6 +68,20 @@ SELECT event_id, ts, user_id,
  CASE event_type WHEN 'signup' THEN 'landing' WHEN 'view' THEN 'upload' WHEN 'click' THEN 'completed'
       WHEN 'purchase' THEN 'download' END AS stage, value FROM {events}
 """
+_USAGE = """
+SELECT event_id, ts, user_id,
+ CASE event_id % 12 WHEN 0 THEN 'image_upload' WHEN 1 THEN 'compression_complete' WHEN 2 THEN 'batch_complete' WHEN 3 THEN 'download' WHEN 4 THEN 'preset_select' WHEN 5 THEN 'format_change'
+   WHEN 6 THEN 'quality_change' WHEN 7 THEN 'cta_click' WHEN 8 THEN 'external_link' WHEN 9 THEN 'funnel_stage' WHEN 10 THEN 'error' ELSE 'mystery' END AS name,
+ concat('{{', CASE event_id % 12
+   WHEN 0 THEN concat('"count":', 1 + event_id % 7, ',"totalSizeKb":', 100 + event_id % 900)
+   WHEN 1 THEN concat('"originalSizeKb":', 200 + event_id % 800, ',"compressedSizeKb":', 20 + event_id % 180, ',"format":"', CASE event_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'webp' WHEN 3 THEN 'avif' ELSE 'jxl' END, '","savingsPercent":', event_id % 91)
+   WHEN 2 THEN concat('"imageCount":', 1 + event_id % 40, ',"totalOriginalKb":', event_id % 5000, ',"totalCompressedKb":', event_id % 2000, ',"avgSavingsPercent":', event_id % 77)
+   WHEN 3 THEN concat('"format":"', CASE event_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'webp' WHEN 3 THEN 'avif' ELSE 'svg' END, '","count":', 1 + event_id % 3)
+   WHEN 4 THEN concat('"presetId":"', CASE event_id % 5 WHEN 0 THEN 'photo' WHEN 1 THEN 'graphic' WHEN 2 THEN 'social' ELSE 'custom' END, '"')
+   WHEN 5 THEN '"format":"webp"' WHEN 6 THEN concat('"quality":', event_id % 101) WHEN 7 THEN concat('"ctaName":"start","location":"l', event_id % 4, '"')
+   WHEN 8 THEN concat('"destination":"d', event_id % 9, '"') WHEN 9 THEN concat('"stage":"upload","timestamp":', 1700000000000 + event_id)
+   WHEN 10 THEN concat('"errorType":"decode","errorMessage":"e', event_id % 6, '","context":"unknown"') ELSE '"x":1' END, '}}') AS props FROM {events}
+"""
 _BOXES = """
 SELECT p_partkey AS id, (p_partkey*97) % 1000 AS x, (p_partkey*61) % 1000 AS y,
        10 + p_size AS w, 10 + p_partkey % 40 AS h FROM {part}
@@ -91,6 +105,7 @@ _TABLES = {
     "jobs": (_JOBS, "documents", None, 0),
     "actions": (_ACTIONS, "events", None, 0),
     "telemetry": (_TELEMETRY, "events", None, 0),
+    "usage": (_USAGE, "events", None, 0),
     "boxes": (_BOXES, "part", None, 0),
     "query_boxes": (_QUERY_BOXES, "supplier", None, 0),
     "markup": (_MARKUP, "pages", None, 0),
@@ -110,6 +125,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found
 
 
+def files_of(rows: DataFrame, folder: str) -> None:
+    """Write each row of ``name, content`` as a file of its own in a shared folder; tasks write side by side."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
+                with store.open_output_stream(f"{path}/{name.as_py()}") as out:
+                    out.write(content.as_py())
+        yield from ()
+
+    rows.select("name", "content").mapInArrow(run, "n long").count()
+
+
 def rasters_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three pixel tables."""
     return table(spark, sf_dir, "pixels").unionByName(table(spark, sf_dir, "pixels_big")).unionByName(table(spark, sf_dir, "pixels_photo"))
@@ -123,7 +154,7 @@ def duck(*names: str) -> str:
             continue
         text, base, key, cells = _TABLES[name]
         grid = f"SELECT {key} AS k, i FROM {base}, range({cells}) r(i)"
-        text = text.replace("{div}", "//").replace("{grid}", grid).replace(f"{{{base}}}", base).replace("sha2(text, 256)", "sha256(text)")
+        text = text.replace("{div}", "//").replace("{grid}", grid).replace(f"{{{base}}}", base).replace("{{", "{").replace("}}", "}").replace("sha2(text, 256)", "sha256(text)")
         parts.append(f"{name} AS MATERIALIZED ({text})" if cells else f"{name} AS ({text})")
     if "rasters" in names:
         parts.append("rasters AS (SELECT * FROM pixels UNION ALL SELECT * FROM pixels_big UNION ALL SELECT * FROM pixels_photo)")

@@ -5,20 +5,27 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.scalars import ACCEPTED_EXTENSIONS, extension, output_name
+from ..operators.joins import resolve_blob
 
 # Chunks that carry metadata.
 METADATA_CHUNKS = ["eXIf", "iCCP", "gAMA", "cHRM", "sRGB", "pHYs", "tEXt", "zTXt", "iTXt", "tIME"]
 
 
+def image_glob() -> str:
+    """A pattern of the accepted extensions in any case."""
+    return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ACCEPTED_EXTENSIONS) + "}"
+
+
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
     """One row per accepted image file, with its content and hash."""
-    glob = "*{" + ",".join(x for e in ACCEPTED_EXTENSIONS for x in (e, e.upper())) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", image_glob()).load(path)
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("hash", F.sha2("content", 256))
 
 
@@ -27,11 +34,11 @@ def sniff_format(content: Column, name: Column, mime: Column) -> Column:
     first = lambda n: F.hex(F.substring(content, 1, n))
     brand = F.hex(F.substring(content, 9, 4))
     named = {"heic": "heic", "heif": "heic", "tif": "tiff", "tiff": "tiff", "bmp": "bmp", "gif": "gif", "png": "png", "jpg": "jpeg", "jpeg": "jpeg", "webp": "webp", "avif": "avif", "svg": "svg"}
-    mimes = {"image/heic": "heic", "image/heif": "heic", "image/tiff": "tiff", "image/bmp": "bmp", "image/x-ms-bmp": "bmp", "image/gif": "gif", "image/png": "png", "image/jpeg": "jpeg", "image/webp": "webp", "image/avif": "avif", "image/svg+xml": "svg"}
+    mimes = {"image/heic": "heic", "image/heif": "heic", "image/tiff": "tiff", "image/x-tiff": "tiff", "image/bmp": "bmp", "image/x-ms-bmp": "bmp", "image/gif": "gif", "image/png": "png", "image/jpeg": "jpeg", "image/webp": "webp", "image/avif": "avif", "image/svg+xml": "svg"}
     pick = lambda c, table: F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in table.items()))
     magic = (
         F.when((F.hex(F.substring(content, 5, 4)) == "66747970") & brand.isin("68656963", "6D696631", "6D736631"), F.lit("heic"))
-        .when(first(4).isin("49492A00") | (first(3) == "4D4D00"), F.lit("tiff"))
+        .when(first(4).isin("49492A00", "4D4D002A"), F.lit("tiff"))
         .when(first(2) == "424D", F.lit("bmp"))
         .when(first(6).isin("474946383761", "474946383961"), F.lit("gif"))
         .when(first(8) == "89504E470D0A1A0A", F.lit("png"))
@@ -40,24 +47,50 @@ def sniff_format(content: Column, name: Column, mime: Column) -> Column:
     return F.coalesce(pick(F.lower(mime), mimes), pick(extension(name), named), magic)
 
 
+#: Pixels in a batch of the pixel table.
+BATCH_PIXELS = 1 << 18
+
+
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     """S3: decoded files as ``image_id, width, height, data`` in RGBA; files that cannot be read are dropped.
 
-    Decoding is the JVM image source's; its bytes are B, G, R and perhaps A.
+    Decoding is the JVM image source's; its bytes are grey, or B, G, R and perhaps A.
+    Channels change places for a whole image at a time.
     """
     image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path).select("image.*")
-    text, n = F.hex("data"), F.col("nChannels")
-    byte = lambda i, k: F.substring(text, (i * n + k) * 2 + 1, F.lit(2))
-    pixel = lambda i: F.when(n == 1, F.concat(byte(i, 0), byte(i, 0), byte(i, 0), F.lit("FF"))).when(n == 3, F.concat(byte(i, 2), byte(i, 1), byte(i, 0), F.lit("FF"))).otherwise(F.concat(byte(i, 2), byte(i, 1), byte(i, 0), byte(i, 3)))
-    joined = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), pixel), "")
-    return image.select(F.col("origin").alias("image_id"), "width", "height", F.unhex(joined).alias("data"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n, data = batch.column("nChannels")[k].as_py(), np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8)
+                own = data.reshape(-1, n)
+                rgba = np.full((len(own), 4), 255, np.uint8)
+                rgba[:, :3] = own[:, [2, 1, 0]] if n >= 3 else own[:, :1]
+                if n == 4:
+                    rgba[:, 3] = own[:, 3]
+                head = [batch.column(c).slice(k, 1) for c in ("origin", "width", "height")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([rgba.tobytes()], pa.binary())], ["image_id", "width", "height", "data"])
+
+    return image.select("origin", "width", "height", "nChannels", "data").mapInArrow(run, "image_id string, width int, height int, data binary")
 
 
 def explode_pixels(rasters: DataFrame) -> DataFrame:
-    """One row per pixel of row-major RGBA rasters."""
-    cells = rasters.where("width > 0 AND height > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
-    channel = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * 4 + (k + 1), F.lit(1))), 16, 10).cast("int")
-    return cells.select("image_id", "width", "height", (F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), *(channel(k).alias(c) for k, c in enumerate("rgba")))
+    """One row per pixel of row-major RGBA rasters; in batches of bounded size, however large an image is."""
+    kind = rasters.schema["image_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                width, height = batch.column("width")[k].as_py(), batch.column("height")[k].as_py()
+                cells = np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8).reshape(-1, 4)
+                for at in range(0, width * height, BATCH_PIXELS):
+                    i = np.arange(at, min(at + BATCH_PIXELS, width * height), dtype=np.int32)
+                    same = [pa.repeat(batch.column(c)[k], len(i)) for c in ("image_id", "width", "height")]
+                    own = cells[at : at + BATCH_PIXELS].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(i % width), pa.array(i // width), *(pa.array(np.ascontiguousarray(own[:, c])) for c in range(4))], ["image_id", "width", "height", "x", "y", "r", "g", "b", "a"])
+
+    whole = rasters.where("width > 0 AND height > 0 AND octet_length(data) = 4L * width * height").selectExpr("image_id", "cast(width AS int) AS width", "cast(height AS int) AS height", "data")
+    return whole.mapInArrow(run, f"image_id {kind}, width int, height int, x int, y int, r int, g int, b int, a int")
 
 
 @udtf(returnType="seq int, name string, length int, is_metadata boolean")
@@ -91,7 +124,13 @@ def metadata_audit(df: DataFrame) -> DataFrame:
     return each.groupBy("name").agg(F.count("*").alias("images"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"))
 
 
-def write_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Successful rows with their output's name, in one directory per format."""
+def write_outcomes(outcomes: DataFrame, path: str, originals: DataFrame | None = None) -> None:
+    """Successful rows with their output's name, in one directory per format.
+
+    With ``originals`` (``id, original_blob``), a row without an output blob gets its
+    original's as ``resolved_blob`` (J7).
+    """
     good = outcomes.where(F.col("raw_status") != "error").withColumn("file_name", output_name(F.col("name"), F.col("format")))
+    if originals is not None:
+        good = resolve_blob(good, originals)
     good.write.partitionBy("format").parquet(path)

@@ -9,19 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.scalars import half_up
+from ..operators.state import library_state, selection_state
+from ..sources.files import image_glob
+
 # The kinds of usage events.
 EVENT_KINDS = ["image_upload", "compression_complete", "batch_complete", "download", "preset_select", "format_change", "quality_change", "cta_click", "external_link", "funnel_stage", "error"]
 STAGES = ["landing", "upload", "completed", "download"]
-PROPS = "count long, totalSizeKb double, originalSizeKb double, compressedSizeKb double, format string, savingsPercent double, imageCount long, stage string, presetId string, errorType string, value double"
+# The properties of all kinds.
+PROPS = (
+    "count long, totalSizeKb double, originalSizeKb double, compressedSizeKb double, format string, savingsPercent double, imageCount long, totalOriginalKb double, totalCompressedKb double, avgSavingsPercent double, "
+    "presetId string, quality long, ctaName string, location string, destination string, stage string, timestamp long, errorType string, errorMessage string, context string, value double"
+)
+#: Formats and presets that the metrics count one by one.
+FORMATS, PRESET_IDS = ["png", "jpeg", "webp", "avif", "jxl", "svg"], ["photo", "graphic", "social", "custom"]
 
 
 def stream_ingest(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
     """ST1: new image files as they come, one of each content hash within the watermark."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", image_glob()).load(path)
     return files.withColumn("hash", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["hash"])
 
 
+def ingest(files: DataFrame) -> DataFrame:
+    """ST1 over a batch: one file of each content hash."""
+    return files.withColumn("hash", F.sha2("content", 256)).dropDuplicates(["hash"])
+
+
 class _Library(StatefulProcessor):
     """The images of one library: one map entry per image, with when it was added, its status and selection."""
 
@@ -74,6 +89,12 @@ def stream_state(actions: DataFrame) -> DataFrame:
     return actions.groupBy("library_id").transformWithStateInPandas(statefulProcessor=_Library(), outputStructType="library_id long, image_id long, present boolean, status string, selected boolean", outputMode="Update", timeMode="None")
 
 
+def state_view(actions: DataFrame) -> DataFrame:
+    """ST2 over a batch: the images of each library after the whole log, with status (W8) and selection."""
+    selected = selection_state(actions).withColumn("selected", F.lit(True))
+    return library_state(actions).join(selected, ["library_id", "image_id"], "left").select("library_id", "image_id", "status", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
 def parse_telemetry(df: DataFrame) -> DataFrame:
     """ST3: properties by name and type; an unknown kind keeps its text in ``rejected``."""
     known = F.col("name").isin(EVENT_KINDS)
@@ -81,14 +102,20 @@ def parse_telemetry(df: DataFrame) -> DataFrame:
 
 
 def windowed_kpis(df: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """ST4: events, funnel stages, errors and their rate in tumbling or sliding windows.
+    """ST4: uploads, completions, KB in and out, downloads by format, preset picks and errors in tumbling or sliding windows.
 
-    Over a stream, rows later than the watermark are dropped.
+    ``df`` is parsed telemetry (ST3) with ``ts``. Over a stream, rows later than the watermark are dropped.
     """
-    stage = lambda s: F.count_if(F.col("stage") == s)
+    of = lambda kind: F.col("name") == kind
+    total = lambda kind, c: F.coalesce(F.sum(F.when(of(kind), F.col(c))), F.lit(0)).alias
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    kpis = df.withWatermark("ts", late).groupBy(window.alias("w")).agg(F.count("*").alias("events"), stage("upload").alias("uploads"), stage("completed").alias("completed"), stage("download").alias("downloads"), F.count_if(F.col("name") == "error").alias("errors"))
-    return kpis.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "uploads", "completed", "downloads", "errors", (F.col("errors") / F.col("events")).alias("error_rate"))
+    kpis = df.withWatermark("ts", late).groupBy(window.alias("w")).agg(
+        F.count("*").alias("events"), total("image_upload", "count")("uploads"), total("image_upload", "totalSizeKb")("upload_kb"),
+        F.count_if(of("compression_complete")).alias("completed"), total("compression_complete", "originalSizeKb")("kb_in"), total("compression_complete", "compressedSizeKb")("kb_out"),
+        total("download", "count")("downloads"), *(F.count_if(of("download") & (F.col("format") == f)).alias(f"downloads_{f}") for f in FORMATS),
+        *(F.count_if(of("preset_select") & (F.col("presetId") == p)).alias(f"picks_{p}") for p in PRESET_IDS), F.count_if(of("error")).alias("errors"),
+    )
+    return kpis.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(c for c in kpis.columns if c != "w"), (F.col("errors") / F.col("events")).alias("error_rate"))
 
 
 def funnel(df: DataFrame, stages: list[str] | None = None) -> DataFrame:
@@ -104,6 +131,11 @@ def funnel(df: DataFrame, stages: list[str] | None = None) -> DataFrame:
 
 
 def session_batches(df: DataFrame, gap: str) -> DataFrame:
-    """ST6: runs of a user's events without a pause of ``gap``, and what they hold."""
-    s = df.withWatermark("ts", gap).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("name") == "error").alias("errors"))
-    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "errors")
+    """ST6: runs of a user's events without a pause of ``gap``, with the summary of the images that they completed (A2)."""
+    done = F.col("name") == "compression_complete"
+    total = lambda c: half_up(F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0.0)))
+    s = df.withWatermark("ts", gap).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
+        F.count("*").alias("events"), F.count_if(F.col("name") == "error").alias("errors"), F.count_if(done).alias("images"),
+        total("originalSizeKb").alias("original_kb"), total("compressedSizeKb").alias("compressed_kb"), half_up(F.avg(F.when(done, F.col("savingsPercent")))).alias("savings"),
+    )
+    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(c for c in s.columns if c not in ("user_id", "w")))

@@ -31,12 +31,14 @@ def test_ingest_drops_equal_content(spark):
 
 def test_windowed_kpis_as_a_stream(spark):
     path = tempfile.mkdtemp(prefix="spark-")
-    rows = [(i, f"2024-01-01 0{i % 5}:10:00", i % 7, "error" if i % 9 == 0 else "funnel_stage", "upload", 1.0) for i in range(60)] + [(99, "2024-01-02 00:00:00", 1, "funnel_stage", "upload", 1.0)]
-    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, name string, stage string, value double").withColumn("ts", F.to_timestamp("ts"))
+    props = ['{"errorType":"x","errorMessage":"m"}', '{"count":2,"totalSizeKb":10}', '{"originalSizeKb":9,"compressedSizeKb":3,"format":"webp","savingsPercent":66}', '{"format":"png","count":1}', '{"presetId":"photo"}']
+    names = ["error", "image_upload", "compression_complete", "download", "preset_select"]
+    rows = [(i, f"2024-01-01 0{i % 5}:10:00", i % 7, names[i % 5], props[i % 5]) for i in range(60)] + [(99, "2024-01-02 00:00:00", 1, "cta_click", '{"ctaName":"a"}')]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, name string, props string").withColumn("ts", F.to_timestamp("ts"))
     df.coalesce(1).write.mode("overwrite").parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
-    got = {tuple(r) for r in _run(ST.windowed_kpis(stream, "1 hour"), "kpis").collect()}
-    want = {tuple(r) for r in ST.windowed_kpis(df, "1 hour").collect()}
+    got = {tuple(r) for r in _run(ST.windowed_kpis(ST.parse_telemetry(stream), "1 hour"), "kpis").collect()}
+    want = {tuple(r) for r in ST.windowed_kpis(ST.parse_telemetry(df), "1 hour").collect()}
     assert got and got <= want and len(want) - len(got) <= 1
 
 
@@ -51,15 +53,17 @@ def test_state_stream_equals_the_fold(spark):
         out = _run(ST.stream_state(spark.readStream.schema(df.schema).parquet(path)), "state", "update").where("present").collect()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    want = {(r.library_id, r.image_id): r.status for r in S.library_state(df).collect()}
-    assert {(r.library_id, r.image_id): r.status for r in out} == want
+    want = {(r.library_id, r.image_id): (r.status, r.selected) for r in ST.state_view(df).collect()}
+    assert {(r.library_id, r.image_id): (r.status, r.selected) for r in out} == want
+    assert {(r.library_id, r.image_id): r.status for r in S.library_state(df).collect()} == {k: v[0] for k, v in want.items()}
 
 
 def test_funnel_and_sessions(spark):
     rows = [(1, "landing", 0), (1, "upload", 1), (1, "completed", 2), (2, "upload", 0), (2, "landing", 5), (3, "landing", 90)]
-    df = spark.createDataFrame(rows, "user_id long, stage string, m int").withColumn("ts", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, m)")).withColumn("name", F.lit("funnel_stage"))
+    df = spark.createDataFrame(rows, "user_id long, stage string, m int").withColumn("ts", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, m)")).withColumn("name", F.lit("compression_complete"))
+    df = df.withColumns({c: F.lit(1.0) for c in ("originalSizeKb", "compressedSizeKb", "savingsPercent")})
     assert [(r.stage, r.users) for r in ST.funnel(df).orderBy("step").collect()] == [("landing", 3), ("upload", 1), ("completed", 1), ("download", 0)]
-    assert ST.session_batches(df, "30 minutes").count() == 3
+    assert sorted((r.user_id, r.images, r.original_kb) for r in ST.session_batches(df, "30 minutes").collect()) == [(1, 3, 3), (2, 2, 2), (3, 1, 1)]
 
 
 def test_queries_and_sql_agree_in_names():
@@ -70,15 +74,17 @@ def test_queries_and_sql_agree_in_names():
 
 
 def test_the_rest_stands_without_the_training_data_operators():
-    """The entry point in a copy of the repository that lacks them."""
-    copy = tempfile.mkdtemp(prefix="spark-")
-    code = f"""
+    """The entry point in copies of the repository that lack them, with and without the pipeline's file."""
+    for pipeline in (True, False):
+        copy = tempfile.mkdtemp(prefix="spark-")
+        code = f"""
 import shutil, sys
 shutil.copytree({ROOT!r} + "/pixelmill", {copy!r} + "/pixelmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-shutil.copy({ROOT!r} + "/__spark_entry__.py", {copy!r})
+for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * {pipeline}:
+    shutil.copy({ROOT!r} + "/" + name, {copy!r})
 sys.path.insert(0, {copy!r})
 import __spark_entry__ as e
 assert e.__file__.startswith({copy!r})
 assert not any(n.startswith("op") for n in e.queries()) and "a9_classify_images" in e.queries()
 """
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, timeout=120)
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, timeout=120)
