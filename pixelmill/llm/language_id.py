@@ -3,12 +3,17 @@
 Character trigrams are counted per language over all labelled training
 documents. A document is a mixture: every word is drawn from one of the
 languages with the likelihood of its trigrams, and expectation-maximisation
-estimates the document's proportions. Sets of one, two and more languages are
-then compared by likelihood with a penalty for each language.
+estimates the document's proportions. Sets of languages are then compared by
+likelihood with a penalty for each language, for every document: all sets of those
+``SETS`` languages that have the largest proportions. The likelihood is concave, so
+proportions near its top bound it from above; where not even that bound pays for a
+second language, the best single one is the best set, and no other is fitted.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +29,8 @@ SMOOTHING = 0.5
 ROUNDS = 10
 #: Nats that a further language must gain, besides half the log of the words.
 PENALTY = 3.0
-#: A document whose first language has this share needs no comparison of sets.
-CLEAR = 0.995
+#: Languages of a document, by proportion, whose sets are all compared.
+SETS = 5
 UNKNOWN = "und"
 BLOCK = 1 << 20
 _CLASS = np.arange(256, dtype=np.int64)
@@ -113,35 +118,54 @@ def _em(like: np.ndarray, doc: np.ndarray, at: np.ndarray, share: np.ndarray, ro
 
 
 def mixtures(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """The proportions of the chosen languages for each text; zeros where no word has a letter."""
+    """The proportions of the chosen languages for each text; zeros for other languages, and where no word has a letter."""
     logs, at = _word_likelihoods(raw, offsets, model)
     k, out = model.shape[1], np.zeros((len(offsets) - 1, model.shape[1]))
     full = np.flatnonzero(np.diff(at))
     if not len(full):
         return out
     at = np.append(at[full], at[-1])
-    doc = np.repeat(np.arange(len(full)), np.diff(at))
-    like = np.exp(logs - logs.max(axis=1, keepdims=True))
-    share, score = _em(like, doc, at, np.full((len(full), k), 1 / k), ROUNDS)
-    mixed = np.flatnonzero(share.max(axis=1) < CLEAR)
-    if len(mixed):
-        rows = np.concatenate([np.arange(at[i], at[i + 1]) for i in mixed])
-        sub = np.concatenate([[0], np.cumsum(np.diff(at)[mixed])])
-        own, some = np.repeat(np.arange(len(mixed)), np.diff(sub)), like[rows]
-        order = np.argsort(-share[mixed], axis=1, kind="stable")
-        place = np.argsort(order, axis=1, kind="stable")
-        cost = PENALTY + 0.5 * np.log(np.diff(sub))
-        best, chosen = np.full(len(mixed), -np.inf), share[mixed].copy()
-        for size in range(1, k + 1):
-            start = np.where(place < size, share[mixed] + 1e-6, 0.0)
-            found, fit = _em(some, own, sub, start / start.sum(axis=1, keepdims=True), 3 if size > 1 else 0)
-            better = fit - cost * size > best
-            best, chosen = np.where(better, fit - cost * size, best), np.where(better[:, None], found, chosen)
-        share[mixed] = chosen
-    out[full] = share
+    out[full] = chosen_sets(logs - logs.max(axis=1, keepdims=True), at)
     return out
 
 
+def chosen_sets(logs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The proportions of the set with the best penalised likelihood for each document of at least one word.
+
+    ``logs`` are the words' log likelihoods in each language, up to a constant for each word.
+    """
+    n, k = np.diff(at), logs.shape[1]
+    doc, like = np.repeat(np.arange(len(n)), n), np.exp(logs)
+    share, score = _em(like, doc, at, np.full((len(n), k), 1 / k), ROUNDS)
+    cost = PENALTY + 0.5 * np.log(n)
+    alone = np.add.reduceat(logs, at[:-1], axis=0)
+    first = alone.argmax(axis=1)
+    best = alone.max(axis=1)
+    chosen = np.zeros((len(n), k))
+    chosen[np.arange(len(n)), first] = 1.0
+    # no proportions are likelier than the score plus n times (the largest mean ratio of a language to the mixture, less 1)
+    mixture = np.maximum((like * share[doc]).sum(axis=1, keepdims=True), 1e-300)
+    bound = score + n * np.maximum(np.add.reduceat(like / mixture, at[:-1], axis=0).max(axis=1) / n - 1, 0)
+    open_ = np.flatnonzero(bound - best > cost)
+    if not len(open_):
+        return chosen
+    rows = np.concatenate([np.arange(at[i], at[i + 1]) for i in open_])
+    sub = np.concatenate([[0], np.cumsum(n[open_])])
+    own = np.repeat(np.arange(len(open_)), n[open_])
+    order = np.argsort(-share[open_], axis=1, kind="stable")[:, :SETS]
+    some = np.take_along_axis(like[rows], order[own], axis=1)
+    top, kept = best[open_] - cost[open_], chosen[open_]
+    for size in range(2, order.shape[1] + 1):
+        for members in map(list, combinations(range(order.shape[1]), size)):
+            part, fit = _em(some[:, members], own, sub, np.full((len(open_), size), 1 / size), ROUNDS)
+            better = np.flatnonzero(fit - cost[open_] * size > top)
+            top[better] = (fit - cost[open_] * size)[better]
+            kept[better] = 0.0
+            np.put_along_axis(kept, order[:, members], np.where(np.isin(np.arange(len(open_)), better)[:, None], part, np.take_along_axis(kept, order[:, members], axis=1)), axis=1)
+    chosen[open_] = kept
+    return chosen
+
+
 def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep_rows: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score, languages`` for every document, and its whole row as ``doc`` if asked for.
 

@@ -206,6 +206,39 @@ def test_language_id_held_out(spark):
     assert len(found) == len(rows)
 
 
+def test_language_sets_against_all_subsets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    k, logs, at = 4, [], [0]
+    for i in range(60):
+        own = rng.choice(k, 1 + i % 3, replace=False)
+        n = int(rng.integers(1, 60))
+        true = rng.choice(own, n)
+        part = rng.normal(-6, 2, (n, k))
+        part[np.arange(n), true] += rng.uniform(1, 8)
+        logs.append(part - part.max(axis=1, keepdims=True))
+        at.append(at[-1] + n)
+    found = language_id.chosen_sets(np.concatenate(logs), np.array(at))
+    several = 0
+    for i, part in enumerate(logs):
+        n, best = len(part), None
+        for size in range(1, k + 1):
+            for members in combinations(range(k), size):
+                like, share = np.exp(part[:, members]), np.full(size, 1 / size)
+                for _ in range(language_id.ROUNDS):
+                    r = like * share
+                    share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+                value = np.log((like * share).sum(axis=1)).sum() - size * (language_id.PENALTY + 0.5 * np.log(n))
+                if best is None or value > best[0]:
+                    best = (value, members, share)
+        want = np.zeros(k)
+        want[list(best[1])] = best[2]
+        several += len(best[1]) > 1
+        assert np.allclose(found[i], want, atol=1e-9)
+    assert several > 10
+
+
 def test_language_id_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.identify(docs, docs).collect()] == ["und"]
