@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
 from .stats import content_bounds
-from .stencil import box_blur, sharpen
+from .stencil import filtered
 
 #: Weights of a resize are whole numbers of this unit, so that sums are exact in any order.
 UNIT = 1 << 14
@@ -116,4 +116,4 @@ def apply_edits(pixels: DataFrame, *, trim: int | None = None, boxes: DataFrame
     out = crop(out, boxes) if boxes is not None else out
     out = resize(out, dims, filter) if dims is not None else out
     out = transform(out, ops) if ops is not None else out
-    return box_blur(sharpen(out, sharpen_amount), blur_radius)
+    return filtered(out, sharpen_amount, blur_radius)
