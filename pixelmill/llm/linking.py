@@ -1,11 +1,13 @@
 """Linking texts that share a bucket and have a Jaccard similarity (DataFrame functions only).
 
 Candidates come as rows ``band, h, sketch``: texts (by their hash ``h``) of one band
-meet. Each is compared first with one partner: the text that is the smallest of its
-bucket in most of its bands. That links most of a class. Where a bucket still holds
-several components after that, all its texts of different components are compared if
-their sketches are alike, so no pair of a bucket is left out. Large buckets are dealt
-into blocks, and into pairs of blocks for the last comparison, so no bucket is one task.
+meet. In each of a few turns, a text is compared with one partner of another
+component: the text that comes first in its bucket, in another order each turn, in
+most of its bands. That links nearly all of a class at a cost that follows its size.
+Where a bucket still holds several components after that, all its texts of different
+components are compared if their sketches are alike, so no pair of a bucket is left
+out. Large buckets are dealt into blocks, and into pairs of blocks for the last
+comparison, so no bucket is one task.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .shared import checkpointed, dropped, released, written
 SIMILARITY = 0.8
 #: Texts of a bucket that one block holds, about.
 BLOCK = 512
+#: Turns in which each text meets one partner.
+TURNS = 2
 #: One text in so many is counted to find the buckets that need several blocks.
 COUNTED = 16
 #: Of the sketch's rows that are filled, this share and so many more may differ between similar texts.
@@ -94,17 +98,27 @@ def _dealt(bands: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("size", F.count("*").over(Window.partitionBy("band", "salt"))).where("size > 1 or salt >= 0").drop("size")
 
 
-def _met(bands: DataFrame) -> DataFrame:
-    """One pair ``u, v`` for each text that is not the smallest of all its buckets, sketches alike."""
+def _open(bands: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``band, h, sketch, salt, root`` of the buckets that hold several components."""
+    if roots is None:
+        return bands.withColumn("root", F.col("h"))
+    named = bands.join(roots.withColumnRenamed("v", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     bucket = Window.partitionBy("band", "salt")
-    pairs = bands.select("h", "sketch", F.min(F.struct("h", "sketch")).over(bucket).alias("p")).where("h <> p.h")
+    named = named.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+    return named.where("low < high or salt >= 0").drop("low", "high")
+
+
+def _met(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair ``u, v`` for each text that is not in the component of all its buckets' first texts, sketches alike."""
+    order = F.col("h") if turn == 0 else F.xxhash64("h", F.lit(turn))
+    first = F.min(F.struct(order.alias("o"), F.col("h").alias("h"), F.col("sketch").alias("sketch"), F.col("root").alias("root")))
+    pairs = rows.select("h", "sketch", "root", first.over(Window.partitionBy("band", "salt")).alias("p")).where("root <> p.root")
     pairs = pairs.where(_alike(F.col("sketch"), F.col("p.sketch"))).groupBy(F.col("h").alias("u"), F.col("p.h").alias("v")).count()
     return pairs.groupBy("u").agg(F.max_by("v", "count").alias("v"))
 
 
-def _across(bands: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+def _across(named: DataFrame, block: int) -> DataFrame:
     """Distinct pairs ``u, v`` of all texts of a bucket that lie in different components, sketches alike."""
-    named = checkpointed(bands.join(roots.withColumnRenamed("v", "h"), "h", "left").select("band", "h", "sketch", F.coalesce("root", "h").alias("root")))
     split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
     split = _few(checkpointed(split.select("band", F.ceil(F.col("n") / block).alias("blocks"))))
     rest = named.join(split, "band").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
@@ -118,13 +132,22 @@ def _across(bands: DataFrame, roots: DataFrame, block: int) -> DataFrame:
 
 def linked(bands: DataFrame, texts: DataFrame, unit: Unit, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``v, root`` for each hash of ``texts`` (``h, line``) that is similar to another of its buckets, but the roots."""
-    bands = checkpointed(_dealt(bands, block))
-    near = checkpointed(_met(bands))
-    links = similar(near, texts, similarity, unit)
-    roots = components(links)
-    across = checkpointed(_across(bands, roots, block).join(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    rows = checkpointed(_open(checkpointed(_dealt(bands, block)), None))
+    roots, tried = None, None
+    for turn in range(TURNS):
+        met = checkpointed(_met(rows, turn))
+        if roots is not None and not met.limit(1).count():
+            break
+        new = similar(met, texts, similarity, unit)
+        met = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        tried = met if tried is None else tried.unionByName(met)
+        if roots is None or new.limit(1).count():
+            roots = components(new if roots is None else roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(new))
+            rows = checkpointed(_open(rows.drop("root"), roots))
+        released(rows)
+    across = checkpointed(_across(rows, block).join(tried, ["u", "v"], "left_anti"))
     released(across)
     if not across.limit(1).count():
         return roots
     more = similar(across, texts, similarity, unit)
-    return components(links.unionByName(more)) if more.limit(1).count() else roots
+    return components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more)) if more.limit(1).count() else roots
