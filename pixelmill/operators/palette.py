@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
 from .stats import premultiplied
 
 CHANNELS = ["r", "g", "b", "a"]
-#: Rounds of a median cut between two checkpoints.
-CUT_EVERY = 8
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -37,38 +37,59 @@ def nearest_color(hist: DataFrame, palette: DataFrame) -> DataFrame:
     return hist.join(entries, "image_id").withColumn("best", F.array_min(far)).select("image_id", *CHANNELS, "cnt", F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
 
 
+def _boxes(colors: np.ndarray, cnt: np.ndarray, k: int) -> list[np.ndarray]:
+    """The boxes of one image's colours (sorted by r, g, b, a), as rows in the order of their making."""
+    if len(colors) <= k:
+        return [np.array([i]) for i in range(len(colors))]
+    boxes = [np.arange(len(colors))]
+    scores: list[tuple[int, int, np.ndarray]] = []  # population, volume, spans
+    for made in range(1, k):
+        for own in boxes[len(scores) :]:
+            spans = np.ptp(colors[own, :3], axis=0)
+            scores.append((int(cnt[own].sum()), int(np.prod(spans + 1)), spans))
+        rank = [(-1 if len(own) < 2 else pop if made < k * 0.75 else volume * pop) for own, (pop, volume, _) in zip(boxes, scores, strict=True)]
+        best = max(range(len(boxes)), key=lambda i: (rank[i], -i))
+        if rank[best] < 0:
+            break
+        own, (pop, _, spans) = boxes[best], scores[best]
+        along = 0 if spans[0] >= spans[1] and spans[0] >= spans[2] else 1 if spans[1] >= spans[2] else 2
+        # rows of a box follow its last cut; ties along the side go by all channels
+        own = np.sort(own)
+        own = own[np.argsort(colors[own, along], kind="stable")]
+        median = int(np.argmax(np.cumsum(cnt[own]) * 2 >= pop))
+        split = max(min(max(median, 1), len(own) - 2), 0)
+        boxes[best] = own[: split + 1]
+        boxes.append(own[split + 1 :])
+        spans = np.ptp(colors[boxes[best], :3], axis=0)
+        scores[best] = (int(cnt[boxes[best]].sum()), int(np.prod(spans + 1)), spans)
+    return boxes
+
+
 def median_cut(hist: DataFrame, k: int = 16) -> DataFrame:
-    """``image_id, idx, r, g, b, a, cnt``: at most k colours for every image, cut in lock-step.
+    """``image_id, idx, r, g, b, a, cnt``: at most k colours for every image.
 
-    Round by round each image splits one box: by population for the first three
+    Round by round an image splits one box: by population for the first three
     quarters of the splits, then by volume times population; at the weighted
     median along the longest side, so that no side is empty. Boxes are numbered
     in the order of their making. Ties: the lowest box; colours by r, g, b, a.
     A box never splits for an image that has no box of two colours left, or that
-    has k colours or fewer to begin with (each colour is then a box).
+    has k colours or fewer to begin with (each colour is then a box). Pixels never
+    come here: an image is its colours with their counts.
     """
-    image, box = Window.partitionBy("image_id"), Window.partitionBy("image_id", "box")
-    # one shuffle: every window below is within an image
-    colors = hist.select("image_id", *CHANNELS, "cnt").repartition("image_id").withColumn("small", F.count("*").over(image) <= k)
-    live = colors.withColumn("box", F.when(F.col("small"), F.row_number().over(image.orderBy(*CHANNELS)) - 1).otherwise(0))
-    for made in range(1, k):
-        spans = {f"s{c}": F.max(c).over(box) - F.min(c).over(box) for c in "rgb"}
-        live = live.withColumns({"n": F.count("*").over(box), "pop": F.sum("cnt").over(box), **spans})
-        volume = (F.col("sr") + 1) * (F.col("sg") + 1) * (F.col("sb") + 1)
-        score = F.when((F.col("n") > 1) & ~F.col("small"), F.col("pop") if made < k * 0.75 else volume * F.col("pop"))
-        best = F.max(F.when(score.isNotNull(), F.struct(score.alias("score"), (-F.col("box")).alias("order")))).over(image)
-        wide = F.when((F.col("sr") >= F.col("sg")) & (F.col("sr") >= F.col("sb")), F.col("r")).when(F.col("sg") >= F.col("sb"), F.col("g")).otherwise(F.col("b"))
-        live = live.withColumn("chosen", F.coalesce(best["order"] == -F.col("box"), F.lit(False))).withColumn("along", F.when(F.col("chosen"), wide))
-        order = box.orderBy("along", *CHANNELS)
-        live = live.withColumns({"at": F.row_number().over(order) - 1, "so_far": F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-        median = F.min(F.when(F.col("so_far") * 2 >= F.col("pop"), F.col("at"))).over(box)
-        live = live.withColumn("split", F.greatest(F.least(F.greatest(median, F.lit(1)), F.col("n") - 2), F.lit(0)))
-        moved = F.when(F.col("chosen") & (F.col("at") > F.col("split")), made).otherwise(F.col("box"))
-        live = live.select("image_id", *CHANNELS, "cnt", "small", moved.cast("int").alias("box"))
-        if made % CUT_EVERY == 0 and made < k - 1:
-            live = _cut(live).repartition("image_id")
-    mean = [half_up(F.sum(F.col(c) * F.col("cnt")) / F.sum("cnt")).cast("int").alias(c) for c in CHANNELS]
-    return live.groupBy("image_id", F.col("box").alias("idx")).agg(*mean, F.sum("cnt").alias("cnt"))
+    kind = hist.schema["image_id"].dataType.simpleString()
+
+    def cut(key, table):
+        colors = np.stack([table[c].to_numpy() for c in CHANNELS], axis=1).astype(np.int64)
+        cnt = table["cnt"].to_numpy().astype(np.int64)
+        order = np.lexsort(colors.T[::-1])
+        colors, cnt = colors[order], cnt[order]
+        boxes = _boxes(colors, cnt, k)
+        pops = np.array([cnt[b].sum() for b in boxes], np.int64)
+        means = np.array([np.floor((colors[b] * cnt[b, None]).sum(axis=0) / p + 0.5) for b, p in zip(boxes, pops, strict=True)]).astype(np.int32)
+        ids = pa.array([key[0].as_py()] * len(boxes), table.schema.field("image_id").type)
+        return pa.table([ids, pa.array(np.arange(len(boxes), dtype=np.int32)), *(pa.array(np.ascontiguousarray(means[:, c])) for c in range(4)), pa.array(pops)], names=["image_id", "idx", *CHANNELS, "cnt"])
+
+    return hist.select("image_id", *CHANNELS, "cnt").groupBy("image_id").applyInArrow(cut, f"image_id {kind}, idx int, r int, g int, b int, a int, cnt long")
 
 
 def kmeans_refine(hist: DataFrame, palette: DataFrame, rounds: int = 5) -> DataFrame:
