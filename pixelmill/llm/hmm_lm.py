@@ -25,7 +25,7 @@ from .shared import columns
 STATES = 6
 CELLS = 1 << 13
 #: Each round takes one in so many of the training documents: all of them.
-ROUNDS = (1, 1, 1, 1, 1, 1)
+ROUNDS = (1, 1)
 #: Tokens of a segment; segments of a text are chained exactly, in training as in scoring.
 TRAIN_LENGTH, SCORE_LENGTH = 256, 1024
 #: Tokens that a training block or a slice of texts holds, about.
