@@ -141,3 +141,21 @@ def test_oracle_sql_holds_text_only():
     import __spark_entry__ as entry
 
     assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    import os
+    import tempfile
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, own int, exact string, h long, gone string, doc int"
+    sf = tempfile.mkdtemp(prefix="spark-")
+    leak = "how many red apples does the tall farmer carry home when he sells seven of them"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(os.path.join(sf, "benchmark.parquet"))
+    rows = [(None, f"so {leak} then", "aa", "s", 1, 1, "e", 1, "g", 1), (1, "some words that stay", "aa", "s", 1, 1, "e", 1, "g", 1), (1, f"so {leak} again", "aa", "s", 1, 1, "e", 1, "g", 1)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, spark.createDataFrame([], kind), sf).collect() == [], name
+        found = stage(spark, spark.createDataFrame(rows, kind), sf)
+        assert found.columns == [x.split()[0] for x in kind.split(", ")], name
+        texts = {r.text for r in found.collect()}
+        # a leaked text goes without an id too, and takes no other text of its id along
+        assert rows[1][1] in texts and (name != "benchmark" or texts == {rows[1][1]}), name

@@ -473,3 +473,39 @@ def test_digest_of_kept_words_is_plain_sha256(spark):
 
     r = substring_dedup.substring_dedup(_docs(spark, [(1, " a\tb ")])).select(F.sha2("kept_text", 256).alias("h")).first()
     assert r.h == hashlib.sha256(b"a b").hexdigest()
+
+def _hard_rows():
+    """Null ids, empty and null texts, repeated rows, ties, and a text far longer than the others."""
+    long = " ".join(f"word{i % 977} of{i % 31}" for i in range(30_000))
+    return [(None, "no id at all here"), (None, None), (1, None), (2, ""), (3, "  "), (4, "same text in two rows"), (4, "same text in two rows"), (5, "same text in two rows"), (6, long), (7, long[:-1] + "x"), (None, long)]
+
+
+def test_operators_take_hard_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = _hard_rows()
+    docs = _docs(spark, rows)
+    ids = sorted((i is None, i or 0) for i, _ in rows)
+    labelled = docs.withColumn("lang", F.when(F.col("doc_id") > 3, F.lit("aa"))).withColumn("score", F.lit("s")).withColumn("doc", F.lit(1))
+    bench = spark.createDataFrame([(1, rows[6 + 2][1][:200]), (None, "words without an id that nobody ever uses here"), (2, None)], "item_id long, text string")
+    for found in (
+        substring_dedup.substring_dedup(docs), suffix_dedup.remove_repeats(docs), simhash.near_duplicates(docs), language_id.identify(labelled, labelled),
+        hmm_lm.score_documents(docs, train_on=F.lit(True), states=2, rounds=(1,)), line_dedup.dedup_lines(docs),
+    ):
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in found.collect()) == ids
+    packed = packing.best_fit_packing(docs).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in rows} and sum(r.piece == 0 for r in packed) == len(rows)
+    leaks = {(r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, bench).collect()}
+    assert leaks == {(6, 1), (7, 1), (None, 1)}
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert near[4] == near[5] == 4 and near[1] == near[2] == near[3] == 1
+
+
+def test_near_copies_of_hard_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = _docs(spark, _hard_rows())
+    classes = {r.text_hash: r.component_id for r in simhash.near_copies(docs).collect()}
+    keyed = docs.select("doc_id", F.xxhash64(F.lower(F.coalesce("text", F.lit("")))).alias("h")).collect()
+    found = {r.doc_id: classes.get(r.h) for r in keyed if r.doc_id is not None}
+    assert found[4] == found[5] == 4 and found[6] == found[7] == 6 and found[1] == found[2] == 1
