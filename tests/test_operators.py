@@ -268,3 +268,34 @@ def test_markup(spark):
     safe = {r.id: r for r in P.clean_markup(df).collect()}
     assert safe[1].cleaned == '<svg> <path d="M1.2345 2.5"/></svg>' and safe[2].cleaned is None
     assert P.clean_markup(df, mode="aggressive").where("id = 1").first().cleaned == '<svg> <path d="M1.23 2.5"/></svg>'
+
+
+def test_large_images_decode_in_linear_time(spark):
+    import struct
+    import tempfile
+    import time
+
+    import numpy as np
+
+    side = 1024
+    own = np.random.default_rng(0).integers(0, 256, (side, side, 3), dtype=np.uint8)
+    head = b"BM" + struct.pack("<IIIIIIHHIIIIII", 54 + own.size, 0, 54, 40, side, side, 1, 24, 0, 0, 0, 0, 0, 0)
+    path = tempfile.mkdtemp(prefix="spark-")
+    with open(os.path.join(path, "a.BMP"), "wb") as f:
+        f.write(head + own[::-1, :, ::-1].tobytes())
+    began = time.time()
+    pixels = files.explode_pixels(files.read_rasters(spark, path))
+    got = pixels.agg(F.count("*").alias("n"), *(F.sum(F.col(c) * (F.col("x") + F.col("y"))).alias(c) for c in "rgba")).first()
+    assert time.time() - began < 30
+    place = np.add.outer(np.arange(side), np.arange(side))
+    assert got.n == side * side and [got[c] for c in "rgb"] == [int((own[..., k].astype(np.int64) * place).sum()) for k in range(3)] and got["a"] == 255 * int(place.sum())
+    assert files.scan_catalog(spark, path).count() == 1
+
+
+def test_presets_and_curves_come_from_their_tables(spark):
+    known = spark.createDataFrame([("mine", "webp", 50, None, None)], "id string, format string, quality int, max_width int, max_height int")
+    jobs = spark.createDataFrame([(1, "mine"), (2, "photo"), (3, None)], "id long, preset_id string")
+    assert {(r.id, r.preset, r.preset_quality) for r in J.apply_preset(jobs, known).collect()} == {(1, "mine", 50), (2, "mine", 50), (3, "mine", 50)}
+    curves = spark.createDataFrame([("own", 0, 0.1), ("own", 100, 0.2)], "format string, quality int, ratio double")
+    sized = spark.createDataFrame([(1, 10, 10, 50, "own")], "id long, width int, height int, quality int, format string")
+    assert [r.estimated_size for r in J.estimate_size(sized, curves).collect()] == [45]
