@@ -235,7 +235,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     roots = F.array(*(root(c, by) for c in range(len(CHOICES)) for by in range(16)))
     names = [f"f{w}" for w in range(WIDE)]
-    rooted = fps.select("h", *names, F.explode(roots).alias("root"))
+    # the table is small for its rows, so its files would be few tasks
+    rooted = fps.repartition(shuffle_partitions(docs.sparkSession)).select("h", *names, F.explode(roots).alias("root"))
 
     def join(_, table):
         root, h = table["root"].to_numpy(), table["h"].to_numpy()
