@@ -8,11 +8,14 @@ depth: each level may part a pair at the threshold with a known probability, and
 trees are added until all of them part it with ``MISSED`` at most. All points of a
 leaf are compared; links are merged by distributed union-find.
 
-Links are counted, never listed: of the leaves that two points share, in any tree,
-only the one with the smallest key counts the pair. In a large group of near copies
-most pairs need no comparison: vectors within half the threshold's angle of their
-component's mean direction are linked with each other for certain, as angles obey
-the triangle inequality, so they add their number, and leaves count the rest.
+Every link lies inside a component, so links are counted there and never listed.
+Vectors within half the threshold's angle of their component's mean direction (its
+core) are linked with each other for certain, as angles obey the triangle
+inequality; they add their number. The others are compared with their whole
+component: at once where it fits into a leaf, else block by block, the blocks being
+parts of leaves. Counts are exact for the components found. A large group of near
+copies around one text is all core; work is quadratic only in the members outside
+of it.
 """
 
 from __future__ import annotations
@@ -40,7 +43,6 @@ PARTED = 0.03
 MISSED = 0.001
 #: Cuts of so many nodes are broadcast (a key and two numbers each); more are joined by shuffle.
 BROADCAST_NODES = 50_000
-PAIRS = 200_000
 
 
 def depth_and_trees(points: int, leaf: int) -> tuple[int, int]:
@@ -94,15 +96,16 @@ def _leaves(points: DataFrame, depth: int, trees: int, leaf: int, seed: int) ->
     return rows.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.xxhash64("tree", "node"))).alias("leaves"))
 
 
-def _linked(v: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers i < j of all pairs with this cosine or more."""
+def _linked(v: np.ndarray, other: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs with this cosine or more, of ``v`` and ``other``, or i < j within ``v``."""
     unit = _units(v)
-    gram = unit @ unit.T
-    i, j = np.nonzero(np.triu(gram >= similarity - 1e-9, 1))
+    gram = unit @ (unit if other is None else _units(other)).T
+    near = gram >= similarity - 1e-9
+    i, j = np.nonzero(np.triu(near, 1) if other is None else near)
     close = np.flatnonzero(gram[i, j] < similarity + 1e-9)  # rounding may decide: by the definition
     if len(close):
-        s = v / np.abs(v).max(axis=1, keepdims=True)
-        a, b = s[i[close]], s[j[close]]
+        whole = lambda x: x / np.abs(x).max(axis=1, keepdims=True)
+        a, b = whole(v[i[close]]), whole((v if other is None else other)[j[close]])
         dot = lambda x, y: np.einsum("ij,ij->i", x, y)
         keep = np.ones(len(i), bool)
         keep[close] = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b))) >= similarity
@@ -123,40 +126,19 @@ def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _shared_before(leaves: list[np.ndarray], key: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the rows of each pair share a leaf whose key is smaller than this one's."""
-    before = [x[x < key] for x in leaves]
-    width = max((len(x) for x in before), default=0)
-    out = np.zeros(len(i), bool)
-    if not width:
-        return out
-    table, there = np.zeros((len(before), width), np.int64), np.zeros((len(before), width), bool)
-    for r, x in enumerate(before):
-        table[r, : len(x)], there[r, : len(x)] = x, True
-    step = max(1, PAIRS * 16 // (width * width))
-    for at in range(0, len(i), step):
-        a, b = i[at : at + step], j[at : at + step]
-        equal = (table[a][:, :, None] == table[b][:, None, :]) & there[a][:, :, None] & there[b][:, None, :]
-        out[at : at + step] = equal.any(axis=(1, 2))
-    return out
-
-
-def _by_leaf(cards: DataFrame):
-    return cards.withColumn("leaf", F.explode("leaves")).groupBy("label", "dim", "leaf")
-
-
 def _links(cards: DataFrame, similarity: float) -> DataFrame:
     """Edges ``u, v`` of vertices ``(low, h1)``: in each leaf, each point with the smallest one that it is linked to."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("low", "ascending"), ("h1", "ascending")])
-        i, j = _linked(matrix(t["v"]), similarity)
+        i, j = _linked(matrix(t["v"]), None, similarity)
         root = _smallest(t.num_rows, i, j)
         at = np.flatnonzero(root != np.arange(t.num_rows))
         low, h = t["low"].to_numpy(), t["h1"].to_numpy()
         return pa.table({"ul": low[at], "uh": h[at], "vl": low[root[at]], "vh": h[root[at]]})
 
-    found = _by_leaf(cards.select("h1", "label", "dim", "v", "low", "leaves")).applyInArrow(run, "ul long, uh long, vl long, vh long").distinct()
+    dealt = cards.select("h1", "label", "dim", "v", "low", F.explode("leaves").alias("leaf"))
+    found = dealt.groupBy("label", "dim", "leaf").applyInArrow(run, "ul long, uh long, vl long, vh long").distinct()
     vertex = lambda s: F.struct(F.col(f"{s}l").alias("low"), F.col(f"{s}h").alias("h"))
     return found.select(vertex("u").alias("u"), vertex("v").alias("v"))
 
@@ -190,26 +172,32 @@ def _with_core(cards: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("core", F.coalesce(F.col("mean").isNotNull() & (cosine >= near), F.lit(False))).drop("mean", "unit")
 
 
-def _counts(cards: DataFrame, similarity: float) -> DataFrame:
+def _counts(cards: DataFrame, similarity: float, leaf: int) -> DataFrame:
     """``h1, h2, n``: vectors linked to each point, but for pairs of points in the core of one component."""
-
-    def run(keys: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j = _linked(matrix(t["v"]), similarity)
-        core, low, h = t["core"].to_numpy(), t["rl"].to_numpy(), t["rh"].to_numpy()
-        open_ = ~(core[i] & core[j] & (low[i] == low[j]) & (h[i] == h[j]))
+    own = cards.where("root is not null").select("h1", "h2", "v", "mult", "core", "root", "members", F.col("leaves")[0].alias("leaf"))
+    own = own.withColumn("block", F.when(F.col("members") <= leaf, F.lit(0).cast("long")).otherwise(F.col("leaf"))).drop("members", "leaf")
+    blocks = checkpointed(own.groupBy("root", "block").agg(F.bool_or(~F.col("core")).alias("open")))
+    side = lambda c: blocks.select("root", F.col("block").alias(c), F.col("open").alias(f"open_{c}"))
+    pairs = side("i").join(side("j"), "root").where("i <= j and (open_i or open_j)").select("root", "i", "j")
+    first = own.withColumnRenamed("block", "i").join(pairs, ["root", "i"])
+    second = own.withColumnRenamed("block", "j").join(pairs.where("i < j"), ["root", "j"])
+    columns_ = ["root", "i", "j", "h1", "h2", "v", "mult", "core"]
+    keyed = lambda df: df.select(*columns_).toDF(*columns_).groupBy("root", "i", "j")  # noqa: E731  (columns of its own for each side)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        other = b if b.num_rows else a
+        i, j = _linked(matrix(a["v"]), matrix(b["v"]) if b.num_rows else None, similarity) if a.num_rows else (np.zeros(0, np.int64),) * 2
+        open_ = ~(a["core"].to_numpy()[i] & other["core"].to_numpy()[j])
         i, j = i[open_], j[open_]
-        if len(i):
-            own = ~_shared_before([np.asarray(x) for x in t["leaves"].to_pylist()], keys[2].as_py(), i, j)
-            i, j = i[own], j[own]
-        n, mult = np.zeros(t.num_rows, np.int64), t["mult"].to_numpy()
-        np.add.at(n, i, mult[j])
-        np.add.at(n, j, mult[i])
-        at = np.flatnonzero(n)
-        return pa.table({"h1": t["h1"].to_numpy()[at], "h2": t["h2"].to_numpy()[at], "n": n[at]})
+        out = []
+        for t, own, partner, weights in ((a, i, j, other), (other, j, i, a)):
+            n = np.zeros(t.num_rows, np.int64)
+            np.add.at(n, own, weights["mult"].to_numpy()[partner])
+            at = np.flatnonzero(n)
+            out.append(pa.table({"h1": t["h1"].to_numpy()[at], "h2": t["h2"].to_numpy()[at], "n": n[at]}))
+        return pa.concat_tables(out)
 
-    root = lambda c: F.coalesce(f"root.{c}", F.lit(0)).alias
-    slim = cards.select("h1", "h2", "label", "dim", "v", "mult", "leaves", "core", root("low")("rl"), root("h")("rh"))
-    return _by_leaf(slim).applyInArrow(run, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    return keyed(first).cogroup(keyed(second)).applyInArrow(run, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
 def near_copies(vectors: DataFrame, *, similarity: float = SIMILARITY, leaf: int = LEAF, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -219,7 +207,7 @@ def near_copies(vectors: DataFrame, *, similarity: float = SIMILARITY, leaf: int
     vectors found with a cosine of ``similarity`` or more, ``component_id`` is the
     smallest id that links reach, itself included, and one row of each component is
     kept. Every link that counts has been verified in double precision or follows
-    from two verified angles. Rows whose label is null, and vectors that are null,
+    from two verified angles; ``leaf`` bounds what is compared at once. Rows whose label is null, and vectors that are null,
     empty, zero or hold null or non-finite components, link with nothing. A repeated
     row is a vector of its own: it links with its copy, shares its component, and is
     kept with it, as ids are equal. Rows without an id are left out; other columns
@@ -236,8 +224,9 @@ def near_copies(vectors: DataFrame, *, similarity: float = SIMILARITY, leaf: int
     hung = components(_links(cards, similarity))
     roots = checkpointed(hung.unionByName(hung.select(F.col("root").alias("v"), "root").distinct()).select(F.col("v.low").alias("low"), F.col("v.h").alias("h1"), "root"))
     cards = written(_with_core(cards.join(roots, ["low", "h1"], "left"), similarity))
-    cores = cards.where("core").groupBy("root").agg(F.sum("mult").alias("size"))
-    told = cards.select("h1", "h2", "low", "mult", "root", "core").join(_counts(cards, similarity), ["h1", "h2"], "left").join(cores, "root", "left")
+    sizes = cards.where("root is not null").groupBy("root").agg(F.count("*").alias("members"), F.sum(F.when(F.col("core"), F.col("mult"))).alias("size"))
+    cards = cards.join(checkpointed(sizes), "root", "left")
+    told = cards.select("h1", "h2", "low", "mult", "root", "core", "size").join(_counts(cards, similarity, leaf), ["h1", "h2"], "left")
     others = F.coalesce("n", F.lit(0)) + F.col("mult") - 1 + F.when(F.col("core"), F.col("size") - F.col("mult")).otherwise(0)
     told = told.select("h1", "h2", others.alias("n_links"), F.coalesce("root.low", "low").alias("component_id"))
     found = hashed.select("vec_id", "h1", "h2").join(told, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
