@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
+from ..sources.folders import cut, with_few
 from .stats import content_bounds
 from .stencil import filtered
 
@@ -19,14 +20,14 @@ SUPPORT = {"Bilinear": 1.0, "CatmullRom": 2.0, "Mitchell": 2.0, "Lanczos3": 3.0}
 def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """G1: the pixels of each image's box (``image_id, x, y, w, h``), with places counted from it."""
     box = boxes.select("image_id", *(F.col(c).alias(f"b_{c}") for c in ("x", "y", "w", "h")))
-    both = pixels.join(box, "image_id").where((F.col("x") >= F.col("b_x")) & (F.col("y") >= F.col("b_y")) & (F.col("x") < F.col("b_x") + F.col("b_w")) & (F.col("y") < F.col("b_y") + F.col("b_h")))
+    both = with_few(pixels, box, "image_id").where((F.col("x") >= F.col("b_x")) & (F.col("y") >= F.col("b_y")) & (F.col("x") < F.col("b_x") + F.col("b_w")) & (F.col("y") < F.col("b_y") + F.col("b_h")))
     side = lambda size, low, own: (F.least(F.col(low) + F.col(size), F.col(own)) - F.greatest(F.col(low), F.lit(0))).cast("int")
     return both.select("image_id", side("b_w", "b_x", "width").alias("width"), side("b_h", "b_y", "height").alias("height"), (F.col("x") - F.greatest("b_x", F.lit(0))).cast("int").alias("x"), (F.col("y") - F.greatest("b_y", F.lit(0))).cast("int").alias("y"), "r", "g", "b", "a")
 
 
 def transform(pixels: DataFrame, ops: DataFrame) -> DataFrame:
     """Rotate clockwise by 0, 90, 180 or 270, then flip; ``ops`` is ``image_id, rotate, flip_h, flip_v``."""
-    p = pixels.join(ops, "image_id", "left").withColumn("rotate", F.coalesce("rotate", F.lit(0)))
+    p = with_few(pixels, ops, "image_id", "left").withColumn("rotate", F.coalesce("rotate", F.lit(0)))
     turn, w, h, x, y = F.col("rotate"), F.col("width"), F.col("height"), F.col("x"), F.col("y")
     swap = turn.isin(90, 270)
     nx = F.when(turn == 90, h - 1 - y).when(turn == 180, w - 1 - x).when(turn == 270, y).otherwise(x)
@@ -83,11 +84,11 @@ def weights(sizes: DataFrame, name: str) -> DataFrame:
     return taps.join(total, ["src", "dst", "at"]).select("src", "dst", "at", "from", half_up(F.col("k") / F.col("total") * UNIT).cast("long").alias("weight"))
 
 
-def _pass(pixels: DataFrame, name: str, axis: str) -> DataFrame:
+def _pass(pixels: DataFrame, sizes: DataFrame, name: str, axis: str) -> DataFrame:
     """One axis: each source pixel meets its taps, and the products are added up before the shuffle."""
     size, other, out = ("width", "y", "out_w") if axis == "x" else ("height", "x", "out_h")
-    table = weights(pixels.select(F.col(size).alias("src"), F.col(out).alias("dst")).distinct(), name)
-    taps = pixels.join(table, (F.col(size) == F.col("src")) & (F.col(out) == F.col("dst")) & (F.col(axis) == F.col("from")))
+    table = weights(sizes.select(F.col(size).alias("src"), F.col(out).alias("dst")).distinct(), name)
+    taps = with_few(pixels, table.select(F.col("src").alias(size), F.col("dst").alias(out), F.col("from").alias(axis), "at", "weight"), [size, out, axis])
     keys = ["image_id", "width", "height", "out_w", "out_h", other, "at"]
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.sum(F.col(c) * F.col("weight")) + UNIT // 2) / UNIT))).cast("int").alias(c)
     return taps.groupBy(*keys).agg(*(clamp(c) for c in "rgba")).withColumnRenamed("at", axis)
@@ -100,13 +101,14 @@ def resize(pixels: DataFrame, dims: DataFrame, filter: str = "Lanczos3") -> Data
     The other filters work on premultiplied colour along x, then y.
     """
     if filter == "Nearest":
-        grid = dims.join(pixels.groupBy("image_id").agg(F.first("width").alias("w"), F.first("height").alias("h")), "image_id")
+        grid = cut(with_few(dims, pixels.groupBy("image_id").agg(F.first("width").alias("w"), F.first("height").alias("h")), "image_id"))
         grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("out_w") * F.col("out_h") - 1)))
         nx, ny = F.col("i") % F.col("out_w"), F.floor(F.col("i") / F.col("out_w"))
         grid = grid.select("image_id", F.col("out_w").cast("int").alias("width"), F.col("out_h").cast("int").alias("height"), nx.cast("int").alias("nx"), ny.cast("int").alias("ny"), F.floor((nx + 0.5) * F.col("w") / F.col("out_w")).cast("int").alias("x"), F.floor((ny + 0.5) * F.col("h") / F.col("out_h")).cast("int").alias("y"))
-        return grid.join(pixels.select("image_id", "x", "y", "r", "g", "b", "a"), ["image_id", "x", "y"]).select("image_id", "width", "height", F.col("nx").alias("x"), F.col("ny").alias("y"), "r", "g", "b", "a")
-    source = premultiply(pixels).join(dims.select("image_id", F.col("out_w").cast("int").alias("out_w"), F.col("out_h").cast("int").alias("out_h")), "image_id")
-    done = _pass(_pass(source, filter, "x"), filter, "y")
+        return grid.join(pixels.select("image_id", "x", "y", "r", "g", "b", "a").hint("merge"), ["image_id", "x", "y"]).select("image_id", "width", "height", F.col("nx").alias("x"), F.col("ny").alias("y"), "r", "g", "b", "a")
+    source = with_few(premultiply(pixels), dims.select("image_id", F.col("out_w").cast("int").alias("out_w"), F.col("out_h").cast("int").alias("out_h")), "image_id")
+    sizes = cut(source.select("width", "height", "out_w", "out_h").distinct())
+    done = _pass(_pass(source, sizes, filter, "x"), sizes, filter, "y")
     return unpremultiply(done.select("image_id", F.col("out_w").alias("width"), F.col("out_h").alias("height"), "x", "y", *(F.least(c, "a").alias(c) for c in "rgb"), "a"))
 
 

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
+from ..sources.folders import cut, with_few
 from .stats import premultiplied
 
 CHANNELS = ["r", "g", "b", "a"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; on a local master one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
-    return df.checkpoint(eager=True)
-
-
 def nearest_color(hist: DataFrame, palette: DataFrame) -> DataFrame:
     """The palette index nearest to each histogram colour, ties to the lowest index.
 
@@ -34,7 +22,7 @@ def nearest_color(hist: DataFrame, palette: DataFrame) -> DataFrame:
     """
     entries = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *CHANNELS))).alias("entries"))
     far = F.transform("entries", lambda e: F.struct(sum(((F.col(c) - e[c]) * (F.col(c) - e[c]) for c in CHANNELS[1:]), (F.col("r") - e["r"]) * (F.col("r") - e["r"])).alias("dist"), e["idx"].alias("idx")))
-    return hist.join(entries, "image_id").withColumn("best", F.array_min(far)).select("image_id", *CHANNELS, "cnt", F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
+    return with_few(hist, entries, "image_id").withColumn("best", F.array_min(far)).select("image_id", *CHANNELS, "cnt", F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
 
 
 def _boxes(colors: np.ndarray, cnt: np.ndarray, k: int) -> list[np.ndarray]:
@@ -94,13 +82,13 @@ def median_cut(hist: DataFrame, k: int = 16) -> DataFrame:
 
 def kmeans_refine(hist: DataFrame, palette: DataFrame, rounds: int = 5) -> DataFrame:
     """Move each palette colour to its colours' weighted mean; an empty one stays."""
-    hist, palette = _cut(hist), _cut(palette)  # both are read in every round
+    hist, palette = cut(hist), cut(palette)  # both are read in every round
     for _ in range(rounds):
         near = nearest_color(hist, palette)
         mean = [half_up(F.sum(F.col(c) * F.col("cnt")) / F.sum("cnt")).cast("int").alias(f"n_{c}") for c in CHANNELS]
         moved = near.groupBy("image_id", "idx").agg(*mean)
         new = palette.select("image_id", "idx", *CHANNELS).join(moved, ["image_id", "idx"], "left")
-        new = _cut(new.select("image_id", "idx", *(F.coalesce(f"n_{c}", c).alias(c) for c in CHANNELS), F.exists(F.array(*(F.coalesce(F.col(f"n_{c}") != F.col(c), F.lit(False)) for c in CHANNELS)), lambda x: x).alias("moved")))
+        new = cut(new.select("image_id", "idx", *(F.coalesce(f"n_{c}", c).alias(c) for c in CHANNELS), F.exists(F.array(*(F.coalesce(F.col(f"n_{c}") != F.col(c), F.lit(False)) for c in CHANNELS)), lambda x: x).alias("moved")))
         palette = new.drop("moved")
         if not new.where("moved").limit(1).count():
             break
@@ -121,4 +109,5 @@ def remapped(pixels: DataFrame, hist: DataFrame, palette: DataFrame) -> DataFram
     """The pixels with the index of their palette colour and its squared distance."""
     mapping = nearest_color(hist, palette).select("image_id", *(F.col(c).alias(f"m_{c}") for c in CHANNELS), "idx", "dist")
     own = pixels.select("image_id", "x", "y", *(premultiplied(c).alias(f"m_{c}") for c in "rgb"), F.col("a").alias("m_a"))
-    return own.join(mapping, ["image_id", *(f"m_{c}" for c in CHANNELS)]).select("image_id", "x", "y", "idx", "dist")
+    # a mapping is as long as its image's colours: both sides are shuffled
+    return own.join(mapping.hint("merge"), ["image_id", *(f"m_{c}" for c in CHANNELS)]).select("image_id", "x", "y", "idx", "dist")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
+from ..sources.folders import with_few
 
 SAMPLE = 10_000
 GRAPHIC_BELOW, PHOTO_ABOVE = 5_000, 50_000
@@ -157,7 +158,7 @@ def content_bounds(pixels: DataFrame, threshold: int = 25) -> DataFrame:
     weight = corner(F.lit(0), F.lit(0)) + corner(right, F.lit(0)) + corner(F.lit(0), low) + corner(right, low)
     back = pixels.where(weight > 0).groupBy("image_id").agg(*(F.floor(F.sum(F.col(c) * weight) / 4).alias(f"b{c}") for c in "rgb"))
     other = (F.abs(F.col("r") - F.col("br")) > threshold) | (F.abs(F.col("g") - F.col("bg")) > threshold) | (F.abs(F.col("b") - F.col("bb")) > threshold)
-    box = pixels.join(back, "image_id").where(other).groupBy("image_id", "width", "height").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+    box = with_few(pixels, back, "image_id").where(other).groupBy("image_id", "width", "height").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("x2"), F.max("y").alias("y2"))
     box = box.select("image_id", "x", "y", (F.col("x2") - F.col("x") + 1).alias("w"), (F.col("y2") - F.col("y") + 1).alias("h"), "width", "height")
     return box.where(~((F.col("w") == F.col("width")) & (F.col("h") == F.col("height")))).select("image_id", "x", "y", "w", "h")
 
