@@ -7,8 +7,6 @@ Every query runs over whole driver tables, or tables derived from them
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -26,6 +24,7 @@ from ..operators import stats as A
 from ..operators import stencil as W
 from ..operators import udx
 from ..sources import files
+from ..sources.folders import new_folder, settled
 from ..streaming import streams as ST
 from .derived import duck, files_of, rasters_of, table
 
@@ -815,18 +814,6 @@ def _st2(t, spark):
 # --- files ------------------------------------------------------------------------
 
 
-def _folder(spark) -> str:
-    """A new folder where tasks can write files: the one that the session shares, or on a local master one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    base = named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="spark-files-")
-    path = f"{base}/files-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    return path
-
-
 _ENDINGS = ["png", "JPG", "Jpeg", "webp", "txt", "tif"]
 _NAMED = "SELECT 'f' || doc_id || '.' || ['png', 'JPG', 'Jpeg', 'webp', 'txt', 'tif'][doc_id % 6 + 1] AS name, coalesce(text, '') AS content FROM documents"
 
@@ -838,16 +825,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 @_documents("s1_scan_catalog", f"SELECT name, strlen(content) AS length, sha256(content) AS hash FROM ({_NAMED}) WHERE NOT ends_with(name, 'txt')")
 def _s1(docs):
-    folder = _folder(docs.sparkSession)
+    folder = new_folder(docs.sparkSession)
     files_of(_texts(docs), folder)
-    return files.scan_catalog(docs.sparkSession, folder).select("name", "length", "hash")
+    return settled(files.scan_catalog(docs.sparkSession, folder).select("name", "length", "hash"), folder)
 
 
 @_documents("st1_ingest", f"SELECT DISTINCT sha256(content) AS hash, strlen(content) AS length FROM ({_NAMED}) WHERE NOT ends_with(name, 'txt')")
 def _st1(docs):
-    folder = _folder(docs.sparkSession)
+    folder = new_folder(docs.sparkSession)
     files_of(_texts(docs), folder)
-    return ST.ingest(files.scan_catalog(docs.sparkSession, folder).drop("hash")).select("hash", "length")
+    return settled(ST.ingest(files.scan_catalog(docs.sparkSession, folder).drop("hash")).select("hash", "length"), folder)
 
 
 def _bitmaps(p: DataFrame) -> DataFrame:
@@ -868,16 +855,18 @@ def _bitmaps(p: DataFrame) -> DataFrame:
 
 @query("s3_read_rasters", "SELECT 'i' || image_id || '.bmp' AS name, max(width) AS width, max(height) AS height, CAST(sum(r * (1 + x + 7 * y)) AS BIGINT) AS r, CAST(sum(g * (1 + x + 7 * y)) AS BIGINT) AS g, CAST(sum(b * (1 + x + 7 * y)) AS BIGINT) AS b, 255 AS a FROM pixels GROUP BY image_id", "pixels")
 def _s3(t, spark):
-    folder = _folder(spark)
+    folder = new_folder(spark)
     files_of(_bitmaps(t("pixels")), folder)
     found = files.explode_pixels(files.read_rasters(spark, folder))
     place = 1 + F.col("x") + 7 * F.col("y")
-    return found.groupBy(F.element_at(F.split("image_id", "/"), -1).alias("name")).agg(F.max("width").alias("width"), F.max("height").alias("height"), *(F.sum(F.col(c) * place).alias(c) for c in "rgb"), F.min("a").alias("a"))
+    sums = found.groupBy(F.element_at(F.split("image_id", "/"), -1).alias("name")).agg(F.max("width").alias("width"), F.max("height").alias("height"), *(F.sum(F.col(c) * place).alias(c) for c in "rgb"), F.min("a").alias("a"))
+    return settled(sums, folder)
 
 
 @query("s6_write_outcomes", r"SELECT id, 'optimized-' || regexp_replace(name, '\.[^/.]+$', '') || '.' || CASE format WHEN 'jpeg' THEN 'jpg' ELSE format END AS file_name, format, CASE WHEN id % 4 = 0 THEN 'orig-' || id ELSE 'out-' || id END AS resolved_blob FROM outcomes WHERE raw_status <> 'error'", "outcomes")
 def _s6(t, spark):
-    path = _folder(spark) + "/outcomes"
+    folder = new_folder(spark)
+    path = f"{folder}/outcomes"
     out = t("outcomes").withColumn("output_blob", F.when(F.col("id") % 4 != 0, F.concat(F.lit("out-"), "id")))
     files.write_outcomes(out, path, t("outcomes").select("id", F.concat(F.lit("orig-"), "id").alias("original_blob")))
-    return spark.read.parquet(path).select("id", "file_name", "format", "resolved_blob")
+    return settled(spark.read.parquet(path).select("id", "file_name", "format", "resolved_blob"), folder)

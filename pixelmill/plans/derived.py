@@ -62,6 +62,18 @@ SELECT event_id AS seq, ts, user_id % 8 AS library_id, event_id % 397 AS image_i
       WHEN event_type = 'view' THEN 'DESELECT_IMAGE' ELSE 'UPDATE_STATUS' END AS type,
  CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' END AS status FROM {events}
 """
+#: All twelve kinds of action.
+_FULL_ACTIONS = """
+SELECT event_id AS seq, ts, user_id % 8 AS library_id,
+ CASE WHEN event_id % 997 = 996 OR event_id % 499 = 498 OR event_id % 701 = 700 OR event_id % 97 = 96 OR event_id % 178 = 88 THEN NULL ELSE event_id % 397 END AS image_id,
+ CASE WHEN event_id % 997 = 996 THEN 'CLEAR_ALL' WHEN event_id % 499 = 498 THEN 'SELECT_ALL' WHEN event_id % 701 = 700 THEN 'DESELECT_ALL'
+      WHEN event_id % 97 = 96 THEN 'NEXT_QUEUE' WHEN event_id % 89 = 88 THEN 'SET_PREVIEW'
+      WHEN event_id % 293 = 292 THEN 'REMOVE_IMAGE' WHEN event_type = 'signup' THEN 'ADD_FILES'
+      WHEN event_type = 'click' THEN 'TOGGLE_SELECT'
+      WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'SELECT_IMAGE'
+      WHEN event_type = 'view' THEN 'DESELECT_IMAGE' WHEN event_type = 'purchase' THEN 'UPDATE_IMAGE' ELSE 'UPDATE_STATUS' END AS type,
+ CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'already-optimized' WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'error' END AS status FROM {events}
+"""
 _TELEMETRY = """
 SELECT event_id, ts, user_id,
  CASE event_type WHEN 'error' THEN 'error' ELSE 'funnel_stage' END AS name,
@@ -104,6 +116,7 @@ _TABLES = {
     "outcomes": (_OUTCOMES, "documents", None, 0),
     "jobs": (_JOBS, "documents", None, 0),
     "actions": (_ACTIONS, "events", None, 0),
+    "full_actions": (_FULL_ACTIONS, "events", None, 0),
     "telemetry": (_TELEMETRY, "events", None, 0),
     "usage": (_USAGE, "events", None, 0),
     "boxes": (_BOXES, "part", None, 0),
@@ -125,13 +138,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found
 
 
-def files_of(rows: DataFrame, folder: str) -> None:
+def files_of(rows: DataFrame, folder: str, below: str = "") -> None:
     """Write each row of ``name, content`` as a file of its own in a shared folder; tasks write side by side."""
+    folder = f"{folder}/{below}" if below else folder
 
     def run(batches):
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path)
         for batch in batches:
             for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
                 with store.open_output_stream(f"{path}/{name.as_py()}") as out:

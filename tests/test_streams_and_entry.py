@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import random
 import subprocess
 import sys
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import state as S
 from pixelmill.streaming import streams as ST
 
+from .test_state import LOG, plain_fold, random_log, shown
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -42,20 +45,68 @@ def test_windowed_kpis_as_a_stream(spark):
     assert got and got <= want and len(want) - len(got) <= 1
 
 
-def test_state_stream_equals_the_fold(spark):
+@pytest.mark.parametrize("seed", [11, 12])
+def test_state_stream_equals_the_fold(spark, seed):
+    """Three runs with one checkpoint; actions come in no order over them, some of them twice."""
+    rows = random_log(seed)
+    view, _ = plain_fold(rows)
+    random.Random(seed).shuffle(rows)
     path = tempfile.mkdtemp(prefix="spark-")
-    kinds = ["ADD_FILES", "TOGGLE_SELECT", "UPDATE_STATUS", "SELECT_IMAGE", "DESELECT_IMAGE", "REMOVE_IMAGE", "SELECT_ALL", "CLEAR_ALL"]
-    rows = [(i, i % 2, (i * 7) % 5, "CLEAR_ALL" if i == 25 else "SELECT_ALL" if i in (12, 44) else kinds[(i * 3) % 6] if i % 2 else "ADD_FILES" if i % 4 == 0 else "TOGGLE_SELECT", "completed" if i % 3 else None) for i in range(60)]
-    df = spark.createDataFrame(rows, "seq long, library_id long, image_id long, type string, status string")
-    df.coalesce(1).write.mode("overwrite").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = _run(ST.stream_state(spark.readStream.schema(df.schema).parquet(path)), "state", "update").where("present").collect()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    want = {(r.library_id, r.image_id): (r.status, r.selected) for r in ST.state_view(df).collect()}
-    assert {(r.library_id, r.image_id): (r.status, r.selected) for r in out} == want
-    assert {(r.library_id, r.image_id): r.status for r in S.library_state(df).collect()} == {k: v[0] for k, v in want.items()}
+    with ST.rocksdb(spark):
+        for k in range(3):
+            spark.createDataFrame(rows[k * 130 : k * 130 + 150], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+            changes = ST.stream_state(spark.readStream.schema(LOG).parquet(f"{path}/log"), shards=3)
+            ST.run_to_table(changes, f"{path}/changes", f"{path}/checkpoint")
+    log = spark.read.schema(ST.CHANGES).parquet(f"{path}/changes")
+    assert shown(ST.changed_state(log)) == view
+    # an action on all images gives one row in each part, not one for each image
+    wide = sum(r[3] in ("CLEAR_ALL", "SELECT_ALL", "DESELECT_ALL", "SET_PREVIEW") for r in rows)
+    assert log.where("image_id is null").count() <= 3 * wide
+
+
+def test_selection_before_the_image_is_there(spark):
+    rows = [(0, 0, 7, "SELECT_IMAGE", None, 1), (1, 0, 7, "ADD_FILES", None, 1), (2, 0, 8, "ADD_FILES", None, 1), (3, 0, 8, "UPDATE_IMAGE", "completed", 1)]
+    df = spark.createDataFrame(rows, LOG)
+    assert {(r.image_id, r.status, r.selected) for r in ST.state_view(df).collect()} == {(7, "queued", True), (8, "completed", False)}
+
+
+def test_ingest_goes_on_after_a_restart(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    os.makedirs(f"{path}/in")
+
+    def put(**files):
+        for name, data in files.items():
+            with open(f"{path}/in/{name}.png", "wb") as f:
+                f.write(data)
+
+    run = lambda: ST.ingest_to(spark, f"{path}/in", f"{path}/table", f"{path}/checkpoint")
+    got = lambda: sorted(r.length for r in spark.read.parquet(f"{path}/table").collect())
+    put(a=b"1", b=b"22", c=b"1")
+    run()
+    assert got() == [1, 2]
+    run()  # nothing new
+    put(d=b"22", e=b"333")  # one whose content came in the run before
+    run()
+    assert got() == [1, 2, 3]
+
+
+def test_late_rows_are_left_out_and_counted(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    schema = "event_id long, ts timestamp, user_id long, name string, props string"
+
+    def put(*hours):
+        rows = [(k, f"2024-01-01 {h:02d}:10:00", 1, "error", "{}") for k, h in enumerate(hours)]
+        spark.createDataFrame(rows, "event_id long, ts string, user_id long, name string, props string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+    def run():
+        kpis = ST.windowed_kpis(ST.parse_telemetry(spark.readStream.schema(schema).parquet(f"{path}/log")), "1 hour")
+        return ST.run_to_table(kpis, f"{path}/table", f"{path}/checkpoint")
+
+    put(1, 2, 2, 9)
+    assert ST.late_groups(run()) == 0
+    put(2, 2, 8, 12)  # 2 o'clock is behind the watermark (8:10), 8 o'clock is not
+    assert ST.late_groups(run()) == 1
+    assert {(r.start.hour, r.events) for r in spark.read.parquet(f"{path}/table").collect()} == {(1, 1), (2, 2), (8, 1), (9, 1)}
 
 
 def test_funnel_and_sessions(spark):
