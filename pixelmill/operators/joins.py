@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, savings
+from ..sources.folders import cut, with_few
 
 # Typical compressed size as a share of three bytes a pixel, by quality.
 QUALITIES = [100, 95, 90, 85, 80, 75, 70, 60, 50]
@@ -77,18 +78,51 @@ def quality_ladder(jobs: DataFrame, ratios: DataFrame) -> DataFrame:
     return estimate_size(steps, ratios).withColumn("selected", F.col("quality") == F.col("asked"))
 
 
-def overlap_join(boxes: DataFrame, queries: DataFrame, cell: int = CELL) -> DataFrame:
+#: Boxes of a cell that are dealt out as one; cells with more are split.
+CELL_BOXES = 4096
+
+
+def _level(cell: int):
+    """The grid whose cells are no smaller than a box: side ``cell * 2 ** level``."""
+    side = F.greatest("w", "h").cast("double") / cell
+    return F.when(side <= 1, 0).otherwise(F.ceil(F.log2(side))).cast("int")
+
+
+def overlap_join(boxes: DataFrame, queries: DataFrame, cell: int = CELL, cell_boxes: int = CELL_BOXES) -> DataFrame:
     """Boxes that a query box touches; query boxes of side 5 and less are ignored.
 
-    Both sides are laid out in grid cells, so the join is on the cell; a pair is
-    kept in the cell where its overlap begins, which needs no distinct.
+    Grids come in levels, each of twice the cell side of the one before. A box
+    lives at the level of its own size, where it lies in at most four cells. A pair
+    meets at the higher of its two levels: there the query is laid out for boxes
+    that are no larger, and the box for queries that are smaller. So a side is laid
+    out once for each level that the other side has, in four cells at most, however
+    large a box is. A pair is kept in the cell where its overlap begins, which needs
+    no distinct. Cells with many boxes are split, and their queries go to each part.
+    Boxes with a null place or side touch nothing; negative sides count as given.
     """
-    span = lambda low, size: F.sequence(F.floor(low / cell), F.floor((low + size) / cell))
-    cut = lambda df: df.withColumn("cx", F.explode(span(F.col("x"), F.col("w")))).withColumn("cy", F.explode(span(F.col("y"), F.col("h"))))
-    q = cut(queries.where("w > 5 AND h > 5")).select("qid", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("w").alias("qw"), F.col("h").alias("qh"), "cx", "cy")
-    both = cut(boxes).join(q, ["cx", "cy"])
+    placed = lambda df: df.where("x is not null and y is not null and w is not null and h is not null").withColumn("level", _level(cell))
+    b = placed(boxes)
+    q = placed(queries.where("w > 5 AND h > 5")).select("qid", *(F.col(c).alias(f"q{c}") for c in ("x", "y", "w", "h")), F.col("level").alias("q_level"))
+    # at most some sixty numbers each
+    levels = [sorted(r[0] for r in df.select(c).distinct().collect()) for df, c in ((b, "level"), (q, "q_level"))]
+    own = lambda values, keep: F.filter(F.array(*map(F.lit, values)), keep) if values else F.array().cast("array<int>")
+
+    def cells(df: DataFrame, at, p: str) -> DataFrame:
+        df = df.withColumn("at", F.explode(at)).withColumn("side", F.pow(F.lit(2.0), F.col("at")) * cell)
+        span = lambda low, size: F.sequence(F.floor(F.col(low) / F.col("side")), F.floor((F.col(low) + F.greatest(F.col(size), F.lit(0))) / F.col("side")))
+        return df.withColumn("cx", F.explode(span(f"{p}x", f"{p}w"))).withColumn("cy", F.explode(span(f"{p}y", f"{p}h")))
+
+    # boxes: at every level of a query that is theirs or higher; queries: at their own, and at higher ones of boxes
+    b = cells(b, F.array_union(F.array("level"), own(levels[1], lambda x: x > F.col("level"))), "")
+    q = cells(q, F.array_union(F.array("q_level"), own(levels[0], lambda x: x > F.col("q_level"))), "q").drop("side")
+    key = ["at", "cx", "cy"]
+    hot = b.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > cell_boxes).select(*key, F.ceil(F.col("n") / cell_boxes).cast("int").alias("parts"))
+    hot = cut(hot)
+    b = with_few(b, hot, key, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    q = with_few(q, hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = b.join(q, [*key, "part"]).where(F.col("at") == F.greatest("level", "q_level"))
     touch = (F.col("x") <= F.col("qx") + F.col("qw")) & (F.col("x") + F.col("w") >= F.col("qx")) & (F.col("y") <= F.col("qy") + F.col("qh")) & (F.col("y") + F.col("h") >= F.col("qy"))
-    here = (F.col("cx") == F.floor(F.greatest("x", "qx") / cell)) & (F.col("cy") == F.floor(F.greatest("y", "qy") / cell))
+    here = (F.col("cx") == F.floor(F.greatest("x", "qx") / F.col("side"))) & (F.col("cy") == F.floor(F.greatest("y", "qy") / F.col("side")))
     return both.where(touch & here).select("qid", "id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
@@ -25,6 +25,43 @@ def nearest_color(hist: DataFrame, palette: DataFrame) -> DataFrame:
     return with_few(hist, entries, "image_id").withColumn("best", F.array_min(far)).select("image_id", *CHANNELS, "cnt", F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
 
 
+def lattice(hist: DataFrame, palette: DataFrame, width: int = 32) -> DataFrame:
+    """``image_id, cell, entries``: for each cell of RGBA space that colours lie in, the palette entries that can be nearest there.
+
+    An entry whose least distance to a cell is above another's greatest cannot be
+    nearest to any colour of the cell.
+    """
+    entries = palette.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", *CHANNELS))).alias("entries"))
+    cells = with_few(hist.groupBy("image_id", _cell(width).alias("cell")).agg(F.count("*").alias("colors")).drop("colors"), entries, "image_id")
+    side = 256 // width
+
+    def bounds(e):
+        near, far, rest = F.lit(0), F.lit(0), F.col("cell")
+        for c in reversed(CHANNELS):
+            low = (rest % side) * width
+            rest = F.floor(rest / side)
+            below, above = low - e[c], e[c] - (low + width - 1)
+            gap, reach = F.greatest(below, above, F.lit(0)), F.greatest(F.abs(below), F.abs(above))
+            near, far = near + gap * gap, far + reach * reach
+        return F.struct(near.alias("near"), far.alias("far"), e.alias("e"))
+
+    bounded = cells.withColumn("b", F.transform("entries", bounds)).withColumn("limit", F.array_min(F.transform("b", lambda x: x["far"])))
+    return bounded.select("image_id", "cell", F.transform(F.filter("b", lambda x: x["near"] <= F.col("limit")), lambda x: x["e"]).alias("entries"))
+
+
+def _cell(width: int):
+    side = 256 // width
+    return sum((F.floor(F.col(c) / width) * side ** (3 - i) for i, c in enumerate(CHANNELS)), F.lit(0)).cast("int")
+
+
+def nearest_color_by_cell(hist: DataFrame, palette: DataFrame, width: int = 32) -> DataFrame:
+    """J6 for large palettes: as ``nearest_color``, but a colour only meets the entries that can be nearest in its cell."""
+    cells = lattice(hist, palette, width)
+    far = F.transform("entries", lambda e: F.struct(sum(((F.col(c) - e[c]) * (F.col(c) - e[c]) for c in CHANNELS[1:]), (F.col("r") - e["r"]) * (F.col("r") - e["r"])).alias("dist"), e["idx"].alias("idx")))
+    both = hist.withColumn("cell", _cell(width)).join(cells.hint("shuffle_hash"), ["image_id", "cell"])
+    return both.withColumn("best", F.array_min(far)).select("image_id", *CHANNELS, "cnt", F.col("best.idx").alias("idx"), F.col("best.dist").alias("dist"))
+
+
 def _boxes(colors: np.ndarray, cnt: np.ndarray, k: int) -> list[np.ndarray]:
     """The boxes of one image's colours (sorted by r, g, b, a), as rows in the order of their making."""
     if len(colors) <= k:
@@ -53,7 +90,12 @@ def _boxes(colors: np.ndarray, cnt: np.ndarray, k: int) -> list[np.ndarray]:
     return boxes
 
 
-def median_cut(hist: DataFrame, k: int = 16) -> DataFrame:
+#: Colours of an image that one task cuts at once; larger images are cut by sums over many tasks.
+GROUP = 1 << 16
+SPLITS = "node int, split int"
+
+
+def median_cut(hist: DataFrame, k: int = 16, group: int = GROUP) -> DataFrame:
     """``image_id, idx, r, g, b, a, cnt``: at most k colours for every image.
 
     Round by round an image splits one box: by population for the first three
@@ -62,11 +104,22 @@ def median_cut(hist: DataFrame, k: int = 16) -> DataFrame:
     in the order of their making. Ties: the lowest box; colours by r, g, b, a.
     A box never splits for an image that has no box of two colours left, or that
     has k colours or fewer to begin with (each colour is then a box). Pixels never
-    come here: an image is its colours with their counts.
+    come here: an image is its colours with their counts. Images of up to ``group``
+    colours are one group each; larger ones give the same palettes by marginal sums.
     """
+    hist = hist.select("image_id", *CHANNELS, "cnt")
+    large = cut(hist.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > max(group, k)).select("image_id"))
+    if not large.limit(1).count():
+        return _cut_groups(hist, k)
+    small = _cut_groups(with_few(hist, large, "image_id", "left_anti"), k)
+    return small.unionByName(_cut_sums(with_few(hist, large, "image_id", "left_semi"), k))
+
+
+def _cut_groups(hist: DataFrame, k: int) -> DataFrame:
+    """Each image's colours in one task."""
     kind = hist.schema["image_id"].dataType.simpleString()
 
-    def cut(key, table):
+    def run(key, table):
         colors = np.stack([table[c].to_numpy() for c in CHANNELS], axis=1).astype(np.int64)
         cnt = table["cnt"].to_numpy().astype(np.int64)
         order = np.lexsort(colors.T[::-1])
@@ -77,7 +130,102 @@ def median_cut(hist: DataFrame, k: int = 16) -> DataFrame:
         ids = pa.array([key[0].as_py()] * len(boxes), table.schema.field("image_id").type)
         return pa.table([ids, pa.array(np.arange(len(boxes), dtype=np.int32)), *(pa.array(np.ascontiguousarray(means[:, c])) for c in range(4)), pa.array(pops)], names=["image_id", "idx", *CHANNELS, "cnt"])
 
-    return hist.select("image_id", *CHANNELS, "cnt").groupBy("image_id").applyInArrow(cut, f"image_id {kind}, idx int, r int, g int, b int, a int, cnt long")
+    return hist.groupBy("image_id").applyInArrow(run, f"image_id {kind}, idx int, r int, g int, b int, a int, cnt long")
+
+
+def _replay(nodes: dict[int, dict], k: int) -> tuple[list[int], list[int]]:
+    """The boxes of one image as far as its splits are known, and the boxes that may have to split next.
+
+    A split depends on the box alone, so it may be made before it is sure to be
+    needed: besides the box whose turn it is, those of the highest rank are asked
+    for, as many as splits are left. No boxes asked for means that all is done.
+    """
+    boxes = [1]
+    for made in range(1, k):
+        rank = [-1 if nodes[b]["n"] < 2 else nodes[b]["pop"] * (1 if made < k * 0.75 else nodes[b]["volume"]) for b in boxes]
+        best = max(range(len(boxes)), key=lambda i: (rank[i], -i))
+        if rank[best] < 0:
+            break
+        split = nodes[boxes[best]]["split"]
+        if split is None:
+            order = sorted((i for i in range(len(boxes)) if rank[i] >= 0 and nodes[boxes[i]]["split"] is None), key=lambda i: (-rank[i], i))
+            return boxes, [boxes[i] for i in order[: k - made]]
+        boxes[best] = 2 * split
+        boxes.append(2 * split + 1)
+    return boxes, []
+
+
+def _cut_sums(hist: DataFrame, k: int) -> DataFrame:
+    """Median cut of images of any size: every step is a sum over (image, box, part of a colour), added up before the shuffle.
+
+    A colour carries the box that it is in. Boxes' populations and sides are one
+    aggregation. A weighted median is found digit by digit: marginal sums over the
+    channel along the longest side tell the value where half of the box is reached,
+    then sums within that value over the rest of the colour, 12 bits at a time. Only
+    tables of boxes are grouped by image.
+    """
+    kind = hist.schema["image_id"].dataType.simpleString()
+    box = ["image_id", "node"]
+    rows = cut(hist.withColumns({"node": F.lit(1), "fresh": F.lit(True)}))
+    nodes, splits = None, None
+    while True:
+        side = lambda c: (F.max(c) - F.min(c)).alias(f"s{c}")
+        new = rows.where("fresh").groupBy(*box).agg(F.sum("cnt").alias("pop"), F.count("*").alias("n"), *(side(c) for c in "rgb"))
+        nodes = cut(new if nodes is None else nodes.unionByName(new))
+        known = nodes.withColumn("split", F.lit(None).cast("int")) if splits is None else nodes.join(splits, box, "left")
+
+        def replay(key, table):
+            found = {t["node"]: {"n": t["n"], "pop": t["pop"], "split": t["split"], "volume": (t["sr"] + 1) * (t["sg"] + 1) * (t["sb"] + 1)} for t in table.to_pylist()}
+            first = 1 + sum(t["split"] is not None for t in found.values())
+            wanted = _replay(found, k)[1]
+            ids = pa.array([key[0].as_py()] * len(wanted), table.schema.field("image_id").type)
+            return pa.table([ids, pa.array(wanted, pa.int32()), pa.array(range(first, first + len(wanted)), pa.int32())], names=["image_id", "node", "split"])
+
+        wanted = cut(known.groupBy("image_id").applyInArrow(replay, f"image_id {kind}, {SPLITS}"))
+        if not wanted.limit(1).count():
+            break
+        rows = cut(_divided(rows.drop("fresh"), wanted.join(nodes, box), box))
+        splits = cut(wanted if splits is None else splits.unionByName(wanted))
+
+    def leaves(key, table):
+        found = {t["node"]: {"n": t["n"], "pop": t["pop"], "split": t["split"], "volume": (t["sr"] + 1) * (t["sg"] + 1) * (t["sb"] + 1)} for t in table.to_pylist()}
+        idx = {b: i for i, b in enumerate(_replay(found, k)[0])}
+        above = {2 * t["split"] + s: b for b, t in found.items() if t["split"] is not None for s in (0, 1)}
+        for b in sorted(found):  # a box is younger than the one that it was cut from
+            if b not in idx and b in above and above[b] in idx:
+                idx[b] = idx[above[b]]
+        ids = pa.array([key[0].as_py()] * len(idx), table.schema.field("image_id").type)
+        return pa.table([ids, pa.array(list(idx), pa.int32()), pa.array(list(idx.values()), pa.int32())], names=["image_id", "node", "idx"])
+
+    of = known.groupBy("image_id").applyInArrow(leaves, f"image_id {kind}, node int, idx int")
+    mean = lambda c: half_up(F.sum(F.col(c) * F.col("cnt")) / F.sum("cnt")).cast("int").alias(c)
+    return with_few(rows, of, box).groupBy("image_id", "idx").agg(*(mean(c) for c in CHANNELS), F.sum("cnt").alias("cnt"))
+
+
+def _divided(rows: DataFrame, wanted: DataFrame, box: list[str]) -> DataFrame:
+    """The colours in their new boxes: of the boxes ``wanted`` (with ``split, pop, n`` and sides) both halves, ``fresh``."""
+    longest = F.when((F.col("sr") >= F.col("sg")) & (F.col("sr") >= F.col("sb")), 0).when(F.col("sg") >= F.col("sb"), 1).otherwise(2)
+    wanted = cut(wanted.select(*box, "split", "pop", "n", longest.alias("axis")))
+    number = lambda *cs: sum((F.col(c).cast("long") * (1 << 8 * (len(cs) - 1 - i)) for i, c in enumerate(cs)), F.lit(0).cast("long"))
+    key = F.when(F.col("axis") == 0, number("r", "g", "b", "a")).when(F.col("axis") == 1, number("g", "r", "b", "a")).otherwise(number("b", "r", "g", "a"))
+    own = with_few(rows, wanted.select(*box, "axis", "split"), box, "left").withColumn("key", F.when(F.col("split").isNotNull(), key))
+    asked = own.where("split is not null").select(*box, "key", "cnt")
+    ends = asked.groupBy(*box).agg(F.min_by("cnt", "key").alias("first"), F.max_by("cnt", "key").alias("last"))
+    goal = with_few(wanted, ends, box)
+    # the place of the median, moved so that two colours stay below it and one above
+    low, high = (F.col("first") * 2 >= F.col("pop")), (F.col("last") * 2 > F.col("pop"))
+    place = F.when(F.col("n") == 2, 1).when(low, 2).when(high, F.col("n") - 1)
+    goal = goal.select(*box, place.isNotNull().alias("by_place"), F.coalesce(place, F.ceil(F.col("pop") / 2)).cast("long").alias("goal"), F.lit(0).cast("long").alias("prefix"))
+    for shift, bits in ((24, 8), (12, 12), (0, 12)):
+        goal = cut(goal)
+        some = with_few(asked, goal, box).where(F.shiftright("key", shift + bits) == F.col("prefix"))
+        part = some.groupBy(*box, "by_place", "goal", F.shiftright("key", shift).alias("digit")).agg(F.sum(F.when(F.col("by_place"), 1).otherwise(F.col("cnt"))).alias("s"))
+        reached = part.withColumn("total", F.sum("s").over(Window.partitionBy(*box).orderBy("digit")))  # at most 4096 rows a box
+        hit = reached.where(F.col("total") >= F.col("goal")).groupBy(*box, "by_place").agg(F.min_by(F.struct("digit", (F.col("goal") - F.col("total") + F.col("s")).alias("goal")), "digit").alias("h"))
+        goal = hit.select(*box, "by_place", F.col("h.goal").alias("goal"), F.col("h.digit").alias("prefix"))
+    done = with_few(own, goal.select(*box, F.col("prefix").alias("median")), box, "left")
+    node = F.when(F.col("median").isNull(), F.col("node")).when(F.col("key") <= F.col("median"), 2 * F.col("split")).otherwise(2 * F.col("split") + 1)
+    return done.select("image_id", *CHANNELS, "cnt", node.cast("int").alias("node"), F.col("median").isNotNull().alias("fresh"))
 
 
 def kmeans_refine(hist: DataFrame, palette: DataFrame, rounds: int = 5) -> DataFrame:
@@ -95,7 +243,7 @@ def kmeans_refine(hist: DataFrame, palette: DataFrame, rounds: int = 5) -> DataF
     return palette
 
 
-def remap(pixels: DataFrame, hist: DataFrame, palette: DataFrame) -> DataFrame:
+def remap(pixels: DataFrame, hist: DataFrame, palette: DataFrame, by_cell: bool = False) -> DataFrame:
     """For each image the colours left, and the mean squared error, when each pixel takes its nearest palette colour.
 
     Nearest colours are found for the histogram; pixels are joined with that
@@ -105,9 +253,9 @@ def remap(pixels: DataFrame, hist: DataFrame, palette: DataFrame) -> DataFrame:
     return mapped.groupBy("image_id").agg(F.count_distinct("idx").alias("colors_left"), F.avg("dist").alias("mse"))
 
 
-def remapped(pixels: DataFrame, hist: DataFrame, palette: DataFrame) -> DataFrame:
+def remapped(pixels: DataFrame, hist: DataFrame, palette: DataFrame, by_cell: bool = False) -> DataFrame:
     """The pixels with the index of their palette colour and its squared distance."""
-    mapping = nearest_color(hist, palette).select("image_id", *(F.col(c).alias(f"m_{c}") for c in CHANNELS), "idx", "dist")
+    mapping = (nearest_color_by_cell if by_cell else nearest_color)(hist, palette).select("image_id", *(F.col(c).alias(f"m_{c}") for c in CHANNELS), "idx", "dist")
     own = pixels.select("image_id", "x", "y", *(premultiplied(c).alias(f"m_{c}") for c in "rgb"), F.col("a").alias("m_a"))
     # a mapping is as long as its image's colours: both sides are shuffled
     return own.join(mapping.hint("merge"), ["image_id", *(f"m_{c}" for c in CHANNELS)]).select("image_id", "x", "y", "idx", "dist")

@@ -71,6 +71,26 @@ def unique_colors(pixels: DataFrame, mode: str = "sample") -> DataFrame:
     return raw.select("image_id", F.when(read >= n, F.col("raw")).otherwise(scaled).cast("long").alias("unique_colors"))
 
 
+#: Registers of a colour sketch, as a power of two: a relative standard error of some 0.8 %.
+SKETCH_BITS = 14
+#: Lines of an image that make one sketch.
+SKETCH_LINES = 256
+
+
+def color_sketches(pixels: DataFrame, lines: int = SKETCH_LINES, bits: int = SKETCH_BITS) -> DataFrame:
+    """A5: ``image_id, band, sketch``: a mergeable sketch of the colours of each band of lines.
+
+    To be kept as a table: bands that come later, or anew, add rows, and the pixels of
+    the others are not read again.
+    """
+    return pixels.groupBy("image_id", F.floor(F.col("y") / lines).cast("int").alias("band")).agg(F.hll_sketch_agg(_color(), bits).alias("sketch"))
+
+
+def colors_of(sketches: DataFrame, *by: str) -> DataFrame:
+    """A5: distinct colours by the union of sketches, for each value of the columns ``by`` (without any, for each image)."""
+    return sketches.groupBy(*(by or ("image_id",))).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique_colors"))
+
+
 def transparency(pixels: DataFrame) -> DataFrame:
     """Share of transparent pixels in the sample, the two flags, and whether any pixel is."""
     n = F.col("width") * F.col("height")

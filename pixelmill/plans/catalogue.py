@@ -786,8 +786,11 @@ def _st4s(t, spark):
     return ST.windowed_kpis(ST.parse_telemetry(t("usage")), "2 hours", "1 hour")
 
 
-@query("st5_funnel", """WITH f AS (SELECT user_id, min(ts) FILTER (WHERE stage = 'landing') AS a, min(ts) FILTER (WHERE stage = 'upload') AS b, min(ts) FILTER (WHERE stage = 'completed') AS c, min(ts) FILTER (WHERE stage = 'download') AS d FROM telemetry GROUP BY 1),
- n AS (SELECT count(*) FILTER (WHERE a IS NOT NULL) AS n0, count(*) FILTER (WHERE a <= b) AS n1, count(*) FILTER (WHERE a <= b AND b <= c) AS n2, count(*) FILTER (WHERE a <= b AND b <= c AND c <= d) AS n3 FROM f)
+@query("st5_funnel", """WITH a AS (SELECT user_id, min(ts) AS t FROM telemetry WHERE stage = 'landing' GROUP BY 1),
+ b AS (SELECT user_id, min(e.ts) AS t FROM telemetry e JOIN a USING (user_id) WHERE stage = 'upload' AND e.ts >= a.t GROUP BY 1),
+ c AS (SELECT user_id, min(e.ts) AS t FROM telemetry e JOIN b USING (user_id) WHERE stage = 'completed' AND e.ts >= b.t GROUP BY 1),
+ d AS (SELECT user_id, min(e.ts) AS t FROM telemetry e JOIN c USING (user_id) WHERE stage = 'download' AND e.ts >= c.t GROUP BY 1),
+ n AS (SELECT (SELECT count(*) FROM a) AS n0, (SELECT count(*) FROM b) AS n1, (SELECT count(*) FROM c) AS n2, (SELECT count(*) FROM d) AS n3)
  SELECT s.step, s.stage, s.users, round(CASE WHEN s.prev > 0 THEN s.users / CAST(s.prev AS DOUBLE) ELSE 0.0 END, 6) AS conversion FROM (SELECT unnest([{step: 0, stage: 'landing', users: n0, prev: n0}, {step: 1, stage: 'upload', users: n1, prev: n0}, {step: 2, stage: 'completed', users: n2, prev: n1}, {step: 3, stage: 'download', users: n3, prev: n2}]) AS s FROM n)""", "telemetry", ("conversion",))
 def _st5(t, spark):
     return ST.funnel(t("telemetry"))

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import palette as K
 from ..operators import state as S
+from ..operators import stats as A
 from ..sources import versioned
 from ..sources.folders import new_folder, settled
 from ..streaming import streams as ST
-from .catalogue import _DONE, _KPI, _NAMED, _STATE, _USED, ORACLE_SQL, QUERIES, _half, _texts, query
+from .catalogue import _DONE, _KPI, _NAMED, _STATE, _USED, ORACLE_SQL, QUERIES, _half, _median_cut_sql, _texts, query
 from .derived import files_of
 
 _FULL = _STATE.replace("FROM actions", "FROM full_actions").replace("= 'UPDATE_STATUS'", "IN ('UPDATE_STATUS','UPDATE_IMAGE')").replace("own AS (SELECT a.*, l.clr, l.wide, l.wide_type FROM full_actions a JOIN lib l USING (library_id) WHERE ", "own AS (SELECT a.*, l.clr, l.wide, l.wide_type FROM full_actions a JOIN lib l USING (library_id) WHERE type NOT IN ('SET_PREVIEW','NEXT_QUEUE') AND ")
@@ -135,3 +137,37 @@ def _u2_merge(t, spark):
     table.compact()
     S.requeue_in(table)
     return settled(table.read().select("library_id", "image_id", "status", "progress"), folder)
+
+
+@query("a5_color_sketches", None, "rasters")
+def _a5_sketches(t, spark):
+    """Estimates from stored sketches: those of even bands are written first, those of the others added; with the error against an exact count."""
+    rasters, folder = t("rasters"), new_folder(spark, "sketches")
+    for k in range(2):
+        A.color_sketches(rasters.where(F.floor(F.col("y") / 8) % 2 == k), lines=8).write.mode("append").parquet(f"{folder}/sketches")
+    stored = spark.read.parquet(f"{folder}/sketches")
+    exact = A.unique_colors(rasters, "exact").withColumnRenamed("unique_colors", "exact")
+    error = F.round((F.col("unique_colors") - F.col("exact")) / F.col("exact"), 6)
+    return settled(A.colors_of(stored).join(exact, "image_id").select("image_id", "unique_colors", "exact", error.alias("relative_error")), folder)
+
+
+@query("a11_median_cut_large", f"WITH {_median_cut_sql(4).replace('FROM pixels', 'FROM pixels_photo')} SELECT * FROM palette", "pixels_photo")
+def _a11_large(t, spark):
+    """Palettes of images that no task holds: every image of over 1000 colours is cut by sums."""
+    return K.median_cut(A.color_histogram(t("pixels_photo")), 4, group=1000)
+
+
+_PALETTE = "SELECT image_id, idx, (idx * 37 + CAST(image_id AS BIGINT) * 11) % 256 AS r, (idx * 91 + CAST(image_id AS BIGINT) * 5) % 256 AS g, (idx * 53 + CAST(image_id AS BIGINT) * 7) % 256 AS b, 255 AS a FROM (SELECT DISTINCT image_id FROM pixels_photo), {idx}"
+
+
+@query("j6_nearest_color_256", f"""WITH palette AS ({_PALETTE.format(idx="range(256) t(idx)")}), h AS (SELECT image_id, r, g, b, a, count(*) AS cnt FROM pixels_photo GROUP BY ALL),
+ d AS (SELECT h.*, min((h.r - p.r) * (h.r - p.r) + (h.g - p.g) * (h.g - p.g) + (h.b - p.b) * (h.b - p.b) + (h.a - p.a) * (h.a - p.a)) AS dist,
+  arg_min(p.idx, ((h.r - p.r) * (h.r - p.r) + (h.g - p.g) * (h.g - p.g) + (h.b - p.b) * (h.b - p.b) + (h.a - p.a) * (h.a - p.a)) * 256 + p.idx) AS idx FROM h JOIN palette p ON p.image_id = h.image_id GROUP BY ALL)
+ SELECT image_id, idx, count(*) AS colors, CAST(sum(cnt) AS BIGINT) AS pixels, CAST(sum(dist * cnt) AS BIGINT) AS error FROM d GROUP BY 1, 2""", "pixels_photo")
+def _j6_large(t, spark):
+    """Every colour of every photo against a palette of 256, by cells; added up by palette entry."""
+    photo = t("pixels_photo")
+    ids = photo.groupBy("image_id").agg(F.lit(1)).select("image_id")
+    palette = ids.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(255)))).selectExpr("image_id", "idx", *(f"cast((idx * {m} + cast(image_id AS bigint) * {n}) % 256 AS int) AS {c}" for c, m, n in (("r", 37, 11), ("g", 91, 5), ("b", 53, 7))), "255 AS a")
+    near = K.nearest_color_by_cell(A.color_histogram(photo), palette)
+    return near.groupBy("image_id", "idx").agg(F.count("*").alias("colors"), F.sum("cnt").alias("pixels"), F.sum(F.col("dist").cast("long") * F.col("cnt")).alias("error"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.scalars import half_up
 from ..operators.state import OWN, UPDATES, WIDE, fold, view
 from ..sources.files import image_glob
-from ..sources.folders import with_few
+from ..sources.folders import cut, with_few
 
 # The kinds of usage events.
 EVENT_KINDS = ["image_upload", "compression_complete", "batch_complete", "download", "preset_select", "format_change", "quality_change", "cta_click", "external_link", "funnel_stage", "error"]
@@ -215,15 +215,22 @@ def windowed_kpis(df: DataFrame, size: str, slide: str | None = None, late: str
 
 
 def funnel(df: DataFrame, stages: list[str] | None = None) -> DataFrame:
-    """ST5: users that reach each stage after all before it, and the share of those of the stage before."""
+    """ST5: users that reach each stage after all before it, and the share of those of the stage before.
+
+    A user reaches a stage with the first of its events that comes no earlier than
+    the one that reached the stage before, whatever else lies in between. Stage by
+    stage, the events of one stage meet one time for each user, and the least that
+    fits is taken before the shuffle; a user with very many events is many tasks.
+    """
     stages = stages or STAGES
-    first = df.groupBy("user_id").agg(*(F.min(F.when(F.col("stage") == s, F.col("ts"))).alias(s) for s in stages))
-    reached, flags = F.lit(True), []
-    for i, s in enumerate(stages):
-        reached = reached & F.col(s).isNotNull() & (F.lit(True) if i == 0 else F.col(stages[i - 1]) <= F.col(s))
-        flags.append(F.count_if(reached).alias(s))
-    rows = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(s).alias("stage"), F.col(s).alias("users"), (F.col(stages[max(0, i - 1)])).alias("before")) for i, s in enumerate(stages)))
-    return first.agg(*flags).select(F.inline(rows)).select("step", "stage", "users", F.when(F.col("before") > 0, F.col("users") / F.col("before")).otherwise(0.0).alias("conversion"))
+    of = lambda s: df.where((F.col("stage") == s) & F.col("ts").isNotNull() & F.col("user_id").isNotNull()).select("user_id", "ts")
+    reached, counts = None, []
+    for s in stages:
+        events = of(s) if reached is None else of(s).join(reached, "user_id").where("ts >= since").select("user_id", "ts")
+        reached = cut(events.groupBy("user_id").agg(F.min("ts").alias("since")))
+        counts.append(reached.count())
+    rows = [(i, s, counts[i], counts[i] / counts[max(0, i - 1)] if counts[max(0, i - 1)] else 0.0) for i, s in enumerate(stages)]
+    return df.sparkSession.createDataFrame(rows, "step int, stage string, users long, conversion double")
 
 
 def session_batches(df: DataFrame, gap: str) -> DataFrame:

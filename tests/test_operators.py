@@ -299,3 +299,36 @@ def test_presets_and_curves_come_from_their_tables(spark):
     curves = spark.createDataFrame([("own", 0, 0.1), ("own", 100, 0.2)], "format string, quality int, ratio double")
     sized = spark.createDataFrame([(1, 10, 10, 50, "own")], "id long, width int, height int, quality int, format string")
     assert [r.estimated_size for r in J.estimate_size(sized, curves).collect()] == [45]
+
+
+# boxes of all sizes, in one crowd and far apart
+
+
+@pytest.mark.parametrize("cell_boxes", [8, 4096])
+def test_overlaps_of_boxes_from_1_to_a_million(spark, cell_boxes):
+    import random
+
+    rng = random.Random(3)
+    size = lambda: int(10 ** rng.uniform(0, 6))
+    boxes = [(i, rng.randrange(-(10**6), 10**6), rng.randrange(-(10**6), 10**6), size(), size()) for i in range(150)]
+    boxes += [(200 + i, 10, 10, 1 + i % 5, 0) for i in range(60)] + [(300, 0, 0, 64, 64), (301, 64, 64, 64, 128), (302, None, 0, 1, 1), (303, 0, 0, None, 1)]  # a crowd, edges that touch
+    queries = [(i, rng.randrange(-(10**6), 10**6), rng.randrange(-(10**6), 10**6), size(), size()) for i in range(60)] + [(100, 0, 0, 20, 20), (101, 0, 0, 5, 900), (102, 64, 0, 64, 64), (103, 12, 9, 6, 6), (104, 0, 0, 10**6, 10**6)]
+    want = sorted((q[0], b[0]) for q in queries for b in boxes if None not in b and q[3] > 5 and q[4] > 5 and b[1] <= q[1] + q[3] and b[1] + b[3] >= q[1] and b[2] <= q[2] + q[4] and b[2] + b[4] >= q[2])
+    found = J.overlap_join(spark.createDataFrame(boxes, "id long, x long, y long, w long, h long"), spark.createDataFrame(queries, "qid long, x long, y long, w long, h long"), cell_boxes=cell_boxes)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 200
+
+
+def test_overlaps_of_nothing(spark):
+    none = lambda k: spark.createDataFrame([], f"{k} long, x long, y long, w long, h long")
+    assert J.overlap_join(none("id"), none("qid")).collect() == []
+
+
+def test_color_sketches_merge(spark):
+    p = raster(spark, 100, 60, "i % 256", "i div 256", "0")
+    parts = A.color_sketches(p, lines=20)
+    assert parts.count() == 3
+    assert abs(A.colors_of(parts).first().unique_colors - 6000) < 0.03 * 6000
+    assert abs(A.colors_of(parts.where("band < 2")).first().unique_colors - 4000) < 0.03 * 4000
+    again = parts.unionByName(parts)  # a band that comes twice changes nothing
+    assert A.colors_of(again).first().unique_colors == A.colors_of(parts).first().unique_colors
+    assert {r.band for r in A.colors_of(parts, "image_id", "band").collect()} == {0, 1, 2}

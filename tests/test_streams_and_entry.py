@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import shutil
 import subprocess
 import sys
 import tempfile
@@ -117,6 +118,26 @@ def test_funnel_and_sessions(spark):
     assert sorted((r.user_id, r.images, r.original_kb) for r in ST.session_batches(df, "30 minutes").collect()) == [(1, 3, 3), (2, 2, 2), (3, 1, 1)]
 
 
+def test_funnel_follows_the_order_of_events(spark):
+    """A stage before its turn does not count against the same stage later on; against a plain walk over each user's events."""
+    rng = random.Random(2)
+    rows = [(u, rng.choice([*ST.STAGES, "other", None]), None if rng.random() < 0.02 else rng.randrange(40)) for u in range(40) for _ in range(rng.randrange(9))]
+    rows += [(100, "upload", 1), (100, "landing", 2), (100, "upload", 3), (None, "landing", 1)]
+    df = spark.createDataFrame(rows, "user_id long, stage string, m int").withColumn("ts", F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, m)"))
+    reached = [0] * 4
+    for u in {r[0] for r in rows if r[0] is not None}:
+        since = -1
+        for k, s in enumerate(ST.STAGES):
+            since = min((m for v, stage, m in rows if v == u and stage == s and m is not None and m >= since), default=None)
+            if since is None:
+                break
+            reached[k] += 1
+    found = ST.funnel(df).orderBy("step").collect()
+    assert [r.users for r in found] == reached and reached[1] > 3
+    assert [round(r.conversion, 9) for r in found] == [round(reached[k] / reached[max(0, k - 1)], 9) if reached[max(0, k - 1)] else 0.0 for k in range(4)]
+    assert [r.users for r in ST.funnel(df.where("false")).collect()] == [0] * 4
+
+
 def test_queries_and_sql_agree_in_names():
     import __spark_entry__ as entry
 
@@ -139,3 +160,10 @@ assert e.__file__.startswith({copy!r})
 assert not any(n.startswith("op") for n in e.queries()) and "a9_classify_images" in e.queries()
 """
         subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, timeout=120)
+    # the other tests import and are found without those folders
+    ignore = shutil.ignore_patterns("llm", "__pycache__")
+    shutil.copytree(f"{ROOT}/tests", f"{copy}/tests", ignore=ignore)
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_operators.py", "-k", "savings or status or tiny", "-p", "no:cacheprovider"], cwd=copy, timeout=300, capture_output=True, text=True)
+    assert found.returncode == 0, found.stdout
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests", "-p", "no:cacheprovider"], cwd=copy, timeout=120, capture_output=True, text=True)
+    assert found.returncode == 0 and "test_state" in found.stdout, found.stdout
