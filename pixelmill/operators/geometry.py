@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
 from ..sources.folders import cut, with_few
+from .lines import crop_lines, filter_lines, pack, resize_lines, transform_lines, trim_lines, unpack
 from .stats import content_bounds
-from .stencil import filtered
-
-#: Weights of a resize are whole numbers of this unit, so that sums are exact in any order.
-UNIT = 1 << 14
-SUPPORT = {"Bilinear": 1.0, "CatmullRom": 2.0, "Mitchell": 2.0, "Lanczos3": 3.0}
 
 
 def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -55,67 +49,24 @@ def unpremultiply(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "width", "height", "x", "y", *(back(c).cast("int").alias(c) for c in "rgb"), "a")
 
 
-def _kernel(name: str, t: Column) -> Column:
-    d = F.abs(t)
-    if name == "Bilinear":
-        return F.when(d < 1, 1 - d).otherwise(0.0)
-    if name == "Lanczos3":
-        s = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(math.pi * v) / F.nullif(math.pi * v, F.lit(0.0)))
-        return F.when(d < 3, s(t) * s(t / 3)).otherwise(0.0)
-    b, c = (0.0, 0.5) if name == "CatmullRom" else (1 / 3, 1 / 3)
-    near = ((12 - 9 * b - 6 * c) * d * d * d + (-18 + 12 * b + 6 * c) * d * d + (6 - 2 * b)) / 6
-    far = ((-b - 6 * c) * d * d * d + (6 * b + 30 * c) * d * d + (-12 * b - 48 * c) * d + (8 * b + 24 * c)) / 6
-    return F.when(d < 1, near).when(d < 2, far).otherwise(0.0)
-
-
-def weights(sizes: DataFrame, name: str) -> DataFrame:
-    """``src, dst, at, from, weight``: what each source place gives to each place of the result.
-
-    ``sizes`` holds distinct pairs of lengths, so the table follows those, not the pixels.
-    """
-    scale = F.col("src") / F.col("dst")
-    wide = F.greatest(F.lit(1.0), scale)
-    centre = (F.col("at") + 0.5) * scale
-    reach = SUPPORT[name] * wide
-    places = F.sequence(F.greatest(F.lit(0), F.floor(centre - reach).cast("int")), F.least(F.col("src") - 1, F.ceil(centre + reach).cast("int")))
-    taps = sizes.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("dst") - 1))).withColumn("from", F.explode(places))
-    taps = taps.withColumn("k", _kernel(name, (F.col("from") + 0.5 - centre) / wide)).where("k <> 0")
-    total = taps.groupBy("src", "dst", "at").agg(F.sum("k").alias("total"))
-    return taps.join(total, ["src", "dst", "at"]).select("src", "dst", "at", "from", half_up(F.col("k") / F.col("total") * UNIT).cast("long").alias("weight"))
-
-
-def _pass(pixels: DataFrame, sizes: DataFrame, name: str, axis: str) -> DataFrame:
-    """One axis: each source pixel meets its taps, and the products are added up before the shuffle."""
-    size, other, out = ("width", "y", "out_w") if axis == "x" else ("height", "x", "out_h")
-    table = weights(sizes.select(F.col(size).alias("src"), F.col(out).alias("dst")).distinct(), name)
-    taps = with_few(pixels, table.select(F.col("src").alias(size), F.col("dst").alias(out), F.col("from").alias(axis), "at", "weight"), [size, out, axis])
-    keys = ["image_id", "width", "height", "out_w", "out_h", other, "at"]
-    clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.sum(F.col(c) * F.col("weight")) + UNIT // 2) / UNIT))).cast("int").alias(c)
-    return taps.groupBy(*keys).agg(*(clamp(c) for c in "rgba")).withColumnRenamed("at", axis)
-
-
 def resize(pixels: DataFrame, dims: DataFrame, filter: str = "Lanczos3") -> DataFrame:
     """Resize to ``image_id, out_w, out_h``.
 
-    Nearest maps each place of the result back to one source pixel by an equi-join.
-    The other filters work on premultiplied colour along x, then y.
+    Nearest picks source pixels; the other filters work on premultiplied colour
+    along x, then y. Pixels travel packed in lines (``lines``).
     """
-    if filter == "Nearest":
-        grid = cut(with_few(dims, pixels.groupBy("image_id").agg(F.first("width").alias("w"), F.first("height").alias("h")), "image_id"))
-        grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("out_w") * F.col("out_h") - 1)))
-        nx, ny = F.col("i") % F.col("out_w"), F.floor(F.col("i") / F.col("out_w"))
-        grid = grid.select("image_id", F.col("out_w").cast("int").alias("width"), F.col("out_h").cast("int").alias("height"), nx.cast("int").alias("nx"), ny.cast("int").alias("ny"), F.floor((nx + 0.5) * F.col("w") / F.col("out_w")).cast("int").alias("x"), F.floor((ny + 0.5) * F.col("h") / F.col("out_h")).cast("int").alias("y"))
-        return grid.join(pixels.select("image_id", "x", "y", "r", "g", "b", "a").hint("merge"), ["image_id", "x", "y"]).select("image_id", "width", "height", F.col("nx").alias("x"), F.col("ny").alias("y"), "r", "g", "b", "a")
-    source = with_few(premultiply(pixels), dims.select("image_id", F.col("out_w").cast("int").alias("out_w"), F.col("out_h").cast("int").alias("out_h")), "image_id")
-    sizes = cut(source.select("width", "height", "out_w", "out_h").distinct())
-    done = _pass(_pass(source, sizes, filter, "x"), sizes, filter, "y")
-    return unpremultiply(done.select("image_id", F.col("out_w").alias("width"), F.col("out_h").alias("height"), "x", "y", *(F.least(c, "a").alias(c) for c in "rgb"), "a"))
+    return unpack(resize_lines(pack(pixels), dims, filter))
 
 
 def apply_edits(pixels: DataFrame, *, trim: int | None = None, boxes: DataFrame | None = None, dims: DataFrame | None = None, filter: str = "Lanczos3", ops: DataFrame | None = None, sharpen_amount: float = 0.0, blur_radius: int = 0) -> DataFrame:
-    """Trim, crop, resize, rotate and flip, sharpen, blur, in this order; steps left out do nothing."""
-    out = auto_trim(pixels, trim) if trim is not None else pixels
-    out = crop(out, boxes) if boxes is not None else out
-    out = resize(out, dims, filter) if dims is not None else out
-    out = transform(out, ops) if ops is not None else out
-    return filtered(out, sharpen_amount, blur_radius)
+    """Trim, crop, resize, rotate and flip, sharpen, blur, in this order; steps left out do nothing.
+
+    Pixels are packed into lines once, and unpacked at the end.
+    """
+    out = pack(pixels)
+    if trim is not None:
+        out = trim_lines(cut(out), trim)  # read three times: corners, bounds, crop
+    out = crop_lines(out, boxes) if boxes is not None else out
+    out = resize_lines(out, dims, filter) if dims is not None else out
+    out = transform_lines(out, ops) if ops is not None else out
+    return unpack(filter_lines(out, sharpen_amount, blur_radius))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHANNELS = ["r", "g", "b", "a"]
+from .lines import filter_lines, pack, unpack
 
 
 def _row(radius: int):
@@ -18,55 +16,12 @@ def _column(radius: int):
     return Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-radius, radius)
 
 
-#: Lines of a band, besides those that its edges need from its neighbours.
-BAND = 256
-PLACE = ["image_id", "width", "height", "x", "y"]
-
-
-def _sums(values: np.ndarray, radius: int, axis: int) -> np.ndarray:
-    """Sums over windows of ``2 * radius + 1`` places along an axis, cut at the edges."""
-    n = values.shape[axis]
-    total = np.concatenate([np.zeros_like(values.take([0], axis)), values.cumsum(axis)], axis)
-    at = np.arange(n)
-    return total.take(np.minimum(at + radius + 1, n), axis) - total.take(np.maximum(at - radius, 0), axis)
-
-
-def _kernel(table: pa.Table, amount: float, radius: int, own: int) -> pa.Table:
-    """Sharpen and blur the lines of one band; lines of its neighbours are there for its edges only."""
-    w, h, x, y = (table.column(c).to_numpy() for c in PLACE[1:])
-    width, height, low = int(w[0]), int(h[0]), int(y.min())
-    grid, there = np.zeros((int(y.max()) - low + 1, width, 4), np.int64), np.zeros((int(y.max()) - low + 1, width, 1), np.int64)
-    for k, c in enumerate(CHANNELS):
-        grid[y - low, x, k] = table.column(c).to_numpy()
-    there[y - low, x] = 1
-    if amount > 0 and width > 2 and len(grid) > 2:
-        middle = grid[1:-1, 1:-1, :3].astype(np.float64)
-        around = (grid[1:-1, :-2, :3] + grid[1:-1, 2:, :3] + grid[:-2, 1:-1, :3] + grid[2:, 1:-1, :3]).astype(np.float64)
-        grid = grid.copy()
-        grid[1:-1, 1:-1, :3] = np.floor(np.clip(middle + (4.0 * middle - around) * amount, 0.0, 255.0))
-    if radius > 0 and width >= 3 and height >= 3:
-        for axis in (1, 0):
-            grid = _sums(grid * there, radius, axis) // np.maximum(_sums(there, radius, axis), 1)
-    mine = y // BAND == own
-    kept = grid[y[mine] - low, x[mine]].astype(np.int32)
-    return pa.table([*(table.column(c).filter(pa.array(mine)) for c in PLACE), *(pa.array(np.ascontiguousarray(kept[:, k])) for k in range(4))], names=[*PLACE, *CHANNELS])
-
-
 def filtered(pixels: DataFrame, amount: float = 0.0, radius: int = 0) -> DataFrame:
-    """W2 then W1 with one shuffle: bands of lines, each with the lines around it that its edges need.
+    """W2 then W1 with one shuffle of packed lines.
 
     A band of one image is one task's work, so a large image is still many tasks.
     """
-    amount, radius = min(amount, 1.0), min(radius, 50)
-    if amount <= 0 and radius <= 0:
-        return pixels
-    halo = max(radius, 0) + (amount > 0)
-    pixels = pixels.select("image_id", *(F.col(c).cast("int").alias(c) for c in (*PLACE[1:], *CHANNELS)))
-    first, last = F.floor(F.greatest(F.col("y") - halo, F.lit(0)) / BAND), F.floor(F.least(F.col("y") + halo, F.col("height") - 1) / BAND)
-    dealt = pixels.withColumn("band", F.explode(F.sequence(first, last)))
-    kind = pixels.schema["image_id"].dataType.simpleString()
-    schema = f"image_id {kind}, " + ", ".join(f"{c} int" for c in (*PLACE[1:], *CHANNELS))
-    return dealt.groupBy("image_id", "band").applyInArrow(lambda key, t: _kernel(t.select([*PLACE, *CHANNELS]), amount, radius, key[1].as_py()), schema)
+    return unpack(filter_lines(pack(pixels), amount, radius)) if amount > 0 or radius > 0 else pixels
 
 
 def box_blur(pixels: DataFrame, radius: int) -> DataFrame:
