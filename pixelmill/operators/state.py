@@ -28,9 +28,23 @@ STAMPS = {"clear": "long", "wide": "long", "wide_type": "string", "preview_seq":
 STATE = ", ".join(f"{c} {t}" for c, t in {"library_id": "long", "image_id": "long", **ENTRIES, **STAMPS}.items())
 
 
-def rank_duplicates(df: DataFrame) -> DataFrame:
-    """The place of each file among those of its hash, in order of seq; 1 is the one kept."""
-    return df.withColumn("dup_rank", F.row_number().over(Window.partitionBy("hash").orderBy("seq")))
+#: Seqs that one task orders for a hash.
+SEQS = 1 << 16
+
+
+def rank_duplicates(df: DataFrame, seqs: int = SEQS) -> DataFrame:
+    """The place of each file among those of its hash, in order of seq; 1 is the one kept.
+
+    Files are ordered within stretches of seq; what lies before a stretch comes from
+    counts, one row for each stretch that a hash has, so a hot hash is many tasks.
+    Files of equal hash and seq come in any order; a null hash or seq is a value.
+    """
+    stretch = F.floor(F.col("seq") / seqs)
+    rows = df.withColumn("_stretch", stretch).withColumn("_place", F.row_number().over(Window.partitionBy("hash", "_stretch").orderBy("seq")))
+    counts = df.groupBy("hash", stretch.alias("_stretch")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("hash").orderBy("_stretch")) - F.col("_n")).where("_before > 0").select(F.col("hash").alias("_hash"), F.col("_stretch").alias("_at"), "_before")
+    both = rows.join(before, F.col("hash").eqNullSafe(F.col("_hash")) & F.col("_stretch").eqNullSafe(F.col("_at")), "left")
+    return both.select(*df.columns, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int").alias("dup_rank"))
 
 
 def first_of_each(df: DataFrame) -> DataFrame:

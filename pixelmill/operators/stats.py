@@ -188,6 +188,17 @@ def duplicate_report(ranked: DataFrame) -> DataFrame:
     return ranked.where("dup_rank > 1").groupBy("hash").agg(F.count("*").alias("skipped"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"), F.sum("size").alias("bytes"))
 
 
+def duplicate_names(incoming: DataFrame) -> DataFrame:
+    """A13 by rows: ``hash, name, size`` of every file that repeats an earlier hash of ``seq, name, hash, size``.
+
+    One row for each name, so a hash with very many files is never one row or one
+    task: the first seq of each hash is a sum before the shuffle. Files of equal hash
+    and seq all count as first.
+    """
+    first = incoming.groupBy("hash").agg(F.min("seq").alias("first_seq"))
+    return incoming.join(first, "hash").where(F.col("seq") > F.col("first_seq")).select("hash", "name", "size")
+
+
 def savings_by_format(outcomes: DataFrame) -> DataFrame:
     """Totals by format and over all."""
     size = F.coalesce(F.nullif("compressed_size", F.lit(0)), "original_size")

@@ -163,9 +163,10 @@ def _p12(t, spark):
     return P.encode_policy(jobs, analysis).select("id", "effective_lossless", "effective_quality")
 
 
-@query("p13_admit", """WITH c AS (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM (SELECT id, name, mime, CASE WHEN id % 3 = 0 THEN 7 ELSE id // 50 END AS batch, original_size * 20000 AS size FROM jobs))
- SELECT id FROM c WHERE n <= 100 AND size <= 52428800 AND (mime IN ('image/png','image/jpeg','image/webp','image/avif','image/heic','image/heif','image/svg+xml','image/gif','image/tiff','image/bmp')
-  OR lower(regexp_extract(name, '[^.]*$')) IN ('png','jpg','jpeg','webp','avif','heic','heif','svg','gif','tiff','tif','bmp'))""", "jobs")
+@query("p13_admit", """WITH j AS (SELECT id, CASE WHEN id % 3 = 0 THEN 7 ELSE id // 50 END AS batch, original_size * 20000 AS size, mime IN ('image/png','image/jpeg','image/webp','image/avif','image/heic','image/heif','image/svg+xml','image/gif','image/tiff','image/bmp')
+   OR lower(regexp_extract(name, '[^.]*$')) IN ('png','jpg','jpeg','webp','avif','heic','heif','svg','gif','tiff','tif','bmp') AS ok FROM jobs),
+ c AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY batch) AS n FROM j)
+ SELECT id FROM c WHERE n <= 100 AND size <= 52428800 AND ok""", "jobs")
 def _p13(t, spark):
     jobs = t("jobs").withColumn("batch_id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.expr("id div 50"))).withColumn("size", F.col("original_size") * 20000)
     return P.admit(jobs).select("id")
@@ -424,6 +425,11 @@ def _a13(t, spark):
     return A.duplicate_report(S.rank_duplicates(t("hashed")))
 
 
+@query("a13_duplicate_names", "SELECT hash, name, size FROM hashed QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq) > 1", "hashed")
+def _a13_names(t, spark):
+    return A.duplicate_names(t("hashed"))
+
+
 @query("a14_savings_by_format", f"""SELECT format, count(*) AS images, CAST(sum(original_size) AS BIGINT) AS original, CAST(sum({_KEPT}) AS BIGINT) AS compressed, grouping(format)::INT AS is_total,
   round((sum(original_size) - sum({_KEPT})) / CAST(sum(original_size) AS DOUBLE) * 100, 6) AS percent FROM outcomes WHERE raw_status <> 'error' GROUP BY ROLLUP (format)""", "outcomes", ("percent",))
 def _a14(t, spark):
@@ -608,6 +614,8 @@ _CUBIC = {"CatmullRom": (0.0, 0.5), "Mitchell": (1 / 3, 1 / 3)}
 def _resize_sql(source: str, name: str = "Bilinear", sources: tuple[int, ...] = (32,)) -> str:
     """A resize by a kernel's weights in whole units, over x and then y."""
     kernel = "greatest(0, 1 - d)"
+    if name == "Lanczos3":
+        kernel = "CASE WHEN d = 0 THEN 1 WHEN d < 3 THEN sin(pi() * d) / (pi() * d) * (sin(pi() * (d / 3)) / (pi() * (d / 3))) ELSE 0 END"
     if name in _CUBIC:
         b, c = _CUBIC[name]
         num = lambda v: f"CAST({v!r} AS DOUBLE)"
@@ -616,7 +624,7 @@ def _resize_sql(source: str, name: str = "Bilinear", sources: tuple[int, ...] =
     sizes = ", ".join(f"({m}, {n})" for m in sources for n in sorted({n for p in _TO for n in p}))
     gain = lambda c: f"greatest(0, least(255, CAST(floor((sum({c} * weight) + 8192) / 16384) AS BIGINT))) AS {c}"
     back = lambda c: f"CASE WHEN a = 0 THEN 0 ELSE least(255, {_half(f'least({c}, a) / (a / CAST(255.0 AS DOUBLE))')}) END AS {c}"
-    return f"""sz(src, dst) AS (VALUES {sizes}), taps AS (SELECT src, dst, at_, f, {kernel} AS k FROM (SELECT *, abs((f + 0.5::DOUBLE - c) / greatest(1.0, src / CAST(dst AS DOUBLE))) AS d FROM (SELECT src, dst, at_, (at_ + 0.5::DOUBLE) * (src / CAST(dst AS DOUBLE)) AS c FROM sz, range(64) t(at_) WHERE at_ < dst), range(32) s(f) WHERE f < src)),
+    return f"""sz(src, dst) AS (VALUES {sizes}), taps AS (SELECT src, dst, at_, f, {kernel} AS k FROM (SELECT *, abs((f + 0.5::DOUBLE - c) / greatest(1.0, src / CAST(dst AS DOUBLE))) AS d FROM (SELECT src, dst, at_, (at_ + 0.5::DOUBLE) * (src / CAST(dst AS DOUBLE)) AS c FROM sz, range(64) t(at_) WHERE at_ < dst), range(256) s(f) WHERE f < src)),
  wt AS (SELECT src, dst, at_, f, {_half('k / sum(k) OVER (PARTITION BY src, dst, at_) * 16384')} AS weight FROM taps WHERE k <> 0),
  pm AS (SELECT image_id, width, height, x, y, {_PRE}, a, CASE image_id % 3 WHEN 0 THEN {_TO[0][0]} WHEN 1 THEN {_TO[1][0]} ELSE {_TO[2][0]} END AS ow, CASE image_id % 3 WHEN 0 THEN {_TO[0][1]} WHEN 1 THEN {_TO[1][1]} ELSE {_TO[2][1]} END AS oh FROM {source}),
  px AS (SELECT image_id, height, ow, oh, y, at_ AS x, {', '.join(map(gain, 'rgba'))} FROM pm JOIN wt ON src = width AND dst = ow AND f = x GROUP BY ALL),
@@ -647,12 +655,19 @@ def _g5c(t, spark):
     return G.resize(p, _dims(p), "CatmullRom")
 
 
-@query("g5_resize_lanczos")
+@query("g5_resize_lanczos", f"WITH {_resize_sql('pixels', 'Lanczos3')} SELECT {_PX} FROM resized", "pixels")
 def _g5l(t, spark):
     p = t("pixels")
     return G.resize(p, _dims(p), "Lanczos3")
 
 
+@query("g5_resize_lanczos_big", f"WITH {_resize_sql('pixels_big', 'Lanczos3', (125, 160))} SELECT {_PX} FROM resized", "pixels_big")
+def _g5l_big(t, spark):
+    """From 160 x 125: up to 54 taps a place."""
+    p = t("pixels_big")
+    return G.resize(p, _dims(p), "Lanczos3")
+
+
 @query("g6_premultiply", f"SELECT image_id, x, y, {_PRE}, a FROM pixels", "pixels")
 def _g6(t, spark):
     return G.premultiply(t("pixels")).select("image_id", "x", "y", "r", "g", "b", "a")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..operators import palette as K
 from ..operators import state as S
 from ..operators import stats as A
-from ..sources import versioned
+from ..sources import chunks, versioned
 from ..sources.folders import new_folder, settled
 from ..streaming import streams as ST
-from .catalogue import _DONE, _KPI, _NAMED, _STATE, _USED, ORACLE_SQL, QUERIES, _half, _median_cut_sql, _texts, query
+from .catalogue import _DONE, _KPI, _NAMED, _STATE, _USED, ORACLE_SQL, QUERIES, _half, _median_cut_sql, _pngs, _texts, query
 from .derived import files_of
 
 _FULL = _STATE.replace("FROM actions", "FROM full_actions").replace("= 'UPDATE_STATUS'", "IN ('UPDATE_STATUS','UPDATE_IMAGE')").replace("own AS (SELECT a.*, l.clr, l.wide, l.wide_type FROM full_actions a JOIN lib l USING (library_id) WHERE ", "own AS (SELECT a.*, l.clr, l.wide, l.wide_type FROM full_actions a JOIN lib l USING (library_id) WHERE type NOT IN ('SET_PREVIEW','NEXT_QUEUE') AND ")
@@ -171,3 +171,24 @@ def _j6_large(t, spark):
     palette = ids.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(255)))).selectExpr("image_id", "idx", *(f"cast((idx * {m} + cast(image_id AS bigint) * {n}) % 256 AS int) AS {c}" for c, m, n in (("r", 37, 11), ("g", 91, 5), ("b", 53, 7))), "255 AS a")
     near = K.nearest_color_by_cell(A.color_histogram(photo), palette)
     return near.groupBy("image_id", "idx").agg(F.count("*").alias("colors"), F.sum("cnt").alias("pixels"), F.sum(F.col("dist").cast("long") * F.col("cnt")).alias("error"))
+
+
+def _chunk_files(spark, sf_dir: str) -> str:
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "png")
+    files_of(_pngs(docs).select(F.concat(F.lit("i"), "image_id", F.lit(".png")).alias("name"), "content"), folder)
+    return folder
+
+
+def _s5_scan(spark, sf_dir: str) -> DataFrame:
+    folder = _chunk_files(spark, sf_dir)
+    image = F.regexp_extract("path", r"i(\d+)\.png$", 1).cast("long").alias("image_id")
+    return settled(chunks.scan_png_chunks(spark, folder).select(image, "seq", "name", "length", "is_metadata"), folder)
+
+
+def _s5_folder(spark, sf_dir: str) -> DataFrame:
+    folder = _chunk_files(spark, sf_dir)
+    return settled(chunks.audit_png_folder(spark, folder), folder)
+
+
+QUERIES["s5_scan_chunks"], ORACLE_SQL["s5_scan_chunks"] = _s5_scan, ORACLE_SQL["s5_png_chunks"]
+QUERIES["s5_audit_folder"], ORACLE_SQL["s5_audit_folder"] = _s5_folder, ORACLE_SQL["s5_metadata_audit"]
