@@ -25,11 +25,11 @@ from .shared import columns
 STATES = 6
 CELLS = 1 << 13
 #: Each round takes one in so many of the training documents: all of them.
-ROUNDS = (1, 1)
+ROUNDS = (1,) * 6
 #: Tokens of a segment; segments of a text are chained exactly, in training as in scoring.
-TRAIN_LENGTH, SCORE_LENGTH = 256, 1024
+TRAIN_LENGTH, SCORE_LENGTH = 1024, 1024
 #: Tokens that a training block or a slice of texts holds, about.
-BLOCK_TOKENS, SLICE_BYTES = 1 << 17, 2 << 20
+BLOCK_TOKENS, SLICE_BYTES = 1 << 19, 2 << 20
 SEED_DOCUMENTS = 200
 PRIOR = 50.0
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -150,8 +150,22 @@ def _entries(cells: np.ndarray, begin: np.ndarray, size: np.ndarray, inner: np.n
     return ahead, out
 
 
+def _packed(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of sequences, the longest first, step by step: how many sequences reach each step, where it begins, and its tokens.
+
+    Sequences keep their order in every step, so step t + 1 goes on with the first of step t.
+    """
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")
+    first = np.cumsum(live) - live
+    step = np.repeat(np.arange(len(live)), live)
+    return live, first, begin[np.arange(len(step)) - first[step]] + step
+
+
 def _expected(cells: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions over one block of texts."""
+    """Expected counts of starts, moves and emissions over one block of texts.
+
+    Tokens are laid out step by step, so that each step of the recursion is a slice.
+    """
     k = len(model.start)
     begin = np.concatenate([np.arange(a, b, TRAIN_LENGTH) for a, b in zip(at[:-1], at[1:], strict=True)])
     stop = np.minimum(begin + TRAIN_LENGTH, np.repeat(at[1:], -(-np.diff(at) // TRAIN_LENGTH)))
@@ -159,32 +173,36 @@ def _expected(cells: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarr
     ahead, out = _entries(cells, begin, stop - begin, inner, model)
     order = np.argsort(begin - stop, kind="stable")  # the longest first
     begin, size, inner, ahead, out = begin[order], (stop - begin)[order], inner[order], ahead[order], out[order]
-    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # sequences that reach step t
-    emit = np.ascontiguousarray(model.emit.T)
-    alpha = np.zeros((len(cells), k))
-    scale = np.ones(len(cells))
-    for t in range(size[0]):
-        i = begin[: live[t]] + t
-        a = ahead[: live[t]] * emit[cells[i]]
-        s = a.sum(axis=1)
+    live, first, tokens = _packed(begin, size)
+    own = cells[tokens]
+    emit, move, one = np.ascontiguousarray(model.emit.T)[own], model.move, np.ones(k)
+    alpha, beta = np.empty((len(own), k)), np.empty((len(own), k))
+    for m, f in zip(live.tolist(), first.tolist(), strict=True):
+        a = ahead[:m] * emit[f : f + m]
+        s = a @ one
         a /= s[:, None]
-        alpha[i], scale[i] = a, s
-        ahead = a @ model.move
-    later = np.zeros((len(cells), k))  # beta times emission over scale, of the next token
-    beta = np.ones((len(cells), k))
-    end = begin + size - 1
-    beta[end] = out / (alpha[end] * out).sum(axis=1, keepdims=True)
-    for t in range(size[0] - 1, 0, -1):
-        i = begin[: live[t]] + t
-        w = beta[i] * emit[cells[i]] / scale[i][:, None]
-        later[i - 1] = w
-        beta[i - 1] = w @ model.move.T
-    i = begin[inner]  # the moves over cuts
-    later[i - 1] = beta[i] * emit[cells[i]] / scale[i][:, None]
+        alpha[f : f + m] = a
+        emit[f : f + m] /= s[:, None]  # from here on, emission over scale
+        ahead = a @ move
+    moves = np.zeros((k, k))
+    for t in range(len(live) - 1, -1, -1):
+        m, f, on = live[t], first[t], live[t + 1] if t + 1 < len(live) else 0
+        if on < m:  # sequences that end here
+            ends = alpha[f + on : f + m]
+            beta[f + on : f + m] = out[on:m] / (ends * out[on:m]).sum(axis=1, keepdims=True)
+        if on:
+            later = beta[f + m : f + m + on] * emit[f + m : f + m + on]
+            moves += alpha[f : f + on].T @ later
+            beta[f : f + on] = later @ move.T
+    if inner.any():  # the moves over cuts
+        place = np.empty(len(own), np.int64)
+        place[tokens] = np.arange(len(own))
+        heads = np.flatnonzero(inner)
+        moves += alpha[place[begin[heads] - 1]].T @ (beta[heads] * emit[heads])
     gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    emitted = np.stack([np.bincount(cells, weights=gamma[:, j], minlength=CELLS) for j in range(k)])
-    return gamma[at[:-1]].sum(axis=0), model.move * (alpha.T @ later), emitted
+    gamma /= (gamma @ one)[:, None]
+    emitted = np.stack([np.bincount(own, weights=gamma[:, j], minlength=CELLS) for j in range(k)])
+    return gamma[: live[0]][~inner].sum(axis=0), model.move * moves, emitted
 
 
 def _round(training: DataFrame, model: Model, corpus: Corpus) -> Model:
@@ -270,17 +288,17 @@ def log_likelihood(cells: np.ndarray, at: np.ndarray, model: Model, length: int
                 owner.append(d)
     begin, size, ahead, owner = np.array(begin), np.array(size), np.array(ahead), np.array(owner)
     order = np.argsort(-size, kind="stable")
-    rows, longest = len(order), int(size.max())
-    live = np.searchsorted(-size[order], -np.arange(longest), side="left")
-    first, last, logs, cur = begin[order], np.zeros((rows, k)), np.zeros(rows), ahead[order]
-    for t in range(longest):
-        m = live[t]
-        a = cur[:m] * emit[cells[first[:m] + t]]
-        s = a.sum(axis=1)
+    rows = len(order)
+    live, first, tokens = _packed(begin[order], size[order])
+    emitted, one, scale = emit[cells[tokens]], np.ones(k), np.empty(len(tokens))
+    last, cur = np.zeros((rows, k)), ahead[order]
+    for m, f in zip(live.tolist(), first.tolist(), strict=True):
+        a = cur[:m] * emitted[f : f + m]
+        scale[f : f + m] = s = a @ one
         a /= s[:, None]
-        logs[:m] += np.log(s)
         last[:m] = a
         cur = a @ model.move
+    logs = np.bincount(np.arange(len(tokens)) - np.repeat(first, live), weights=np.log(scale), minlength=rows)
     back = np.empty(rows, np.int64)
     back[order] = np.arange(rows)
     last, logs = last[back], logs[back]

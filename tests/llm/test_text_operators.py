@@ -290,6 +290,22 @@ def test_every_round_takes_all_training_documents():
     assert set(hmm_lm.ROUNDS) == {1}
 
 
+def test_each_round_sees_all_texts_and_raises_the_likelihood(spark, monkeypatch):
+    docs = _docs(spark, [(i, t) for i, t, _ in _language_rows(2)])
+    seen, ran = [], hmm_lm._round
+    monkeypatch.setattr(hmm_lm, "_round", lambda training, model, corpus: (seen.append(training.count()), ran(training, model, corpus))[1])
+    training = docs.select("doc_id", "text")
+    corpus = hmm_lm.corpus_counts(training, 2)
+    _, cells, at = hmm_lm.tokens_of(training.select("text").toArrow()["text"], hashes=False)
+    reached = []
+    for rounds in (1, 2, len(hmm_lm.ROUNDS)):
+        seen.clear()
+        model = hmm_lm.train(training, corpus, states=3, rounds=(1,) * rounds)
+        assert seen == [docs.count()] * rounds
+        reached.append(hmm_lm.log_likelihood(cells, at, model).sum())
+    assert reached == sorted(reached) and reached[-1] > reached[0]
+
+
 def test_lm_score(spark):
     import math
 
