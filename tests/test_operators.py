@@ -332,3 +332,15 @@ def test_color_sketches_merge(spark):
     again = parts.unionByName(parts)  # a band that comes twice changes nothing
     assert A.colors_of(again).first().unique_colors == A.colors_of(parts).first().unique_colors
     assert {r.band for r in A.colors_of(parts, "image_id", "band").collect()} == {0, 1, 2}
+
+
+def test_ranks_over_stretches_of_seq(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, rng.choice(["a", "a", "a", "b", None])) for s in range(300)] + [(1000, "b"), (10**9, "a")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "seq long, hash string")
+    got = {r.seq: r.dup_rank for r in S.rank_duplicates(df, seqs=7).collect()}
+    assert got == {s: sum(h == g and q <= s for q, g in rows) for s, h in rows}
+    assert {r.name for r in A.duplicate_names(df.selectExpr("seq", "hash", "cast(seq AS string) AS name", "1 AS size").where("hash is not null")).collect()} == {str(s) for s, h in rows if h and got[s] > 1}
