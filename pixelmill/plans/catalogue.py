@@ -685,6 +685,23 @@ def _g8(t, spark):
     return G.apply_edits(p, trim=25, ops=_ops(p), sharpen_amount=0.25, blur_radius=2)
 
 
+@query("g8_apply_edits_tall", f"WITH {_TRIM}, {_turn_sql('trimmed')}, {_sharpen_sql('turned', 0.25)}, {_blur_sql('sharp', 9)} {_INT} blurred".replace("FROM pixels", "FROM pixels_tall").replace("JOIN pixels", "JOIN pixels_tall"), "pixels_tall")
+def _g8_tall(t, spark):
+    """Images of 600 lines: every step crosses bands."""
+    p = t("pixels_tall")
+    return G.apply_edits(p, trim=25, ops=_ops(p), sharpen_amount=0.25, blur_radius=9)
+
+
+@query("w1_box_blur_tall", f"WITH {_sharpen_sql('pixels_tall', 0.5)}, {_blur_sql('sharp', 50)} {_INT} blurred", "pixels_tall")
+def _w1_tall(t, spark):
+    return W.filtered(t("pixels_tall"), 0.5, 50)
+
+
+@query("w1_box_blur_big", f"WITH {_blur_sql('pixels_big', 7)} {_INT} blurred", "pixels_big")
+def _w1_big(t, spark):
+    return W.box_blur(t("pixels_big"), 7)
+
+
 _CROPPED = "boxed AS (SELECT image_id, 24 AS width, 28 AS height, x - 4 AS x, y - 2 AS y, r, g, b, a FROM pixels WHERE x >= 4 AND y >= 2 AND x < 28 AND y < 30)"
 
 

@@ -31,6 +31,14 @@ SELECT k + 2000000000 AS image_id, 256 AS width, 256 AS height, x, y,
        x AS r, y AS g, (x + y + k) {div} 2 % 256 AS b, 255 AS a
 FROM (SELECT k, i, i % 256 AS x, i {div} 256 AS y FROM ({grid}) t) g
 """
+#: Taller than a band of lines, with a white border.
+_TALL = """
+SELECT k + 3000000000 AS image_id, 64 AS width, 600 AS height, x, y,
+       CASE WHEN inside THEN (seed {div} 65536) % 256 ELSE 255 END AS r, CASE WHEN inside THEN (seed {div} 256) % 256 ELSE 255 END AS g,
+       CASE WHEN inside THEN seed % 256 ELSE 255 END AS b, CASE WHEN inside THEN 100 + i % 156 ELSE 255 END AS a
+FROM (SELECT k, i, i % 64 AS x, i {div} 64 AS y, i % 64 BETWEEN 4 AND 50 AND i {div} 64 BETWEEN 20 AND 570 AS inside,
+             ((i + k*7919) * 1103515245 + 12345) % 4294967296 AS seed FROM ({grid}) t) g
+"""
 _OUTCOMES = """
 SELECT doc_id AS id, doc_id {div} 50 AS batch_id, concat('img_', doc_id, '.a.png') AS name,
  CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'webp' ELSE 'avif' END AS format,
@@ -113,6 +121,7 @@ _TABLES = {
     "pixels": (_PIXELS, "part", "p_partkey", 1024),
     "pixels_big": (_BIG, "supplier", "s_suppkey", 20000),
     "pixels_photo": (_PHOTO, "nation", "n_nationkey", 65536),
+    "pixels_tall": (_TALL, "nation", "n_nationkey", 38400),
     "outcomes": (_OUTCOMES, "documents", None, 0),
     "jobs": (_JOBS, "documents", None, 0),
     "actions": (_ACTIONS, "events", None, 0),
