@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import exchange, textarrays
 from .language_id import fold
-from .shared import columns
+from .shared import columns, dropped, written
 
 STATES = 6
 CELLS = 1 << 13
@@ -205,21 +205,34 @@ def _expected(cells: np.ndarray, at: np.ndarray, model: Model) -> tuple[np.ndarr
     return gamma[: live[0]][~inner].sum(axis=0), model.move * moves, emitted
 
 
-def _round(training: DataFrame, model: Model, corpus: Corpus) -> Model:
-    """One Baum-Welch round; a table of fixed size comes back."""
-    k = len(model.start)
-    shared = training.sparkSession.sparkContext.broadcast(model)
+def _blocks(training: DataFrame) -> DataFrame:
+    """The cells of all texts, two bytes a token, in blocks of texts, with the ends of the texts."""
 
     def run(batches):
-        total = np.zeros(k + k * k + k * CELLS)
         for batch in batches:
             for at, end in textarrays.slices(batch.column("text"), BLOCK_TOKENS * 6):
                 _, cells, offsets = tokens_of(batch.column("text").slice(at, end - at), hashes=False)
-                total += np.concatenate([x.ravel() for x in _expected(cells, offsets, shared.value)])
+                row = [pa.array([x.tobytes()], pa.binary()) for x in (cells.astype(np.uint16), offsets.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([end - at])], ["cells", "ends", "texts"])
+
+    return training.select("text").mapInArrow(run, "cells binary, ends binary, texts long")
+
+
+def _round(blocks: DataFrame, model: Model, corpus: Corpus) -> Model:
+    """One Baum-Welch round over blocks of texts; a table of fixed size comes back."""
+    k = len(model.start)
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        total = np.zeros(k + k * k + k * CELLS)
+        for batch in batches:
+            for cells, ends in zip(batch.column("cells"), batch.column("ends"), strict=True):
+                cells, ends = np.frombuffer(cells.as_buffer(), np.uint16).astype(np.int64), np.frombuffer(ends.as_buffer(), np.int64)
+                total += np.concatenate([x.ravel() for x in _expected(cells, ends, shared.value)])
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["at", "n"])
 
-    rows = training.select("text").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = blocks.select("cells", "ends").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros(k + k * k + k * CELLS)
     found[rows["at"]] = rows["n"]
     start, move, emit = found[:k] + 1, found[k : k + k * k].reshape(k, k) + 1, found[k + k * k :].reshape(k, CELLS)
@@ -267,10 +280,15 @@ def _first_model(training: DataFrame, corpus: Corpus, states: int) -> Model:
 
 def train(training: DataFrame, corpus: Corpus, *, states: int = STATES, rounds: tuple[int, ...] = ROUNDS) -> Model:
     """Baum-Welch over a table of ``doc_id, text``."""
-    model = _first_model(training, corpus, states)
+    model, whole = _first_model(training, corpus, states), None
     for i, share in enumerate(rounds):
-        some = training if share == 1 else training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(share)) == i % share)
-        model = _round(some, model, corpus)
+        if share == 1:  # texts are split into tokens once, for all of these rounds
+            whole = written(_blocks(training)) if whole is None else whole
+            model = _round(whole, model, corpus)
+        else:
+            model = _round(_blocks(training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(share)) == i % share)), model, corpus)
+    if whole is not None:
+        dropped(whole)
     return model
 
 

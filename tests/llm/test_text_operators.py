@@ -293,7 +293,7 @@ def test_every_round_takes_all_training_documents():
 def test_each_round_sees_all_texts_and_raises_the_likelihood(spark, monkeypatch):
     docs = _docs(spark, [(i, t) for i, t, _ in _language_rows(2)])
     seen, ran = [], hmm_lm._round
-    monkeypatch.setattr(hmm_lm, "_round", lambda training, model, corpus: (seen.append(training.count()), ran(training, model, corpus))[1])
+    monkeypatch.setattr(hmm_lm, "_round", lambda blocks, model, corpus: (seen.append(blocks.agg({"texts": "sum"}).first()[0]), ran(blocks, model, corpus))[1])
     training = docs.select("doc_id", "text")
     corpus = hmm_lm.corpus_counts(training, 2)
     _, cells, at = hmm_lm.tokens_of(training.select("text").toArrow()["text"], hashes=False)
