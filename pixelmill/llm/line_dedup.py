@@ -1,14 +1,12 @@
 """Fuzzy line deduplication by MinHash (DataFrame functions only).
 
-Every line that is not blank is a set of shingles of ``SHINGLE`` UTF-8 bytes (a
+Every line that is not blank is a set of shingles of ``SHINGLE`` characters (a
 shorter line is one shingle). Signatures take all of them: one hash per shingle
 falls into one of 32 cells by its first bits, and the smallest hash of each cell is
 one MinHash row. A cell without shingles takes the nearest other cell of its eighth
-of the hashes. Before they are grouped, hashes that are too large to be the smallest
-of their cell (128 shingles leave four to a cell) go. The four rows of an eighth
-make a band; bands give candidate pairs, a sketch of two bits a row drops
-most pairs that met by chance, and an exact Jaccard similarity over all shingles
-confirms the rest (``linking``); distributed union-find merges them. In each
+of the hashes. The four rows of an eighth make a band; bands give candidate pairs, a
+sketch of two bits a row chooses partners, and an exact Jaccard similarity over all
+shingles confirms links (``linking``); distributed union-find merges them. In each
 component the first line, by document and place, stays.
 """
 
@@ -21,10 +19,8 @@ from .linking import SIMILARITY, Unit, linked
 from .shared import dropped, released, written
 
 SHINGLE, BANDS, ROWS = 8, 8, 4
-#: Shingles of a line, about, whose hashes are grouped for its minima; the others cannot be among them.
-GROUPED = 128
-
-BYTES = Unit(lambda t: F.encode(t, "UTF-8"), F.octet_length, F.substring, SHINGLE)
+#: Four bytes a character, so that a shingle is found by its place.
+CHARACTERS = Unit(lambda t: F.encode(t, "UTF-32"), lambda d: F.shiftright(F.octet_length(d), 2), lambda d, i, n: F.substring(d, i * 4 - 3, n * 4), SHINGLE)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,12 +31,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """``band, h, sketch``: a row for each band of each distinct line of ``h, line``."""
-    rest = (1 << 27) - 1
-    data = lines.groupBy("h").agg(F.first("line").alias("line")).select("h", BYTES.data(F.col("line")).alias("data"))
-    data = data.select("h", "data", F.greatest(F.lit(1), BYTES.length(F.col("data")) - (SHINGLE - 1)).alias("size"))
-    least = (F.lit(float(rest)) * F.least(F.lit(1.0), F.lit(GROUPED) / F.col("size"))).cast("int")
-    rows = data.select("h", "data", least.alias("least"), F.explode(BYTES.places(F.col("data"))).alias("i"))
-    rows = rows.select("h", "least", F.hash(BYTES.piece(F.col("data"), F.col("i"))).alias("s")).where(F.col("s").bitwiseAND(rest) <= F.col("least"))
+    data = lines.groupBy("h").agg(F.first("line").alias("line")).select("h", CHARACTERS.data(F.col("line")).alias("data"))
+    rows = data.select("h", "data", F.explode(CHARACTERS.places(F.col("data"))).alias("i"))
+    rows = rows.select("h", F.hash(CHARACTERS.piece(F.col("data"), F.col("i"))).alias("s"))
     rows = rows.select("h", F.shiftrightunsigned("s", 29).alias("e"), F.col("s").bitwiseAND((1 << 29) - 1).alias("s"))
     names = [f"m{k}" for k in range(ROWS)]
     least = rows.groupBy("h", "e").agg(*(F.min(F.col("s").bitwiseXOR(F.lit(k << 27))).alias(m) for k, m in enumerate(names)))
@@ -57,7 +50,7 @@ def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, **options)
     lines = _lines(docs).select("h", "line")
     table = written(_signatures(lines))
     released(table)
-    roots = linked(table, lines, BYTES, similarity=similarity, **options)
+    roots = linked(table, lines, CHARACTERS, similarity=similarity, **options)
     dropped(table)
     return roots
 

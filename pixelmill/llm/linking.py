@@ -3,11 +3,13 @@
 Candidates come as rows ``band, h, sketch``: texts (by their hash ``h``) of one band
 meet. In each of a few turns, a text is compared with one partner of another
 component: the text that comes first in its bucket, in another order each turn, in
-most of its bands. That links nearly all of a class at a cost that follows its size.
-Where a bucket still holds several components after that, all its texts of different
-components are compared if their sketches are alike, so no pair of a bucket is left
-out. Large buckets are dealt into blocks, and into pairs of blocks for the last
-comparison, so no bucket is one task.
+most of its bands. That links nearly all of a class at a cost that follows its size;
+sketches only choose the partners. Where a bucket still holds several components after
+that, all its texts of different components are compared, but for pairs that cannot be
+similar for certain: the numbers of their distinct shingles differ too much, or the
+parities of their shingles in 512 cells differ in more cells than two similar sets
+have shingles apart. No similar pair of a bucket is left out. Large buckets are dealt
+into blocks, and into pairs of blocks for the last comparison, so no bucket is one task.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpointed, dropped, released, written
+from .shared import checkpointed, dropped, released, shuffle_partitions, written
 
 SIMILARITY = 0.8
 #: Texts of a bucket that one block holds, about.
@@ -28,10 +30,14 @@ BLOCK = 512
 TURNS = 2
 #: One text in so many is counted to find the buckets that need several blocks.
 COUNTED = 16
-#: Of the sketch's rows that are filled, this share and so many more may differ between similar texts.
+#: Of the sketch's rows that are filled, this share and so many more may differ between partners of a turn.
 DIFFERS, MORE = 0.2, 2
+#: Words of 64 parities of a text's shingles.
+PARITIES = 8
 #: Hashes (8 bytes each) that are broadcast to fetch their texts or rows; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Shingle hashes (8 bytes each) of texts whose sets are broadcast to the pairs; more are joined by a shuffle.
+BROADCAST_SHINGLES = 2_000_000
 
 
 class Unit(NamedTuple):
@@ -64,27 +70,56 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, unit: Unit) -> DataFrame:
-    """Those of the distinct pairs ``u, v`` whose texts have the Jaccard similarity."""
-    wanted = _few(checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()))
+def _fetched(wanted: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
+    """``h, data, n`` of the texts of distinct hashes ``h``, as a written table; ``n`` counts units."""
     # the aggregate leaves one of equal texts; the table keeps the cutting out of the loop over places
-    found = texts.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")).select("h", unit.data(F.col("line")).alias("data"))
-    table = written(found.select("h", "data", unit.length(F.col("data")).alias("n")))
+    found = texts.join(_few(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")).select("h", unit.data(F.col("line")).alias("data"))
+    return written(found.select("h", "data", unit.length(F.col("data")).alias("n")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+
+
+def _parities(table: DataFrame, unit: Unit) -> DataFrame:
+    """``h, k, bits`` of a fetched table: the number of distinct shingles, and the parity of those in each cell."""
+    rows = table.select("h", F.explode(unit.shingles(F.col("data"))).alias("s"))
+    word, bit = F.col("s").bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))")
+    words = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(PARITIES)]
+    return rows.groupBy("h").agg(F.count("*").alias("k"), *words).select("h", "k", F.struct(*(f"b{w}" for w in range(PARITIES))).alias("bits"))
+
+
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether two texts can be similar by their parities: each cell that differs stands for a shingle of one of them only."""
+    ka, kb = F.col(f"{a}.k"), F.col(f"{b}.k")
+    apart = sum((F.bit_count(F.col(f"{a}.bits.b{w}").bitwiseXOR(F.col(f"{b}.bits.b{w}"))) for w in range(PARITIES)), F.lit(0))
+    near = (F.least(ka, kb) >= F.greatest(ka, kb) * F.lit(similarity) - 1e-9) & (apart <= (ka + kb) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
+    return F.coalesce(near, F.lit(True))
+
+
+def similar(pairs: DataFrame, table: DataFrame, similarity: float, unit: Unit) -> DataFrame:
+    """Those of the distinct pairs ``u, v`` of a fetched table's texts that have the Jaccard similarity."""
     # of texts with very different lengths, count the distinct shingles before sets are moved
     sized = pairs.join(table.select(F.col("h").alias("u"), F.col("n").alias("nu")), "u").join(table.select(F.col("h").alias("v"), F.col("n").alias("nv")), "v")
     odd = F.least("nu", "nv") < F.greatest("nu", "nv") * F.lit(similarity)
     sized = checkpointed(sized.select("u", "v", odd.alias("odd")))
-    counted = table.join(sized.where("odd").select(F.explode(F.array("u", "v")).alias("h")).distinct(), "h", "left_semi")
+    counted = table.join(_ends(sized.where("odd")), "h", "left_semi")
     counted = checkpointed(counted.select("h", F.size(unit.shingles(F.col("data"))).alias("k")))
     number = lambda c: counted.select(F.col("h").alias(c), F.col("k").alias(f"k{c}"))
     rest = sized.where("odd").join(number("u"), "u").join(number("v"), "v").where(F.least("ku", "kv") >= F.greatest("ku", "kv") * F.lit(similarity) - 1e-9)
     pairs = checkpointed(sized.where("not odd").select("u", "v").unionByName(rest.select("u", "v")))
-    sets = lambda name: table.join(pairs.select(F.col(name).alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias(name), unit.shingles(F.col("data")).alias(f"s{name}"))
-    both = pairs.join(sets("u"), "u").join(sets("v"), "v")
+    own = table.join(_ends(pairs), "h", "left_semi")
+    few = (own.agg(F.sum("n").alias("n")).first()["n"] or 0) <= BROADCAST_SHINGLES
+    if few:  # pairs of a large bucket share their texts, so sets are sent to pairs once
+        sets = checkpointed(own.select("h", unit.shingles(F.col("data")).alias("s")))
+        side = lambda name: F.broadcast(sets.select(F.col("h").alias(name), F.col("s").alias(f"s{name}")))
+        pairs = pairs.repartition(shuffle_partitions(pairs.sparkSession), "u", "v")
+    else:
+        side = lambda name: table.join(pairs.select(F.col(name).alias("h")).distinct(), "h", "left_semi").select(F.col("h").alias(name), unit.shingles(F.col("data")).alias(f"s{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("su", "sv"))
     # common / (su + sv - common) >= similarity
     links = checkpointed(both.where(common * (1 + similarity) >= (F.size("su") + F.size("sv")) * F.lit(similarity) - 1e-9).select("u", "v"))
-    dropped(table)
     released(links)
     return links
 
@@ -117,16 +152,23 @@ def _met(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy("u").agg(F.max_by("v", "count").alias("v"))
 
 
-def _across(named: DataFrame, block: int) -> DataFrame:
-    """Distinct pairs ``u, v`` of all texts of a bucket that lie in different components, sketches alike."""
+def _several(named: DataFrame, block: int) -> DataFrame:
+    """``band, h, sketch, root, blocks, own`` of the buckets of several components, over all their blocks."""
     split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
     split = _few(checkpointed(split.select("band", F.ceil(F.col("n") / block).alias("blocks"))))
-    rest = named.join(split, "band").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    return named.join(split, "band").select("band", "h", "sketch", "root", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("own"))
+
+
+def _across(rest: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``u, v`` of all texts of a bucket that lie in different components, but those that cannot be similar."""
+    rest = checkpointed(rest.join(parities, "h", "left"))
+    # texts without a sketch are compared in any case
+    known = [F.when(F.col("sketch") != 0, F.col(c)).alias(c) for c in ("k", "bits")]
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     # a pair meets where its first text's block crosses its second text's
-    left = rest.select("band", F.col("own").alias("i"), others.alias("j"), F.struct("h", "sketch", "root").alias("a"))
-    right = rest.select("band", others.alias("i"), F.col("own").alias("j"), F.struct("h", "sketch", "root").alias("b"))
-    pairs = left.join(right.hint("merge"), ["band", "i", "j"]).where((F.col("a.root") < F.col("b.root")) & _alike(F.col("a.sketch"), F.col("b.sketch")))
+    left = rest.select("band", F.col("own").alias("i"), others.alias("j"), F.struct("h", "root", *known).alias("a"))
+    right = rest.select("band", others.alias("i"), F.col("own").alias("j"), F.struct("h", "root", *known).alias("b"))
+    pairs = left.join(right.hint("merge"), ["band", "i", "j"]).where((F.col("a.root") < F.col("b.root")) & _possible("a", "b", similarity))
     return pairs.select(F.greatest("a.h", "b.h").alias("u"), F.least("a.h", "b.h").alias("v")).distinct()
 
 
@@ -138,16 +180,25 @@ def linked(bands: DataFrame, texts: DataFrame, unit: Unit, *, similarity: float
         met = checkpointed(_met(rows, turn))
         if roots is not None and not met.limit(1).count():
             break
-        new = similar(met, texts, similarity, unit)
+        table = _fetched(checkpointed(_ends(met)), texts, unit)
+        new = similar(met, table, similarity, unit)
+        dropped(table)
         met = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         tried = met if tried is None else tried.unionByName(met)
         if roots is None or new.limit(1).count():
             roots = components(new if roots is None else roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(new))
             rows = checkpointed(_open(rows.drop("root"), roots))
         released(rows)
-    across = checkpointed(_across(rows, block).join(tried, ["u", "v"], "left_anti"))
-    released(across)
-    if not across.limit(1).count():
+    rest = checkpointed(_several(rows, block))
+    if not rest.limit(1).count():
         return roots
-    more = similar(across, texts, similarity, unit)
-    return components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more)) if more.limit(1).count() else roots
+    table = _fetched(checkpointed(rest.select("h").distinct()), texts, unit)
+    sketched = table.join(rest.where("sketch <> 0").select("h").distinct(), "h", "left_semi")
+    across = checkpointed(_across(rest, _parities(sketched, unit), similarity).join(tried, ["u", "v"], "left_anti"))
+    released(across)
+    if across.limit(1).count():
+        more = similar(across, table, similarity, unit)
+        if more.limit(1).count():
+            roots = components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more))
+    dropped(table)
+    return roots
