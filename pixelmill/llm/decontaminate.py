@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
-Texts become templates: words lose outer punctuation, then numbers, capitalised words
-and units turn into typed placeholders and other words lose case. Every window of
+Texts become templates: words lose outer punctuation, a number and the unit attached to
+it become two words, then units, numbers in digits or words, and words with a capital
+(but ``A`` and ``I``) turn into typed placeholders and other words lose case. Every window of
 ``window`` tokens of a document is looked up among those of the benchmark by a hash
 join. Matches on one diagonal (document place minus item place) fill the placeholders
 with values; where a value of the item stands for several of the document, or the
@@ -18,19 +19,25 @@ from pyspark.sql import functions as F
 WINDOW, COVERAGE = 8, 0.5
 #: Keys of benchmark windows (8 bytes each) up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
+NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion"]
 UNITS = ["km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "litres", "liters", "l", "ml", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "years", "year", "dollars", "dollar", "euros", "euro", "cents", "percent", "degrees", "meters", "metres"]
 
 
+_ATTACHED = rf"([0-9](?:[0-9.,:/]*[0-9])?)((?i:{'|'.join(UNITS)}))"
+
+
 def _bare(text: Column) -> Column:
     """The words without outer punctuation, each between single spaces; what is punctuation alone goes."""
     outer = r"(?<=\s)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s)"
-    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), outer, "")
+    bare = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), outer, "")
+    return F.regexp_replace(bare, rf"(?<=\s){_ATTACHED}(?=\s)", "$1 $2")
 
 
 def _template(bare: Column) -> Column:
     """The same words with placeholders, in lower case."""
     units = F.regexp_replace(bare, rf"\s(?i:{'|'.join(UNITS)})(?=\s)", " <unit>")
-    names = F.regexp_replace(units, r"\s\p{Lu}\p{Ll}\S*", " <name>")
+    words = F.regexp_replace(units, rf"\s(?i:{'|'.join(NUMBERS)})(?=\s)", " <num>")
+    names = F.regexp_replace(words, r"\s(?!(?:A|I)\s)\p{Lu}(?:\p{L}\S*)?(?=\s)", " <name>")
     return F.lower(F.regexp_replace(names, r"\s[0-9][0-9.,:/]*(?=\s)", " <num>"))
 
 
@@ -38,15 +45,35 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
 
 
-def _windows(df: DataFrame, id_name: str, window: int) -> DataFrame:
-    """``id, n, at, key, raw, form`` for each window; ``at`` counts from 0, raw and form are whole texts."""
+def _formed(df: DataFrame, id_name: str, window: int) -> DataFrame:
+    """``id, n, raw, form`` of each text of at least ``window`` words."""
     bare = df.where("text is not null").select(id_name, _bare(F.col("text")).alias("bare"))
     rows = bare.select(id_name, _words(F.col("bare")).alias("raw"), _words(_template(F.col("bare"))).alias("form"))
-    rows = rows.withColumn("n", F.size("form")).where(F.col("n") >= window)
+    return rows.withColumn("n", F.size("form")).where(F.col("n") >= window)
+
+
+def _windows(df: DataFrame, id_name: str, window: int) -> DataFrame:
+    """``id, n, at, key, raw, form`` for each window; ``at`` counts from 0, raw and form are whole texts."""
+    rows = _formed(df, id_name, window)
     rows = rows.select(id_name, "raw", "form", "n", F.explode(F.sequence(F.lit(1), F.col("n") - (window - 1))).alias("i"))
     return rows.select(id_name, "n", (F.col("i") - 1).alias("at"), F.xxhash64(F.slice("form", F.col("i"), window)).alias("key"), "raw", "form")
 
 
+def _met(docs: DataFrame, keys: DataFrame, window: int) -> DataFrame:
+    """``doc_id, at, key, raw, form`` of the windows of ``doc_id, text`` whose key is among the distinct keys, cut out of their texts."""
+    if keys.count() <= BROADCAST_KEYS:
+        # most windows end here, before anything is cut out of their texts
+        met = _windows(docs, "doc_id", window).join(F.broadcast(keys), "key", "left_semi")
+    else:
+        # keys meet windows without their texts, which are fetched once for each text that has a match
+        named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("own")).alias("name"), "text")
+        found = _windows(named, "name", window).select("key", "name.own", "at").join(keys, "key", "left_semi")
+        places = found.groupBy("own").agg(F.collect_set(F.struct("at", "key")).alias("places"))
+        texts = _formed(named, "name", window).select(F.col("name.doc_id").alias("doc_id"), F.col("name.own").alias("own"), "n", "raw", "form")
+        met = texts.join(places, "own").select("doc_id", "n", "raw", "form", F.explode("places").alias("place")).select("doc_id", "n", "place.at", "place.key", "raw", "form")
+    return _cut(met, window)
+
+
 def _cut(df: DataFrame, window: int) -> DataFrame:
     return df.withColumns({c: F.slice(c, F.col("at") + 1, window) for c in ("raw", "form")})
 
@@ -63,10 +90,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     items = _cut(_windows(benchmark.select(get(item_col).alias("item_id"), get(item_text_col).alias("text")), "item_id", window), window)
     items = items.select("item_id", F.col("n").alias("item_n"), F.col("at").alias("item_at"), "key", F.col("raw").alias("item_raw"), F.col("form").alias("item_form"))
     keys = items.select("key").distinct()
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    # most windows end here, before anything is cut out of their texts
-    met = _cut(_windows(docs.select(get(id_col).alias("doc_id"), get(text_col).alias("text")), "doc_id", window).join(keys, "key", "left_semi"), window)
+    met = _met(docs.select(get(id_col).alias("doc_id"), get(text_col).alias("text")), keys, window)
     found = met.join(items, "key").where(F.col("form") == F.col("item_form"))
     place = F.sequence(F.col("item_at"), F.col("item_at") + (window - 1))
     slots = F.transform(
@@ -95,9 +119,11 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     return leaked_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-_RAW = r"list_filter(list_transform(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: t <> '')"
+_BARE = r"list_filter(list_transform(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: t <> '')"
+_RAW = rf"list_filter(string_split(array_to_string(list_transform({_BARE}, lambda t: regexp_replace(t, '^{_ATTACHED}$', '\1 \2')), ' '), ' '), lambda t: t <> '')"
 _FORM = rf"""list_transform(raw, lambda t: CASE WHEN lower(t) IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '<unit>'
-  WHEN regexp_matches(t, '^\p{{Lu}}\p{{Ll}}') THEN '<name>' WHEN regexp_matches(t, '^[0-9][0-9.,:/]*$') THEN '<num>' ELSE lower(t) END)"""
+  WHEN lower(t) IN ({", ".join(f"'{u}'" for u in NUMBERS)}) THEN '<num>'
+  WHEN regexp_matches(t, '^\p{{Lu}}(\p{{L}}.*)?$') AND t NOT IN ('A', 'I') THEN '<name>' WHEN regexp_matches(t, '^[0-9][0-9.,:/]*$') THEN '<num>' ELSE lower(t) END)"""
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, raw, {_FORM} AS form FROM (SELECT doc_id, {_RAW} AS raw FROM documents) WHERE len(raw) >= {WINDOW}),
 b AS (SELECT item_id, raw, {_FORM} AS form FROM (SELECT item_id, {_RAW} AS raw FROM benchmark) WHERE len(raw) >= {WINDOW}),

@@ -387,6 +387,22 @@ def test_decontamination_at_every_alignment(spark):
     assert found == {(10 * k + n, n): c for k in range(8) for n, c in ((1, 1.0), (2, 0.9))}
 
 
+def test_decontaminate_typed_words_and_keys_beyond_the_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    item = "Anna walked 30km with two dogs and then X counted 12 birds near the old NASA tower before lunch"
+    same = "Bert walked 45 miles with seven dogs and then Y counted twenty birds near the old ESA tower before lunch"
+    clean = "a quiet text about rivers and stones that has nothing to do with any question of the list at all"
+    rows = [(1, same), (2, clean), (3, item), (3, item), (4, None), (None, item), (5, "I " * 40), (6, clean + " " + same)]
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
+    clash = _docs(spark, rows).withColumns({c: F.lit(1) for c in ("key", "raw", "form", "slots")})
+    found = [sorted((str(r.doc_id), r.item_id, r.covered, r.coverage) for r in decontaminate.leaked_items(clash, bench).collect())]
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
+    found.append(sorted((str(r.doc_id), r.item_id, r.covered, r.coverage) for r in decontaminate.leaked_items(clash, bench).collect()))
+    assert found[0] == found[1] and {(d, i) for d, i, *_ in found[0]} == {("1", 1), ("3", 1), ("6", 1), ("None", 1)}
+    assert all(c == 1.0 for *_, c in found[0])
+
+
 def _shingles(line: str) -> frozenset:
     b = line.encode()
     return frozenset(b[i : i + line_dedup.SHINGLE] for i in range(max(1, len(b) - line_dedup.SHINGLE + 1)))
