@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import palette as K
 from ..operators import state as S
 from ..operators import stats as A
-from ..sources import chunks, versioned
+from ..sources import chunks, files, versioned
 from ..sources.folders import new_folder, settled
 from ..streaming import streams as ST
 from .catalogue import _DONE, _KPI, _NAMED, _STATE, _USED, ORACLE_SQL, QUERIES, _half, _median_cut_sql, _pngs, _texts, query
@@ -73,8 +73,10 @@ def _st1_stream(spark, sf_dir: str) -> DataFrame:
     """Two runs with one checkpoint: the second sees only new files, and none whose content the first has taken."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "ingest")
     for k in range(2):
-        files_of(_texts(docs.where(F.col("doc_id") % 2 == k)), folder, "in")
-        ST.ingest_to(spark, f"{folder}/in", f"{folder}/table", f"{folder}/checkpoint")
+        part = docs.where(F.col("doc_id") % 2 == k)
+        files_of(_texts(part), folder, "in", part.count())
+        with files.small_files(spark):
+            ST.ingest_to(spark, f"{folder}/in", f"{folder}/table", f"{folder}/checkpoint")
     found = spark.read.schema("path string, modificationTime timestamp, length long, hash string").parquet(f"{folder}/table")
     return settled(found.select("hash", "length"), folder)
 
@@ -175,7 +177,7 @@ def _j6_large(t, spark):
 
 def _chunk_files(spark, sf_dir: str) -> str:
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), new_folder(spark, "png")
-    files_of(_pngs(docs).select(F.concat(F.lit("i"), "image_id", F.lit(".png")).alias("name"), "content"), folder)
+    files_of(_pngs(docs).select(F.concat(F.lit("i"), "image_id", F.lit(".png")).alias("name"), "content"), folder, number=docs.count())
     return folder
 
 

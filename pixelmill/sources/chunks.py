@@ -26,7 +26,7 @@ from .files import METADATA_CHUNKS
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Files of a task.
-FILES = 256
+FILES = 1024
 ROWS = 4096
 
 

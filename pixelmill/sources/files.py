@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,27 @@ from ..operators.joins import resolve_blob
 METADATA_CHUNKS = ["eXIf", "iCCP", "gAMA", "cHRM", "sRGB", "pHYs", "tEXt", "zTXt", "iTXt", "tIME"]
 
 
+#: Bytes that opening a small file counts for when files are dealt into tasks.
+OPEN_COST = 1 << 16
+
+
 def image_glob() -> str:
     """A pattern of the accepted extensions in any case."""
     return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ACCEPTED_EXTENSIONS) + "}"
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Reads of very many small files, while plans are made and run: a task takes some two thousand, not 32."""
+    name = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
     """One row per accepted image file, with its content and hash."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", image_glob()).load(path)

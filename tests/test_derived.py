@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import stats as A
 from pixelmill.plans import derived
+from pixelmill.sources import files
 
 
 @pytest.mark.parametrize(("name", "base", "key", "kind", "shift"), [("pixels", "part", "p_partkey", "long", 0), ("pixels_big", "supplier", "s_suppkey", "long", 1_000_000_000)])
@@ -29,3 +30,18 @@ def test_grids_are_dealt_by_cells_and_images(spark, tmp_path, monkeypatch):
     assert pixels.rdd.getNumPartitions() == -(-300 * 1024 // (1 << 15))
     plan = A.color_histogram(pixels)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # of the keys
+
+
+def test_files_are_dealt_into_tasks_and_folders(spark, tmp_path, monkeypatch):
+    """One partition of rows is written by several tasks, each into its own folder, and read back whole in few tasks."""
+    monkeypatch.setattr(derived, "TASK_FILES", 10)
+    rows = spark.range(100).coalesce(1).select(F.concat(F.lit("f"), "id", F.lit(".png")).alias("name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    derived.files_of(rows, f"file://{tmp_path}/all", "in", 100)
+    found = [p for p in (tmp_path / "all" / "in").iterdir() if p.is_dir()]
+    assert len(found) > 5 and max(len(list(p.iterdir())) for p in found) < 40
+    was = spark.conf.get("spark.sql.files.openCostInBytes")
+    with files.small_files(spark):
+        scanned = files.scan_catalog(spark, f"{tmp_path}/all")
+        assert scanned.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+        assert {(r.name, bytes(r.content)) for r in scanned.collect()} == {(f"f{k}.png", str(k).encode()) for k in range(100)}
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == was
