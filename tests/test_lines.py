@@ -72,6 +72,15 @@ def test_pack_and_unpack(spark):
     assert sorted(r.x for r in L.unpack(L.pack(sparse)).collect()) == [0, 1, 5, 8]
 
 
+def test_pixels_of_a_line_are_one_run_wherever_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(L, "PIECE", 50)
+    monkeypatch.setattr(L, "PIECES", 3)
+    grids = _some(8, (7, 9), (120, 3))
+    runs = L.pack(_image(spark, grids, 5).repartition(6)).collect()
+    assert sorted((r.image_id, r.y, r.x0, len(r.data) // 4) for r in runs) == sorted([(0, y, 0, 7) for y in range(9)] + [(1, y, x, min(50, 120 - x)) for y in range(3) for x in (0, 50, 100)])
+    assert all(bytes(r.data) == grids[r.image_id][r.y, r.x0 : r.x0 + len(r.data) // 4].astype(np.uint8).tobytes() for r in runs)
+
+
 @pytest.mark.parametrize(("amount", "radius"), [(0.0, 3), (0.5, 0), (0.5, 2), (0.0, 50)])
 def test_filters_across_bands(spark, monkeypatch, amount, radius):
     monkeypatch.setattr(L, "BAND", 5)
