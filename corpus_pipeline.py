@@ -22,6 +22,8 @@ from pixelmill.llm.simhash import near_copies as similar_texts
 LEAST_SHARE = 0.5
 #: Words whose ids a worker keeps: few, as the same workers run the other stages.
 REMEMBER = 200_000
+#: Bytes of text whose languages a worker infers at a time: few, for the same reason.
+BLOCK = 1 << 18
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first language has less than half of the words. Where no row is labelled,
     only the first rule holds.
     """
-    found = identify(docs, docs, keep_rows=True)
+    found = identify(docs, docs, keep_rows=True, block=BLOCK)
     clear = (F.col("lang_pred") == "und") | (F.col("score") >= LEAST_SHARE)
     return found.where(F.col("doc.text").rlike(r"\p{L}") & clear).select("doc.*")
 

@@ -196,6 +196,14 @@ def _language_rows(seed: int):
     return rows
 
 
+def test_languages_do_not_depend_on_the_block(spark):
+    texts = [("the cat sat on the mat and the dog ran home", "en"), ("der hund lief nach hause und die katze schlief", "de")]
+    docs = spark.createDataFrame([(k, (texts[k % 2][0] + " ") * (1 + k % 7), texts[k % 2][1]) for k in range(40)], "doc_id long, text string, lang string").coalesce(1)
+    whole, parts = ({r.doc_id: r for r in language_id.identify(docs, docs, block=b).collect()} for b in (1 << 20, 100))
+    assert len(whole) == 40 and {k: r.lang_pred for k, r in whole.items()} == {k: r.lang_pred for k, r in parts.items()}
+    assert all(abs(whole[k].score - parts[k].score) < 1e-9 for k in whole)
+
+
 def test_language_id_held_out(spark):
     rows = [*_language_rows(1), (100, None, "aa"), (101, "", None), (102, "123 !!", "aa"), (103, "thetion thetion ofing schenung einder ungung " * 8, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
