@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.operators import stats as A
-from pixelmill.plans import derived
+from pixelmill.plans import catalogue, derived
 from pixelmill.sources import files
 
 
@@ -45,3 +45,15 @@ def test_files_are_dealt_into_tasks_and_folders(spark, tmp_path, monkeypatch):
         assert scanned.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
         assert {(r.name, bytes(r.content)) for r in scanned.collect()} == {(f"f{k}.png", str(k).encode()) for k in range(100)}
     assert spark.conf.get("spark.sql.files.openCostInBytes") == was
+
+
+def test_rasters_are_packed_from_numbers(spark):
+    """Lines of different widths and colours with leading zeros, in no order; what is sorted for each pixel is one number."""
+    rows = [(i, w, h, x, y, (x * 7 + i) % 256, y % 256, 255 * (x % 2), 0 if x == 0 else 9) for i, w, h in ((1, 300, 3), (2, 1, 1), (3, 2, 70)) for x in range(w) for y in range(h)]
+    pixels = spark.createDataFrame(rows, "image_id long, width int, height int, x int, y int, r int, g int, b int, a int")
+    packed = catalogue._packed(pixels.orderBy(F.xxhash64("x", "y")))
+    found = {p.image_id: bytes(p.data) for p in packed.collect()}
+    for i in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == i), key=lambda r: (r[4], r[3]))
+        assert found[i] == bytes(v for r in own for v in r[5:])
+    assert "struct" not in packed._jdf.queryExecution().optimizedPlan().toString()
