@@ -5,10 +5,11 @@ meet. In each of a few turns, a text is compared with one partner of another
 component: the text that comes first in its bucket, in another order each turn, in
 most of its bands. That links nearly all of a class at a cost that follows its size;
 sketches only choose the partners. Where a bucket still holds several components after
-that, all its texts of different components are compared, but for pairs that cannot be
+that, crowded ones have further turns, which leave fewer components, and then all
+texts of different components are compared, but for pairs that cannot be
 similar for certain: the numbers of their distinct shingles differ too much, or the
-parities of their shingles in 512 cells differ in more cells than two similar sets
-have shingles apart. No similar pair of a bucket is left out. Large buckets are dealt
+parities of their shingles in 512 cells (2048 in crowded buckets) differ in more cells than
+two similar sets have shingles apart. No similar pair of a bucket is left out. Large buckets are dealt
 into blocks, and into pairs of blocks for the last comparison, so no bucket is one task.
 """
 
@@ -28,12 +29,16 @@ SIMILARITY = 0.8
 BLOCK = 512
 #: Turns in which each text meets one partner.
 TURNS = 2
+#: Texts of a bucket that is crowded, and the turns that its texts have at most.
+CROWDED, CROWDED_TURNS = 64, 5
+#: Further turns end once fewer than this share of their pairs are similar.
+WORTH = 0.05
 #: One text in so many is counted to find the buckets that need several blocks.
 COUNTED = 16
 #: Of the sketch's rows that are filled, this share and so many more may differ between partners of a turn.
 DIFFERS, MORE = 0.2, 2
-#: Words of 64 parities of a text's shingles.
-PARITIES = 8
+#: Words of 64 parities of a text's shingles, and of a text in a crowded bucket.
+PARITIES, FINE = 8, 32
 #: Hashes (8 bytes each) that are broadcast to fetch their texts or rows; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Shingle hashes (8 bytes each) of texts whose sets are broadcast to the pairs; more are joined by a shuffle.
@@ -82,19 +87,26 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _parities(table: DataFrame, unit: Unit) -> DataFrame:
-    """``h, k, bits`` of a fetched table: the number of distinct shingles, and the parity of those in each cell."""
-    rows = table.select("h", F.explode(unit.shingles(F.col("data"))).alias("s"))
-    word, bit = F.col("s").bitwiseAND(PARITIES - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))")
-    words = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(PARITIES)]
-    return rows.groupBy("h").agg(F.count("*").alias("k"), *words).select("h", "k", F.struct(*(f"b{w}" for w in range(PARITIES))).alias("bits"))
+    """``h, k, bits, fine`` of a fetched table: the number of distinct shingles, and the parity of those in each cell, by two numbers of cells."""
+    rows = table.select("h", F.explode(unit.shingles(F.col("data"))).alias("s")).repartition(shuffle_partitions(table.sparkSession), "h")
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))")
+    words = rows.select("h", F.col("s").bitwiseAND(FINE - 1).cast("int").alias("w"), bit.alias("b")).groupBy("h", "w").agg(F.count("*").alias("n"), F.bit_xor("b").alias("b"))
+    # a coarse word is what fine ones with the same last bits add up to
+    bits = [F.bit_xor(F.when(F.col("w").bitwiseAND(PARITIES - 1) == w, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(PARITIES)]
+    found = words.groupBy("h").agg(F.sum("n").alias("k"), *bits, F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+    return found.select("h", "k", F.struct(*(f"b{w}" for w in range(PARITIES))).alias("bits"), fine.alias("fine"))
 
 
 def _possible(a: str, b: str, similarity: float) -> Column:
     """Whether two texts can be similar by their parities: each cell that differs stands for a shingle of one of them only."""
     ka, kb = F.col(f"{a}.k"), F.col(f"{b}.k")
     apart = sum((F.bit_count(F.col(f"{a}.bits.b{w}").bitwiseXOR(F.col(f"{b}.bits.b{w}"))) for w in range(PARITIES)), F.lit(0))
-    near = (F.least(ka, kb) >= F.greatest(ka, kb) * F.lit(similarity) - 1e-9) & (apart <= (ka + kb) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
-    return F.coalesce(near, F.lit(True))
+    most = (ka + kb) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9
+    fine = F.zip_with(F.col(f"{a}.fine"), F.col(f"{b}.fine"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    fine = F.coalesce(F.aggregate(fine, F.lit(0), lambda x, y: x + y) <= most, F.lit(True))
+    near = (F.least(ka, kb) >= F.greatest(ka, kb) * F.lit(similarity) - 1e-9) & (apart <= most)
+    return F.coalesce(near, F.lit(True)) & fine
 
 
 def similar(pairs: DataFrame, table: DataFrame, similarity: float, unit: Unit) -> DataFrame:
@@ -152,18 +164,30 @@ def _met(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy("u").agg(F.max_by("v", "count").alias("v"))
 
 
+def _neighbours(rows: DataFrame, turn: int) -> DataFrame:
+    """One pair ``u, v`` for each text and the likest, by sketch, of those before it in its buckets, by an order of sketches that starts elsewhere in each."""
+    bits = F.expr(f"cast(8 * pmod(band + {turn}, 8) as int)")
+    order = F.call_function("shiftleft", "sketch", bits).bitwiseOR(F.call_function("shiftrightunsigned", "sketch", F.lit(64) - bits))
+    before = F.lag(F.struct("h", "sketch", "root")).over(Window.partitionBy("band", "salt").orderBy("o", "h"))
+    pairs = rows.withColumn("o", order).select("h", "sketch", "root", before.alias("p")).where("root <> p.root")
+    apart = F.bit_count(F.col("sketch").bitwiseXOR(F.col("p.sketch")))
+    return pairs.groupBy(F.col("h").alias("u")).agg(F.min_by("p.h", F.struct(apart, "p.h")).alias("v"))
+
+
 def _several(named: DataFrame, block: int) -> DataFrame:
-    """``band, h, sketch, root, blocks, own`` of the buckets of several components, over all their blocks."""
+    """``band, h, sketch, root, crowded, blocks, own`` of the buckets of several components, over all their blocks."""
     split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    split = _few(checkpointed(split.select("band", F.ceil(F.col("n") / block).alias("blocks"))))
-    return named.join(split, "band").select("band", "h", "sketch", "root", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("own"))
+    split = _few(checkpointed(split.select("band", F.ceil(F.col("n") / block).alias("blocks"), (F.col("n") >= CROWDED).alias("crowded"))))
+    return named.join(split, "band").select("band", "h", "sketch", "root", "crowded", "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).alias("own"))
 
 
 def _across(rest: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs ``u, v`` of all texts of a bucket that lie in different components, but those that cannot be similar."""
-    rest = checkpointed(rest.join(parities, "h", "left"))
     # texts without a sketch are compared in any case
     known = [F.when(F.col("sketch") != 0, F.col(c)).alias(c) for c in ("k", "bits")]
+    known.append(F.when((F.col("sketch") != 0) & F.col("crowded"), F.col("fine")).alias("fine"))
+    rest = checkpointed(rest.join(parities, "h", "left").select("band", "h", "root", "blocks", "own", *known))
+    known = ["k", "bits", "fine"]
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     # a pair meets where its first text's block crosses its second text's
     left = rest.select("band", F.col("own").alias("i"), others.alias("j"), F.struct("h", "root", *known).alias("a"))
@@ -172,23 +196,42 @@ def _across(rest: DataFrame, parities: DataFrame, similarity: float) -> DataFram
     return pairs.select(F.greatest("a.h", "b.h").alias("u"), F.least("a.h", "b.h").alias("v")).distinct()
 
 
+def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``v, root`` of the components after new links ``u, v``: only the components' roots are linked anew."""
+    if roots is None:
+        return components(new)
+    name = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))
+    ends = new.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    top = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")))
+    moved = roots.join(top.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
+    return checkpointed(moved.unionByName(top))
+
+
 def linked(bands: DataFrame, texts: DataFrame, unit: Unit, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``v, root`` for each hash of ``texts`` (``h, line``) that is similar to another of its buckets, but the roots."""
     rows = checkpointed(_open(checkpointed(_dealt(bands, block)), None))
     roots, tried = None, None
-    for turn in range(TURNS):
-        met = checkpointed(_met(rows, turn))
-        if roots is not None and not met.limit(1).count():
+    for turn in range(CROWDED_TURNS):
+        some = rows
+        if turn >= TURNS:
+            # other blocks each turn, so that a block's first texts are others too
+            some = checkpointed(_several(rows, block).where("crowded").withColumn("salt", F.pmod(F.xxhash64("h", F.lit(turn)), F.col("blocks"))))
+        met = checkpointed(_met(some, turn) if turn < TURNS else _neighbours(some, turn))
+        asked = met.count() if roots is not None else 1
+        if not asked:
             break
         table = _fetched(checkpointed(_ends(met)), texts, unit)
         new = similar(met, table, similarity, unit)
         dropped(table)
         met = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         tried = met if tried is None else tried.unionByName(met)
-        if roots is None or new.limit(1).count():
-            roots = components(new if roots is None else roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(new))
+        found = new.count() if roots is not None else 1
+        if found:
+            roots = _merged(roots, new)
             rows = checkpointed(_open(rows.drop("root"), roots))
         released(rows)
+        if turn >= TURNS and found < asked * WORTH:
+            break
     rest = checkpointed(_several(rows, block))
     if not rest.limit(1).count():
         return roots
@@ -199,6 +242,6 @@ def linked(bands: DataFrame, texts: DataFrame, unit: Unit, *, similarity: float
     if across.limit(1).count():
         more = similar(across, table, similarity, unit)
         if more.limit(1).count():
-            roots = components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more))
+            roots = _merged(roots, more)
     dropped(table)
     return roots

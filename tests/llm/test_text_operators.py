@@ -495,6 +495,38 @@ def test_line_classes_of_one_bucket_with_many_classes(spark, monkeypatch, option
     assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == 20
 
 
+def test_line_pairs_of_a_crowded_bucket_are_ruled_out(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(807)]
+
+    def changed(line, places):
+        return [("ABCDEFGHIJKLMNOPQRSTUVWXYZ"[rng.randrange(26)] if i in places else c) for i, c in enumerate(line)]
+
+    # lines of which few are similar (0.75 mostly), and for ten of them one that is
+    lines = [changed(base, set(rng.sample(range(0, 800, 9), 7))) for _ in range(80)]
+    likes = [changed(x, {4 + 9 * n}) for n, x in enumerate(lines[:10])]
+    texts = ["".join(x) for x in lines + likes]
+    sets = [_shingles(t) for t in texts]
+    like = {(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(like) >= 10
+    compared, before = [], linking.similar
+
+    def similar(pairs, *rest):
+        compared.append(pairs.count())
+        return before(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_signatures", lambda t, *_: t.select("h").distinct().selectExpr("1L band", "h", "h sketch"))
+    monkeypatch.setattr(linking, "similar", similar)
+    roots = {r.v: r.root for r in line_dedup.line_classes(_docs(spark, list(enumerate(texts)))).collect()}
+    hashes = [r.h for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").selectExpr("xxhash64(t) h").collect()]
+    root = [roots.get(h, h) for h in hashes]
+    own = list(range(90))
+    for i, j in like:
+        own = [own[j] if x == own[i] else x for x in own]
+    assert len(set(zip(own, root, strict=True))) == len(set(own)) == len(set(root))
+    assert sum(compared) < 90 * 89 / 2 / 4  # all pairs are 4005
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     labelled = spark.createDataFrame([], "doc_id long, text string, lang string")
