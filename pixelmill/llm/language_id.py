@@ -50,8 +50,8 @@ def _cells(raw: np.ndarray) -> np.ndarray:
     return ((code * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - 17)
 
 
-def _lowered(batch: pa.RecordBatch, at: int, end: int) -> list[str]:
-    return [(t or "").lower() for t in batch.column("text").slice(at, end - at).to_pylist()]
+def _lowered(texts: pa.Array, at: int, end: int) -> list[str]:
+    return [(t or "").lower() for t in texts.slice(at, end - at).to_pylist()]
 
 
 def trigram_counts(labelled: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for at, end in textarrays.slices(batch.column("text"), BLOCK):
-                texts = _lowered(batch, at, end)
+                texts = _lowered(batch.column("text"), at, end)
                 for lang in set(langs[at:end]):
                     raw = " ".join(t for t, own in zip(texts, langs[at:end], strict=True) if own == lang).encode()
                     for i in range(0, len(raw), BLOCK):
@@ -187,8 +187,9 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
         for batch in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
             rest = [batch.column("doc")] if keep_rows else []
-            for at, end in textarrays.slices(batch.column("text"), block):
-                texts = _lowered(batch, at, end)
+            whole = batch.column("doc").field(text_col) if keep_rows else batch.column("text")
+            for at, end in textarrays.slices(whole, block):
+                texts = _lowered(whole, at, end)
                 encoded = [t.encode() for t in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
                 found = mixtures(np.frombuffer(b"".join(encoded), np.uint8), offsets, model) if langs else np.zeros((len(texts), 0))
@@ -200,12 +201,12 @@ def identify(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", te
                     rows[3].append([{"lang": langs[i], "share": float(share[i])} for i in order])
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, kinds, strict=True)), *rest], ["doc_id", "lang_pred", "score", "languages", *["doc"] * keep_rows])
+        pa.default_memory_pool().release_unused()  # the worker stays, and other stages need the memory
 
     schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
     texts = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")]
-    if keep_rows:
-        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-        schema, texts = schema.add("doc", docs.schema), [*texts, whole]
+    if keep_rows:  # the text is in the row, and goes to the workers once
+        schema, texts = schema.add("doc", docs.schema), [texts[0], F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")]
     return docs.select(*texts).mapInArrow(run, schema)
 
 

@@ -147,6 +147,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
                             column.append(x)
                         start, length, number = start + length, capacity, number + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names)
+        encode.ids.clear()  # the worker stays, and has other work next
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, PIECE + ", ids binary" * ids)
 

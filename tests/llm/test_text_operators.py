@@ -495,6 +495,24 @@ def test_line_classes_of_one_bucket_with_many_classes(spark, monkeypatch, option
     assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == 20
 
 
+def test_workers_get_a_text_once_and_keep_no_words(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    found = language_id.identify(docs, docs, keep_rows=True)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    sent = next(x for x in plan.split("\n")[1:] if "Project" in x)
+    assert sent.count("text#") == 1 and {r.doc.text for r in found.collect()} == {r.text for r in docs.collect()}
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    assert packing.pieces(docs.select("doc_id", "text"), path, remember=1000).count() == 40
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(packing._words(path, 1000).ids) if packing._words.cache_info().currsize else 0], pa.int64())})
+
+    assert all(r.n == 0 for r in docs.select("doc_id").mapInArrow(kept, "n long").collect())
+
+
 def test_line_pairs_of_a_crowded_bucket_are_ruled_out(spark, monkeypatch):
     rng = random.Random(5)
     base = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(807)]
