@@ -8,12 +8,14 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.scalars import ACCEPTED_EXTENSIONS, extension, output_name
 from ..operators.joins import resolve_blob
+from .folders import cut, matching
 
 # Chunks that carry metadata.
 METADATA_CHUNKS = ["eXIf", "iCCP", "gAMA", "cHRM", "sRGB", "pHYs", "tEXt", "zTXt", "iTXt", "tIME"]
@@ -40,9 +42,99 @@ def small_files(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
+#: Columns of a listing of files.
+LISTED = "path string, modificationTime timestamp, length long"
+#: Files and bytes of a task that reads files, folders of a task that lists them, and rows and bytes of a batch, at most or nearly.
+READ_FILES, READ_BYTES, LIST_FOLDERS = 2048, 1 << 27, 16
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of an address, the address's path there, and what stands before paths of that file system."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"), "file:"
+    store, own = fs.FileSystem.from_uri(path)
+    return store, own, path[: path.index("://") + 3] + path.split("://", 1)[1].removesuffix(own)
+
+
+def _hidden(name: str) -> bool:
+    """As Spark's readers have it: names that begin with a dot or, without an equals sign, an underscore; and copies under way."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+    """Accepted files in folders of ``path``, and the folders too; with ``deep`` what those hold instead."""
+    endings, rows = tuple(ACCEPTED_EXTENSIONS), []
+
+    def batch() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "modificationTime", "length", "is_folder"])
+
+    for paths in batches:
+        for root in paths.column("path").to_pylist():
+            store, own, before = _opened(root)
+            left = [own]
+            while left:
+                own = left.pop()
+                for f in store.get_file_info(fs.FileSelector(own)) if (top := store.get_file_info(own)).type == fs.FileType.Directory else [top]:
+                    if _hidden(f.base_name):
+                        continue
+                    if f.type == fs.FileType.Directory and deep:
+                        left.append(f.path)
+                    elif f.type == fs.FileType.Directory or f.is_file and f.base_name.lower().endswith(endings):
+                        rows.append((before + f.path, f.mtime_ns // 1_000_000 * 1000 if f.mtime_ns is not None else None, f.size, f.type == fs.FileType.Directory))
+                    if len(rows) == 4096:
+                        yield batch()
+                        rows.clear()
+    if rows:
+        yield batch()
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, modificationTime, length`` of all accepted image files below a folder (or a pattern of folders), empty ones too.
+
+    Tasks do the listing: one takes the top, then many the folders below it. The
+    driver sees no file, however many there are. The rows are a checkpoint.
+    """
+    kind = f"{LISTED}, is_folder boolean"
+    tops = spark.createDataFrame([(p,) for p in matching(spark, path)], "path string")
+    top = cut(tops.coalesce(1).mapInArrow(lambda b: _entries(b, False), kind))
+    below = top.where("is_folder")
+    n = below.count()
+    if not n:
+        return top.where("not is_folder").drop("is_folder")
+    deep = below.select("path").repartition(-(-n // LIST_FOLDERS), "path").mapInArrow(lambda b: _entries(b, True), kind)
+    return cut(top.where("not is_folder").unionByName(deep).drop("is_folder"))
+
+
+def read_files(listed: DataFrame) -> DataFrame:
+    """A listing with the ``content`` of its files, in batches of bounded size."""
+
+    def run(batches):
+        for batch in batches:
+            at, held, size = 0, [], 0
+            for k, path in enumerate(batch.column("path").to_pylist()):
+                store, own, _ = _opened(path)
+                with store.open_input_stream(own) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if len(held) == BATCH_ROWS or size >= BATCH_BYTES or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(held)) for c in ("path", "modificationTime", "length")), pa.array(held, pa.binary())], ["path", "modificationTime", "length", "content"])
+                    at, held, size = k + 1, [], 0
+
+    return listed.select("path", "modificationTime", "length").mapInArrow(run, f"{LISTED}, content binary")
+
+
+def reading_tasks(listed: DataFrame) -> int:
+    """Tasks that reading a listing's files makes."""
+    files, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return max(1, -(-files // READ_FILES), -(-size // READ_BYTES))
+
+
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per accepted image file, with its content and hash."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", image_glob()).load(path)
+    """One row per accepted image file, with its content and hash. Files without content count as well."""
+    listed = list_files(spark, path)
+    found = read_files(listed.repartition(reading_tasks(listed), "path"))
     return found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("hash", F.sha2("content", 256))
 
 
