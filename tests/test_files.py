@@ -55,3 +55,6 @@ def test_registered_file_queries_take_null_and_empty_texts(spark, tmp_path):
     sha = lambda c: hashlib.sha256(c).hexdigest()
     found = catalogue.QUERIES["s1_scan_catalog"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted((n, len(c), sha(c)) for n, c in content.items())
+    want = sorted({(sha(c), len(c)) for c in content.values()})
+    for query in (catalogue.QUERIES["st1_ingest"],):
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want
