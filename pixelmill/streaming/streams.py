@@ -13,8 +13,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.scalars import half_up
 from ..operators.state import OWN, UPDATES, WIDE, fold, view
-from ..sources.files import image_glob
-from ..sources.folders import cut, with_few
+from ..sources.files import LISTED, image_glob, list_files, read_files, reading_tasks
+from ..sources.folders import cut, names, with_few
 
 # The kinds of usage events.
 EVENT_KINDS = ["image_upload", "compression_complete", "batch_complete", "download", "preset_select", "format_change", "quality_change", "cta_click", "external_link", "funnel_stage", "error"]
@@ -29,15 +29,36 @@ FORMATS, PRESET_IDS = ["png", "jpeg", "webp", "avif", "jxl", "svg"], ["photo", "
 
 
 def stream_ingest(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """ST1: new image files as they come, one of each content hash within the watermark."""
+    """ST1: new image files as they come, one of each content hash within the watermark.
+
+    Spark's own source of files: its driver remembers every file, and it leaves out
+    files without content. ``ingest_to`` does neither.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", image_glob()).load(path)
+    return _first_of_each(files, late)
+
+
+def _first_of_each(files: DataFrame, late: str) -> DataFrame:
     return files.withColumn("hash", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["hash"])
 
 
 def ingest_to(spark: SparkSession, path: str, table: str, checkpoint: str, late: str = "1 hour") -> list[dict]:
-    """ST1 as a run: what has come into ``path`` since the last run goes into ``table`` (without the content), each hash once."""
-    return run_to_table(stream_ingest(spark, path, late).drop("content"), table, checkpoint)
+    """ST1 as a run: what has come into ``path`` since the last run goes into ``table`` (without the content), each hash once.
+
+    Files that no run has seen are listed by tasks and written below the checkpoint,
+    and the stream follows that listing. So the driver knows the listing's few files
+    and none of the images, and a listing whose run broke off is taken up by the next.
+    """
+    found = f"{checkpoint}/found"
+    listed = list_files(spark, path)
+    if names(spark, found):
+        listed = cut(listed.join(spark.read.schema(LISTED).parquet(found).select("path"), "path", "left_anti"))
+    tasks = reading_tasks(listed)
+    if not names(spark, found) or listed.limit(1).count():
+        listed.repartition(tasks, "path").write.mode("append").parquet(found)
+    files = read_files(spark.readStream.schema(LISTED).parquet(found).repartition(tasks, "path"))
+    return run_to_table(_first_of_each(files, late).drop("content"), table, checkpoint)
 
 
 def ingest(files: DataFrame) -> DataFrame:

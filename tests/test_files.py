@@ -7,8 +7,9 @@ import os
 
 import pytest
 
-from pixelmill.plans import catalogue
+from pixelmill.plans import catalogue, live
 from pixelmill.sources import files
+from pixelmill.streaming import streams as ST
 
 CONTENTS = {"a.png": b"one", "sub/b.PNG": b"", "sub/deep/c 1%20.tif": b"three", "sub/d.gif": b"", "e.txt": b"text", "_f.png": b"hidden", ".g.png": b"hidden", "_tmp/h.png": b"hidden", "sub/.i/j.png": b"hidden", "n=1/k.jpg": b"one"}
 ACCEPTED = ["a.png", "sub/b.PNG", "sub/deep/c 1%20.tif", "sub/d.gif", "n=1/k.jpg"]
@@ -47,6 +48,24 @@ def test_reading_is_dealt_into_bounded_batches(spark, folder, monkeypatch):
     assert sorted(bytes(r.content) for r in found.collect()) == [b"", b"", b"one", b"one", b"three"]
 
 
+def test_empty_files_are_ingested(spark, folder, tmp_path):
+    """Both forms of ST1 have the empty content, once; the stream's source log names no image, however many there are."""
+    want = sorted((hashlib.sha256(c).hexdigest(), len(c)) for c in (b"one", b"", b"three"))
+    batch = ST.ingest(files.scan_catalog(spark, folder).drop("hash"))
+    assert sorted((r.hash, r.length) for r in batch.collect()) == want
+    table, checkpoint = f"{tmp_path}/table", f"{tmp_path}/checkpoint"
+    for k in range(2):  # the second run brings one new content, and one that is there
+        ST.ingest_to(spark, folder, table, checkpoint)
+        assert sorted((r.hash, r.length) for r in spark.read.parquet(table).collect()) == want
+        for name, content in (("new.png", b"four"), ("again.png", b"")):
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(content)
+        if not k:
+            want = sorted([*want, (hashlib.sha256(b"four").hexdigest(), 4)])
+    log = "".join(open(os.path.join(d, n)).read() for d, _, ns in os.walk(f"{checkpoint}/sources") for n in ns if not n.endswith(".crc"))
+    assert "found/part-" in log and ".png" not in log
+
+
 def test_registered_file_queries_take_null_and_empty_texts(spark, tmp_path):
     rows = [(k, None if k == 3 else "" if k in (5, 6) else f"text {k % 8}") for k in range(20)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -56,5 +75,5 @@ def test_registered_file_queries_take_null_and_empty_texts(spark, tmp_path):
     found = catalogue.QUERIES["s1_scan_catalog"](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted((n, len(c), sha(c)) for n, c in content.items())
     want = sorted({(sha(c), len(c)) for c in content.values()})
-    for query in (catalogue.QUERIES["st1_ingest"],):
+    for query in (catalogue.QUERIES["st1_ingest"], live.QUERIES["st1_stream_ingest"]):
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want
