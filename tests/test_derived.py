@@ -22,6 +22,16 @@ def test_seeds_of_large_keys(spark, tmp_path, name, base, key, kind, shift):
         assert (p.r, p.g, p.b) == (seed // 65536 % 256, seed // 256 % 256, seed % 256)
 
 
+def test_colour_estimates_hold_for_every_image(spark, tmp_path):
+    """The image of 1.2 million whose 1024 colours the default sketch takes for 1293, and some beside it."""
+    spark.createDataFrame([(k,) for k in (935_730, 935_731, 935_733, 1_079_795)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    pixels = derived.table(spark, str(tmp_path), "pixels")
+    exact = {r.image_id: r.unique_colors for r in A.unique_colors(pixels, "exact").collect()}
+    near = {r.image_id: r.unique_colors for r in A.unique_colors(pixels, "approx").collect()}
+    assert exact[935_730] == 1024 and near.keys() == exact.keys()
+    assert all(abs(near[k] - n) <= 0.1 * n for k, n in exact.items())
+
+
 def test_grids_are_dealt_by_cells_and_images(spark, tmp_path, monkeypatch):
     """A single row group of keys is many tasks, and what goes by image shuffles no pixels."""
     monkeypatch.setattr(derived, "TASK_CELLS", 1 << 15)
