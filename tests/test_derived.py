@@ -67,3 +67,26 @@ def test_rasters_are_packed_from_numbers(spark):
         own = sorted((r for r in rows if r[0] == i), key=lambda r: (r[4], r[3]))
         assert found[i] == bytes(v for r in own for v in r[5:])
     assert "struct" not in packed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classes_shuffle_no_pixels_that_are_dealt_by_image(spark, tmp_path):
+    """All pixels meet in strips where they are: what is shuffled are keys and, at most, sums of strips."""
+    spark.range(1, 41).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    pixels = derived.table(spark, str(tmp_path), "pixels")
+    for mode in ("sample", "exact"):
+        found = A.classify_images(pixels, mode)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        for part in plan.split("Exchange ")[1:]:
+            assert "x#" not in part.split("\n")[0]
+        assert plan.count("Window") == 0 and "by#" not in "".join(p.split("\n")[0] for p in plan.split("Exchange ")[1:])
+        assert found.count() == 40
+
+
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (3, 9), (7, 5), (33, 240), (130, 21)])
+def test_texture_equals_its_parts(spark, width, height):
+    """The strips' sums give what A6, A7 and A8 give each on its own, for sizes that are no whole blocks, and with holes."""
+    rows = [(i, width, height, x, y, *((x * x * 7 + y * 13 + i * 50) % 256 if (x // 6 + y // 5 + i) % 3 else 90 for _ in range(3)), 255 if (x + y) % 11 else 7) for i in (1, 2) for x in range(width) for y in range(height) if i == 1 or (x * y) % 17 != 5]
+    pixels = spark.createDataFrame(rows, "image_id long, width int, height int, x int, y int, r int, g int, b int, a int")
+    want = A.solid_ratio(pixels).join(A.transparency(pixels), "image_id").join(A.edge_stats(pixels), "image_id")
+    found = A.texture_stats(pixels.repartition(3))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(found.columns).collect()))
