@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -62,9 +63,9 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def _entries(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
-    """Accepted files in folders of ``path``, and the folders too; with ``deep`` what those hold instead."""
-    endings, rows = tuple(ACCEPTED_EXTENSIONS), []
+def _entries(batches: Iterator[pa.RecordBatch], endings: tuple[str, ...], deep: bool) -> Iterator[pa.RecordBatch]:
+    """Files of some endings in folders of ``path``, and the folders too; with ``deep`` what those hold instead."""
+    rows = []
 
     def batch() -> pa.RecordBatch:
         kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.bool_()]
@@ -90,20 +91,20 @@ def _entries(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.Recor
         yield batch()
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, modificationTime, length`` of all accepted image files below a folder (or a pattern of folders), empty ones too.
+def list_files(spark: SparkSession, path: str, endings: tuple[str, ...] = tuple(ACCEPTED_EXTENSIONS)) -> DataFrame:
+    """``path, modificationTime, length`` of all files of these endings below a folder (or a pattern of folders), empty ones too.
 
     Tasks do the listing: one takes the top, then many the folders below it. The
     driver sees no file, however many there are. The rows are a checkpoint.
     """
     kind = f"{LISTED}, is_folder boolean"
     tops = spark.createDataFrame([(p,) for p in matching(spark, path)], "path string")
-    top = cut(tops.coalesce(1).mapInArrow(lambda b: _entries(b, False), kind))
+    top = cut(tops.coalesce(1).mapInArrow(lambda b: _entries(b, endings, False), kind))
     below = top.where("is_folder")
     n = below.count()
     if not n:
         return top.where("not is_folder").drop("is_folder")
-    deep = below.select("path").repartition(-(-n // LIST_FOLDERS), "path").mapInArrow(lambda b: _entries(b, True), kind)
+    deep = below.select("path").repartition(-(-n // LIST_FOLDERS), "path").mapInArrow(lambda b: _entries(b, endings, True), kind)
     return cut(top.where("not is_folder").unionByName(deep).drop("is_folder"))
 
 
@@ -160,13 +161,77 @@ def sniff_format(content: Column, name: Column, mime: Column) -> Column:
 BATCH_PIXELS = 1 << 18
 
 
+#: Names that do not end in .bmp, as a pattern.
+NO_BITMAPS = "{*[^pP],*[^mM]?,*[^bB]??,*[^.]???,?,??,???}"
+HEAD = 54
+
+
+def _is_plain(head: bytes, size: int) -> bool:
+    """Whether a file of this head is a bitmap of 24 bits a pixel without compression, from its lowest line up."""
+    if len(head) < HEAD or head[:2] != b"BM":
+        return False
+    at, own, width, height, planes, bits, packing = struct.unpack("<IIiiHHI", head[10:34])
+    return own == 40 and (planes, bits, packing) == (1, 24, 0) and width > 0 and height > 0 and at >= HEAD and at + (3 * width + 3) // 4 * 4 * height <= size
+
+
+def _origin(path: str) -> str:
+    """A listed path as the address that the image source gives for it."""
+    _, own, before = _opened(path)
+    kept = lambda c: c.isascii() and (c.isalnum() or c in "-_.!~*'():@&=+$,;/") or not (c.isascii() or c.isspace() or unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp"))
+    return ("file://" if before == "file:" else before) + "".join(c if kept(c) else "".join(f"%{b:02X}" for b in c.encode()) for c in own)
+
+
+def _plain_bitmaps(listed: DataFrame) -> DataFrame:
+    """Rasters of plain bitmaps."""
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                at, _, width, height = struct.unpack("<IIii", data[10:26].tobytes())
+                line = (3 * width + 3) // 4 * 4
+                rgba = np.full((height, width, 4), 255, np.uint8)
+                rgba[..., :3] = data[at : at + line * height].reshape(height, line)[::-1, : 3 * width].reshape(height, width, 3)[..., ::-1]
+                kept.append((_origin(path), width, height, rgba.tobytes()))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*kept, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["image_id", "width", "height", "data"])
+
+    return read_files(listed.repartition(reading_tasks(listed), "path")).mapInArrow(run, "image_id string, width int, height int, data binary")
+
+
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
     """S3: decoded files as ``image_id, width, height, data`` in RGBA; files that cannot be read are dropped.
 
-    Decoding is the JVM image source's; its bytes are grey, or B, G, R and perhaps A.
+    Decoding is the JVM image source's, but for plain bitmaps (``.bmp``), whose bytes
+    only change places: that source compiles code for each file, which takes longer than a
+    small bitmap takes to be read, and its driver holds all names. Bitmaps of other kinds go to it as well.
+    """
+    listed, is_bitmap = list_files(spark, path, ("",)), F.lower(F.substring("path", -4, 4)) == ".bmp"
+
+    def heads(batches):
+        for batch in batches:
+            plain = []
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                store, own, _ = _opened(path)
+                with store.open_input_stream(own) as file:
+                    plain.append(_is_plain(file.read(HEAD), size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_origin(p) for p in batch.column("path").to_pylist()], pa.string()), pa.array(plain, pa.bool_())], [*batch.schema.names, "image_id", "is_plain"])
+
+    known = cut(listed.where(is_bitmap).mapInArrow(heads, f"{LISTED}, image_id string, is_plain boolean"))
+    found = _plain_bitmaps(known.where("is_plain"))
+    if listed.where(~is_bitmap).limit(1).count():
+        found = found.unionByName(_decoded(spark, path, NO_BITMAPS))
+    others = known.where("not is_plain").select("image_id")
+    return found.unionByName(_decoded(spark, path, "*.[bB][mM][pP]").join(others, "image_id", "left_semi")) if others.limit(1).count() else found
+
+
+def _decoded(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """What the JVM image source makes of the files of these names; its bytes are grey, or B, G, R and perhaps A.
+
     Channels change places for a whole image at a time.
     """
-    image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path).select("image.*")
+    image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("image.*")
 
     def run(batches):
         for batch in batches:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 
 import pytest
 
@@ -77,3 +78,30 @@ def test_registered_file_queries_take_null_and_empty_texts(spark, tmp_path):
     want = sorted({(sha(c), len(c)) for c in content.values()})
     for query in (catalogue.QUERIES["st1_ingest"], live.QUERIES["st1_stream_ingest"]):
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == want
+
+
+def _bitmap(width: int, height: int, bits: int = 24, offset: int = 54, order: int = 1) -> bytes:
+    line = (width * bits // 8 + 3) // 4 * 4
+    head = b"BM" + struct.pack("<IHHI", offset + line * height, 0, 0, offset) + struct.pack("<IiiHHIIiiII", 40, width, order * height, 1, bits, 0, line * height, 0, 0, 0, 0)
+    return head + b"\7" * (offset - 54) + bytes((k * k + 3 * k) % 251 for k in range(line * height))
+
+
+def test_bitmaps_are_read_as_the_image_source_reads_them(spark, tmp_path):
+    """Plain bitmaps, others, broken ones, and names that want quoting: rows and addresses equal the image source's."""
+    own = {"a.bmp": _bitmap(5, 3), "x y/b%20+é.BMP": _bitmap(1, 1), "c.bmp": _bitmap(4, 2, offset=60), "d.bmp": _bitmap(3, 2, bits=32), "e.bmp": _bitmap(3, 2, order=-1), "f.bmp": _bitmap(9, 9)[:-1], "g.bmp": b"", "h.bmp": b"BM", "i.png": _bitmap(2, 2), "bmp": _bitmap(2, 3), "_j.bmp": _bitmap(1, 2)}
+    for name, content in own.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = {r.image_id: (r.width, r.height, bytes(r.data)) for r in files.read_rasters(spark, str(tmp_path)).collect()}
+    theirs = {r.image_id: (r.width, r.height, bytes(r.data)) for r in files._decoded(spark, str(tmp_path), "*").collect()}
+    assert found == theirs and {os.path.basename(i) for i in found} >= {"a.bmp", "b%2520+é.BMP", "c.bmp", "i.png", "bmp"}
+
+
+def test_plain_bitmaps_do_not_meet_the_image_source(spark, tmp_path):
+    (tmp_path / "a.bmp").write_bytes(_bitmap(5, 3))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = files.read_rasters(spark, str(tmp_path))
+    assert "FileScan image" not in plan(found) and found.count() == 1
+    (tmp_path / "b.png").write_bytes(_bitmap(5, 3))
+    found = files.read_rasters(spark, str(tmp_path))
+    assert "FileScan image" in plan(found) and found.count() == 2
