@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pixelmill.operators import geometry as G
 from pixelmill.operators import lines as L
 from pixelmill.operators import stats as A
+from pixelmill.plans import derived
 
 PX = "image_id long, width int, height int, x int, y int, r int, g int, b int, a int"
 
@@ -147,3 +148,27 @@ def test_a_shuffle_of_lines_is_small(spark):
     p = spark.range(40 * 64 * 64).select((F.col("id") / 4096).cast("long").alias("image_id"), F.lit(64).alias("width"), F.lit(64).alias("height"), (F.col("id") % 64).cast("int").alias("x"), (F.floor(F.col("id") / 64) % 64).cast("int").alias("y"), *(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(256)).cast("int").alias(c) for c in "rgba"))
     packed = L.pack(p)
     assert packed.count() < p.count() / 20 and packed.agg(F.sum(F.octet_length("data"))).first()[0] == 4 * p.count()
+
+
+def test_images_edited_as_a_whole_equal_those_by_lines(spark, tmp_path):
+    """Every turn and flip, holes, borders and single pixels; and neither pixels nor lines are written or shuffled."""
+    rng, rows, ops = random.Random(5), [], []
+    for i, (width, height) in enumerate([(9, 7), (1, 1), (2, 5), (12, 3), (5, 5), (8, 8), (30, 17), (4, 6), (6, 10), (7, 7), (3, 3), (16, 2)]):
+        ops.append((i, (0, 90, 180, 270)[i % 4], i % 3 == 0, i % 5 < 2))
+        for y in range(height):
+            for x in range(width):
+                inside = 1 < x < width - 2 and 0 < y < height - 1
+                if i % 2 or rng.random() < 0.8:
+                    rows.append((i, width, height, x, y, *((rng.randrange(256) if inside else 255) for _ in range(4))))
+    pixels = spark.createDataFrame(rows, "image_id long, width int, height int, x int, y int, r int, g int, b int, a int").repartition(3, "image_id")
+    turns = spark.createDataFrame(ops[:-2], "image_id long, rotate int, flip_h boolean, flip_v boolean")
+    for trim, own, amount, radius in ((25, turns, 0.25, 2), (None, turns, 0.0, 0), (25, None, 0.5, 0), (None, None, 0.0, 3)):
+        want = G.edit_lines(pixels, trim=trim, ops=own, sharpen_amount=amount, blur_radius=radius)
+        found = G.apply_edits(pixels, trim=trim, ops=own, sharpen_amount=amount, blur_radius=radius)
+        assert found.columns == want.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    spark.range(1, 41).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    grid = derived.table(spark, str(tmp_path), "pixels")
+    plan = G.apply_edits(grid, trim=25, sharpen_amount=0.25, blur_radius=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # of the keys
+    large = grid.withColumn("width", F.when(F.col("image_id") == 7, 1 << 14).otherwise(F.col("width")))
+    assert G.apply_edits(large, blur_radius=1).count() == 40 * 1024
